@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, quality
+from . import chat, fm_dedup, line_dedup, quality, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op4_substring_dedup": fm_dedup.op4,
     "op5_chat_formatting": chat.op5,
+    "op6_suffix_array_dedup": suffix_dedup.op6,
     "op7_line_dedup": line_dedup.op7,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op4_substring_dedup": fm_dedup.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
