@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fm_dedup, line_dedup, quality, suffix_dedup
+from . import chat, fm_dedup, langid, line_dedup, near_dedup, quality, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -10,10 +10,13 @@ QUERIES = {
     "op5_chat_formatting": chat.op5,
     "op6_suffix_array_dedup": suffix_dedup.op6,
     "op7_line_dedup": line_dedup.op7,
+    "op9_language_id": langid.op9,
+    "op10_minhash_near_dedup": near_dedup.op10,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
     "op4_substring_dedup": fm_dedup.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op10_minhash_near_dedup": near_dedup.ORACLE,
 }
