@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import bytesvec as bv
 from .common import text_bytes
 
-GROUP_BYTES, SHARD_BYTES, CHUNK_BYTES = 2 << 20, 32 << 20, 120_000
+GROUP_BYTES, SHARD_BYTES, CHUNK_BYTES, COMPARE_BYTES = 2 << 20, 16 << 20, 120_000, 1 << 20
 NULL_ID = np.int64(2**63 - 1)
 SMALLER, ELSEWHERE = "smaller", "elsewhere"
 
@@ -173,17 +173,17 @@ COMPARE, FROM_HOT = 1, 2  # flags of classes
 U = np.uint64
 
 
-def summaries(spec, table):
+def summaries(spec, table, scanned):
     """This work group's contexts, combined."""
     ids = ids_of(table)
-    parts = [(c.key, c.ctx, ids[c.doc] if spec.rule == SMALLER else np.ones(len(c.key), np.int64)) for c in chunks(table.column("text"), spec)]
+    parts = [(c.key, c.ctx, ids[c.doc] if spec.rule == SMALLER else np.ones(len(c.key), np.int64)) for c in scanned]
     return combine(spec, *(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.empty(0, U), np.empty(0, U), np.empty(0, np.int64))
 
 
 def summarize(spec, n_shards):
     def run(table):
         b = table.column("_b")[0].as_py()
-        key, ctx, val = summaries(spec, table)
+        key, ctx, val = summaries(spec, table, chunks(table.column("text"), spec))
         return _rows(SUMMARY, [{"shard": s, "_b": b, "kind": 0, "payload": p} for s, p in _deal((key % U(n_shards)).astype(np.int64), key, ctx, val)])
 
     return run
@@ -270,6 +270,15 @@ def fetch(spec, n_shards):
     return run
 
 
+def slices(key, size):
+    """Consecutive ranges of about COMPARE_BYTES that no key crosses."""
+    part = (np.cumsum(size) - size) // COMPARE_BYTES
+    opens = np.concatenate(([True], key[1:] != key[:-1]))
+    part = part[np.maximum.accumulate(np.where(opens, np.arange(len(key)), 0))]
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    return zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True)
+
+
 def compare(spec):
     def run(table):
         kinds, payload, b = table.column("kind").to_pylist(), table.column("payload").to_pylist(), table.column("_b").to_pylist()
@@ -282,9 +291,15 @@ def compare(spec):
                 owner.append(np.full(n, w))
         if metas:
             key, ctx, val, left, lens = np.concatenate(metas, axis=1)
-            at = np.concatenate(([0], np.cumsum(lens)))
-            who, start, end = spec.compare(spec, Contexts(key.view(U), val, left, at, np.concatenate(units)))
-            rows += [{"_b": t, "kind": RANGE, "payload": x} for t, x in _deal(np.concatenate(owner)[who], key[who], ctx[who], start, end)]
+            owner, units = np.concatenate(owner), np.concatenate(units)
+            begin = np.cumsum(lens) - lens
+            order = np.argsort(key.view(U), kind="stable")
+            for lo, hi in slices(key[order], lens[order] * units.itemsize):  # whole grams, so that each slice is complete
+                o = order[lo:hi]
+                at = np.concatenate(([0], np.cumsum(lens[o])))
+                pick = np.arange(at[-1]) + np.repeat(begin[o] - at[:-1], lens[o])
+                who, start, end = spec.compare(spec, Contexts(key[o].view(U), val[o], left[o], at, units[pick]))
+                rows += [{"_b": t, "kind": RANGE, "payload": x} for t, x in _deal(owner[o][who], key[o][who], ctx[o][who], start, end)]
         hot = [(p, w) for k, p, w in zip(kinds, payload, b, strict=True) if k == 1]
         if hot:
             (h, h2, val), src = unpack([p for p, _ in hot], 3)
@@ -298,11 +313,11 @@ def compare(spec):
     return run
 
 
-def hot_windows(spec, table, key, ctx, val, hot):
+def hot_windows(spec, scanned, key, ctx, val, hot):
     """Windows of the hot contexts that this work group delivered, combined."""
     seen = np.zeros(len(key), bool)
     out = []
-    for c in chunks(table.column("text"), spec):
+    for c in scanned:
         own, where = np.unique(find(c.key, c.ctx, key, ctx), return_index=True)
         ok = hot[own] & ~seen[own]
         seen[own[ok]] = True
@@ -317,7 +332,8 @@ def hot_windows(spec, table, key, ctx, val, hot):
 def covered(spec, table, replies):
     """Per chunk of the work group: (chunk, mask of covered units)."""
     ids = ids_of(table)
-    key, ctx, val = summaries(spec, table)
+    scanned = list(chunks(table.column("text"), spec))
+    key, ctx, val = summaries(spec, table, scanned)
     rkey, rctx, rval, rflag = _replies(replies, CLASS, 4)
     at = find(rkey.view(U), rctx.view(U), key, ctx)
     hot = np.zeros(len(val), bool)
@@ -327,11 +343,11 @@ def covered(spec, table, replies):
     ikey, ictx, istart, iend = ikey[by].view(U), ictx[by].view(U), istart[by], iend[by]
     opens = np.flatnonzero(np.concatenate(([True], (ikey[1:] != ikey[:-1]) | (ictx[1:] != ictx[:-1])))) if len(ikey) else np.empty(0, np.int64)
     until = np.append(opens[1:], len(ikey))
-    wh, wh2, wval = hot_windows(spec, table, key, ctx, val, hot) if hot.any() else (np.empty(0, U), np.empty(0, U), np.empty(0, np.int64))
+    wh, wh2, wval = hot_windows(spec, scanned, key, ctx, val, hot) if hot.any() else (np.empty(0, U), np.empty(0, U), np.empty(0, np.int64))
     if len(wh):
         h, h2, total = _replies(replies, WINDOWS, 3)
         wval[find(h.view(U), h2.view(U), wh, wh2)] = total
-    for c in chunks(table.column("text"), spec):
+    for c in scanned:
         cls = find(c.key, c.ctx, key, ctx)
         full = ids[c.doc] > val[cls] if spec.rule == SMALLER else val[cls] >= 2
         edges = np.zeros(len(c.units) + 1, np.int64)
