@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, fm_dedup, langid, line_dedup, near_dedup, quality, suffix_dedup
+from . import chat, fm_dedup, langid, line_dedup, near_dedup, packing, quality, suffix_dedup, unigram
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op2_sentencepiece": unigram.op2,
     "op4_substring_dedup": fm_dedup.op4,
     "op5_chat_formatting": chat.op5,
     "op6_suffix_array_dedup": suffix_dedup.op6,
     "op7_line_dedup": line_dedup.op7,
+    "op8_best_fit_packing": packing.op8,
     "op9_language_id": langid.op9,
     "op10_minhash_near_dedup": near_dedup.op10,
 }
