@@ -34,6 +34,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that belong to one call; those no longer read can be deleted."""
+
+    def __init__(self):
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        self.paths.append((out, out.inputFiles()[0].rsplit("/", 1)[0] if out.inputFiles() else ""))
+        return out
+
+    def discard(self, *keep: DataFrame) -> None:
+        """Delete all tables but those of keep."""
+        spark = None
+        for df, path in self.paths:
+            if path and not any(df is k for k in keep):
+                spark = df.sparkSession
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = [(df, p) for df, p in self.paths if any(df is k for k in keep)]
+
+
 def words_of(text: Column) -> Column:
     """Maximal runs outside the white-space class; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

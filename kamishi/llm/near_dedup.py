@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import materialize, table
+from .common import Scratch, table
 
 THRESHOLD, SKETCH, SHINGLE, BLOCK = (80, 100), 64, 2, 256
 LAST = 2**63 - 1
@@ -147,18 +147,18 @@ def _verified(size, threshold):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp (least node reachable): neighbours' least labels and pointer jumping until stable."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
+    both = scratch.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         jump = labels.select(F.col("node").alias("at"), F.col("comp").alias("jump"))
         step = labels.join(near, labels["node"] == near["a"]).join(jump, F.col("comp") == F.col("at"), "left")
-        new = materialize(step.select("node", F.col("comp").alias("old"), F.least("comp", "near", F.coalesce("jump", "comp")).alias("comp")), "labels")
+        new = scratch.table(step.select("node", F.col("comp").alias("old"), F.least("comp", "near", F.coalesce("jump", "comp")).alias("comp")), "labels")
         if new.where("old <> comp").isEmpty():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+            return new.drop("old")
+        labels = new.drop("old")
 
 
 def _relabel(df, labels, column, name):
@@ -196,19 +196,20 @@ def _across(k, threshold):
 
 def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    scratch = Scratch()
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
-    sk = materialize(sketches(docs, k, size), "sketches")
-    sets = materialize(sk.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "sets")
+    sk = scratch.table(sketches(docs, k, size), "sketches")
+    sets = scratch.table(sk.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "sets")
     copies = sk.where("n > 0").join(sets.where("copies > 1"), ["s1", "s2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    copies = materialize(copies.distinct(), "copies")
+    copies = scratch.table(copies.distinct(), "copies")
     reps = sk.where("n > 0").join(copies.select(F.col("a").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("node"), "n", "sketch")
 
     keyed = reps.select("node", F.explode(run_keys(F.col("sketch"), F.col("n"))).alias("key"))
-    hubs = materialize(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub"), "hubs")
-    listed = materialize(keyed.join(hubs, "key"), "listed")
-    met = materialize(listed.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common")), "met")
+    hubs = scratch.table(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub"), "hubs")
+    listed = scratch.table(keyed.join(hubs, "key"), "listed")
+    met = scratch.table(listed.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common")), "met")
     needed = listed.select("node").distinct()
-    texts = materialize(docs.join(needed, F.col("doc") == F.col("node"), "left_semi"), "texts")
+    texts = scratch.table(docs.join(needed, F.col("doc") == F.col("node"), "left_semi"), "texts")
 
     def side(df, on, name):
         own = reps.select(F.col("node").alias(name + "_node"), F.col("n").alias(name + "_n"), F.col("sketch").alias(name + "_sketch"))
@@ -221,30 +222,31 @@ def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size:
 
     def linked(pairs):
         est = side(side(pairs, "a", "a"), "b", "b").mapInArrow(_estimated(k, threshold), "a long, b long")
-        return materialize(confirmed(est), "links")
+        return scratch.table(confirmed(est), "links")
 
     best = met.groupBy("node").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     links = linked(best)
-    labels = components(links)
+    labels = components(links, scratch)
     apart = _relabel(_relabel(met, labels, "node", "ca"), labels, "hub", "cb").where("ca <> cb").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     links = links.unionByName(linked(apart))
-    labels = components(links)
+    labels = components(links, scratch)
 
     in_lists = _relabel(listed.select("key", "node"), labels, "node", "comp")
     mixed = in_lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("lo <> hi")
-    lists = materialize(mixed.groupBy("members", "size").agg(F.min("key").alias("key")).where("size > 2"), "lists")
+    lists = scratch.table(mixed.groupBy("members", "size").agg(F.min("key").alias("key")).where("size > 2"), "lists")
     rows = in_lists.join(lists.select("key", "size"), "key")
     per_comp = rows.groupBy("key", "size", "comp").agg(F.count("*").alias("of"))
-    largest = materialize(per_comp.where(F.col("size") > block).groupBy("key").agg(F.max_by("comp", F.struct("of", "comp")).alias("main")), "largest")
+    largest = scratch.table(per_comp.where(F.col("size") > block).groupBy("key").agg(F.max_by("comp", F.struct("of", "comp")).alias("main")), "largest")
     blocks = F.ceil(F.col("size") / block).cast("int")
     dealt = rows.join(largest, "key", "left").withColumn("home", F.coalesce(F.col("comp") != F.col("main"), F.lit(True)))
     own_block = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
     spread = dealt.withColumn("block", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own_block))))
     across = side(spread.select("key", "block", "node", "comp", "home"), "node", "x").select("key", "block", "node", "comp", "home", F.col("x_n").alias("n"), F.col("x_sketch").alias("sketch"))
     found = across.groupBy("key", "block").applyInArrow(_across(k, threshold), "a long, b long").distinct()
-    links = links.unionByName(materialize(confirmed(found), "links"))
+    links = links.unionByName(scratch.table(confirmed(found), "links"))
 
-    labels = components(links.unionByName(copies))
+    labels = scratch.table(components(links.unionByName(copies), scratch), "final")
+    scratch.discard(sk, labels)
     ids = F.when(F.col("comp") < LAST, F.col("comp"))
     done = _relabel(sk.select("doc", "n"), labels, "doc", "comp")
     return done.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), ids.alias("component_id"), F.col("doc").eqNullSafe(F.col("comp")).alias("kept"))
