@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, fm_dedup, langid, line_dedup, near_dedup, packing, quality, suffix_dedup, unigram
+from . import chat, fm_dedup, langid, line_dedup, near_dedup, packing, quality, search, suffix_dedup, unigram
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_sentencepiece": unigram.op2,
+    "op3_topk_search": search.op3,
     "op4_substring_dedup": fm_dedup.op4,
     "op5_chat_formatting": chat.op5,
     "op6_suffix_array_dedup": suffix_dedup.op6,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op3_topk_search": search.ORACLE,
     "op4_substring_dedup": fm_dedup.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
