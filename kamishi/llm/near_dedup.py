@@ -10,8 +10,8 @@ and runs of two lose nothing there.
   1. every document meets its lists' hubs (their least members), the one with most common runs first;
   2. a pair stays if its union-sketch estimate lies within four deviations of the threshold;
   3. exact Jaccard on the full sets (64-bit shingle hashes) confirms it; links give components;
-  4. lists that still hold two or more components compare their members across components: the
-     largest component's members in blocks, each against all others of the list.
+  4. lists that still hold two or more components compare their members across components, in groups
+     of bounded size; members of one component are never compared.
 
 Equal sets meet without comparison, by a 128-bit set hash. Only texts of candidates are shuffled.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +57,7 @@ def shingles(texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(column):
-    lens = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(lens) // CHUNK_BYTES
     cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(lens) else np.empty(0, np.int64)
     return zip(cut.tolist(), [*cut[1:].tolist(), len(lens)], strict=True) if len(lens) else ()
@@ -117,8 +117,8 @@ def _estimated(k, threshold):
         for batch in batches:
             a, b = batch.column("a_sketch"), batch.column("b_sketch")
             av, bvv = a.flatten().to_numpy(), b.flatten().to_numpy()
-            ao = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(a).to_numpy())))
-            bo = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(b).to_numpy())))
+            ao = np.concatenate(([0], np.cumsum(pc.list_value_length(a).to_numpy())))
+            bo = np.concatenate(([0], np.cumsum(pc.list_value_length(b).to_numpy())))
             got = [estimate(av[ao[i] : ao[i + 1]], bvv[bo[i] : bo[i + 1]], k) for i in range(batch.num_rows)]
             est, m = (np.array(x) for x in zip(*got, strict=True)) if got else (np.zeros(0), np.zeros(0))
             ok = passes(est, m, batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy(), k, threshold)
@@ -166,30 +166,79 @@ def _relabel(df, labels, column, name):
     return df.join(named, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_comp", column)).drop("_node", "_comp")
 
 
-def _across(k, threshold):
-    """Pairs of one block that lie in different components and pass the estimate."""
+def _common(owner, values, m):
+    """Values that each two of m members share: products of 0/1 columns, some columns at a time."""
+    order = np.lexsort((owner, values))
+    owner, values = owner[order], values[order]
+    opens = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.empty(0, bool)
+    column = np.cumsum(opens) - 1
+    shared = np.bincount(column)[column] > 1 if len(column) else opens
+    owner, column = owner[shared], np.cumsum(opens[shared]) - 1 if shared.any() else column[:0]
+    out = np.zeros((m, m), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        at = slice(*np.searchsorted(column, [lo, lo + 4096]))
+        cells = np.zeros((m, 4096), np.float32)
+        cells[owner[at], column[at] - lo] = 1
+        out += cells @ cells.T
+    return out.astype(np.int64)
+
+
+def _apart(comp, side, solo):
+    """Pairs of a group to compare: of different components and, but in a solo group, of both sides."""
+    return np.triu((comp[:, None] != comp) & (solo | (side[:, None] != side)), 1)
+
+
+def _estimates(x, y, k):
+    """Union-sketch estimates of pairs of padded sketches (rows of x and y), and their sizes."""
+    both = np.sort(np.concatenate((x, y), axis=1), axis=1)
+    real = both != LAST
+    again = np.zeros_like(real)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    within = np.cumsum(real & ~again, axis=1) <= k
+    size = np.minimum((real & ~again).sum(axis=1), k)
+    return (again & within).sum(axis=1) / np.maximum(size, 1), size
+
+
+GROUP = "key long, kind string, i int, j int"
+
+
+def _likely(k, threshold):
+    """Members of a group that pass the estimate with a member of another component."""
+
+    def run(rows):
+        comp, n, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "n", "side"))
+        lists = rows.column("sketch").combine_chunks()
+        lens, values = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+        m = len(comp)
+        padded = np.full((m, k), LAST)
+        owner = np.repeat(np.arange(m), lens)
+        padded[owner, np.arange(len(values)) - np.repeat(np.cumsum(lens) - lens, lens)] = values
+        solo = rows.column("kind")[0].as_py() == "h" and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        near = _apart(comp, side, solo) & (2 * _common(owner, values, m) >= np.minimum(lens[:, None], lens))
+        a, b = np.nonzero(near)
+        keep = np.zeros(m, bool)
+        for lo in range(0, len(a), 20_000):
+            x, y = a[lo : lo + 20_000], b[lo : lo + 20_000]
+            est, size = _estimates(padded[x], padded[y], k)
+            ok = passes(est, size, n[x], n[y], k, threshold)
+            keep[x[ok]] = keep[y[ok]] = True
+        return rows.select(["key", "kind", "i", "j", "node", "comp", "side"]).filter(pa.array(keep))
+
+    return run
+
+
+def _exact(size, threshold):
+    """Links of a group between components, by the full sets."""
 
     def run(rows):
-        node, comp, n, home = (rows.column(c).to_numpy() for c in ("node", "comp", "n", "home"))
-        flat, lens = rows.column("sketch").combine_chunks(), pa.compute.list_value_length(rows.column("sketch")).to_numpy()
-        values = flat.flatten().to_numpy()
-        at = np.concatenate(([0], np.cumsum(lens)))
-        order = np.argsort(values, kind="stable")
-        owner = np.repeat(np.arange(len(node)), lens)[order]
-        ordered = values[order]
-        out = []
-        for i in range(len(node)):
-            own = values[at[i] : at[i + 1]]
-            lo, hi = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
-            common = np.zeros(len(node), np.int64)
-            for x, y in zip(lo, hi, strict=True):
-                common[owner[x:y]] += 1
-            for j in np.flatnonzero((comp != comp[i]) & (np.arange(len(node)) > i) & (home | home[i]) & (2 * common >= np.minimum(lens, lens[i]))):
-                est, m = estimate(own, values[at[j] : at[j + 1]], k)
-                if passes(est, m, n[i], n[j], k, threshold):
-                    out.append((min(node[i], node[j]), max(node[i], node[j])))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        node, comp, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "side"))
+        doc, h = shingles(rows.column("text"), size)
+        m = len(node)
+        n = np.bincount(doc, minlength=m)
+        solo = rows.column("kind")[0].as_py() == "h" and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        common = _common(doc, h, m)
+        a, b = np.nonzero(_apart(comp, side, solo) & (threshold[1] * common >= threshold[0] * (n[:, None] + n - common)) & (common > 0))
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
 
     return run
 
@@ -235,15 +284,28 @@ def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size:
     mixed = in_lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("lo <> hi")
     lists = scratch.table(mixed.groupBy("members", "size").agg(F.min("key").alias("key")).where("size > 2"), "lists")
     rows = in_lists.join(lists.select("key", "size"), "key")
-    per_comp = rows.groupBy("key", "size", "comp").agg(F.count("*").alias("of"))
-    largest = scratch.table(per_comp.where(F.col("size") > block).groupBy("key").agg(F.max_by("comp", F.struct("of", "comp")).alias("main")), "largest")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = rows.join(largest, "key", "left").withColumn("home", F.coalesce(F.col("comp") != F.col("main"), F.lit(True)))
-    own_block = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    spread = dealt.withColumn("block", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own_block))))
-    across = side(spread.select("key", "block", "node", "comp", "home"), "node", "x").select("key", "block", "node", "comp", "home", F.col("x_n").alias("n"), F.col("x_sketch").alias("sketch"))
-    found = across.groupBy("key", "block").applyInArrow(_across(k, threshold), "a long, b long").distinct()
-    links = links.unionByName(scratch.table(confirmed(found), "links"))
+    # A list of up to `block` members is one group. Of a longer one, members outside its largest
+    # component (h) and inside it (g) are cut into chunks; groups are pairs of chunks h-h and h-g.
+    per_comp = rows.where(F.col("size") > block).groupBy("key", "comp").agg(F.count("*").alias("of"))
+    largest = scratch.table(per_comp.groupBy("key").agg(F.max_by("comp", F.struct("of", "comp")).alias("main"), F.max("of").alias("n_main")), "largest")
+    n_main = F.coalesce("n_main", F.lit(0))
+    chunks = rows.join(largest, "key", "left").withColumns({
+        "home": F.coalesce(F.col("comp") != F.col("main"), F.lit(True)),
+        "nh": F.ceil((F.col("size") - n_main) / block).cast("int"), "ng": F.ceil(n_main / block).cast("int"),
+    })
+    c = F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("ng")).cast("long")).cast("int")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    group = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    hh = F.transform(upto(F.col("nh")), lambda d: group("h", F.least(d, F.col("c")), F.greatest(d, F.col("c")), F.col("c") <= d))
+    hg = F.transform(upto(F.col("ng")), lambda d: group("g", F.col("c"), d, F.lit(True)))
+    gh = F.transform(upto(F.col("nh")), lambda d: group("g", d, F.col("c"), F.lit(False)))
+    spread = chunks.withColumn("c", c).select("key", "node", "comp", F.explode(F.when(F.col("home"), F.concat(hh, hg)).otherwise(gh)).alias("g")).select("key", "node", "comp", "g.*")
+    own = reps.select("node", "n", "sketch")
+    likely = spread.join(own, "node").groupBy("key", "kind", "i", "j").applyInArrow(_likely(k, threshold), f"{GROUP}, node long, comp long, side boolean")
+    likely = scratch.table(likely.select("key", "kind", "i", "j", "node", "comp", "side"), "likely")
+    held = likely.join(texts.select(F.col("doc").alias("node"), "text"), "node")
+    found = held.groupBy("key", "kind", "i", "j").applyInArrow(_exact(size, threshold), "a long, b long").distinct()
+    links = links.unionByName(scratch.table(found, "links"))
 
     labels = scratch.table(components(links.unionByName(copies), scratch), "final")
     scratch.discard(sk, labels)
