@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize
+from .text import let, normalize
 
 # What is added to an era's year.
 ERAS = {"令和": 2018, "㋿": 2018, "R": 2018, "平成": 1988, "㍻": 1988, "H": 1988, "昭和": 1925, "㍼": 1925, "S": 1925, "大正": 1911, "㍽": 1911, "T": 1911, "明治": 1867, "㍾": 1867, "M": 1867}
@@ -49,19 +49,25 @@ def parse_date(s: Column, normalized: bool = False) -> Column:
     normalized: s is normalized text already (normalizing twice changes nothing but costs).
     """
     n = s if normalized else normalize(s)
-    get = lambda pattern: [F.regexp_extract(n, pattern, i) for i in range(1, 5 if pattern == ERA_DATE else 4)]
-    era, ey, em, ed = get(ERA_DATE)
-    ly, lm, ld = map(_int, get(LONG_DATE))
-    sy, sm, sd = map(_int, get(SHORT_DATE))
-    era_year = gregorian_year(era, F.when(ey == "元", 1).otherwise(_int(ey)))
-    return F.coalesce(iso(era_year, _int(em), _int(ed)), iso(ly, lm, ld), iso(2000 + sy, sm, sd))
+
+    def tier(pattern, build):
+        """build(groups) of the first match; the groups are read from the match, not from the line."""
+        parts = lambda m: F.struct(*[F.regexp_extract(m, pattern, i).alias(f"g{i}") for i in range(1, 1 + pattern.count("(") - pattern.count("(?:"))])
+        return let(F.regexp_extract(n, pattern, 0), lambda m: F.when(m != "", let(parts(m), build)))
+
+    whole = lambda year, month, day: let(F.struct(year.alias("y"), _int(month).alias("m"), _int(day).alias("d")), lambda t: iso(t["y"], t["m"], t["d"]))
+    era = tier(ERA_DATE, lambda g: whole(gregorian_year(g["g1"], F.when(g["g2"] == "元", 1).otherwise(_int(g["g2"]))), g["g3"], g["g4"]))
+    long = tier(LONG_DATE, lambda g: whole(_int(g["g1"]), g["g2"], g["g3"]))
+    short = tier(SHORT_DATE, lambda g: whole(2000 + _int(g["g1"]), g["g2"], g["g3"]))
+    return F.when(n.rlike(r"\d"), F.coalesce(era, long, short))
 
 
 def parse_time(s: Column, normalized: bool = False) -> Column:
     """HH:MM of the first time, null if it is out of range."""
     n = s if normalized else normalize(s)
-    h, m = (_int(F.regexp_extract(n, TIME, i)) for i in (1, 2))
-    return F.when(h.between(0, 23) & m.between(0, 59), F.concat_ws(":", pad(h, 2), pad(m, 2)))
+    read = lambda m: F.struct(_int(F.regexp_extract(m, TIME, 1)).alias("h"), _int(F.regexp_extract(m, TIME, 2)).alias("m"))
+    shown = lambda t: F.when(t["h"].between(0, 23) & t["m"].between(0, 59), F.concat_ws(":", pad(t["h"], 2), pad(t["m"], 2)))
+    return F.when(n.contains(":"), let(F.regexp_extract(n, TIME, 0), lambda m: F.when(m != "", let(read(m), shown))))
 
 
 def ymd(date: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize
+from .text import let, normalize
 
 AMOUNT = r"([¥￥\\])?\s*([-−▲△])?\s*(\d{1,3}(?:,\d{3})+|\d+)\s*(円)?"
 LONE_AMOUNT = r"\A\s*([¥￥\\])?\s*([-−▲△])?(\d{1,3}(?:,\d{3})+|\d+)\s*(円)?\s*\z"
@@ -49,18 +49,18 @@ def kanji_number(s: Column) -> Column:
     return F.when(F.char_length(s) > 0, F.aggregate(F.split(s, ""), start, step, done))
 
 
-def _signed(sign: Column, digits: Column) -> Column:
-    value = F.replace(digits, F.lit(","), F.lit("")).try_cast("long")
-    return F.when(sign != "", -value).otherwise(value)
+def read_amount(match: Column) -> Column:
+    """struct<amount, marked, digits> of one matched amount; amount is null on overflow."""
+    digits = F.regexp_replace(match, r"[^0-9]", "")
+    value = digits.try_cast("long")
+    return F.struct(F.when(match.rlike("[-−▲△]"), -value).otherwise(value).alias("amount"), match.rlike(r"[¥￥\\円]").alias("marked"), F.char_length(digits).alias("digits"))
 
 
 def amounts(s: Column, normalized: bool = False) -> Column:
     """array<struct<amount long, marked boolean>> in order of appearance."""
     n = s if normalized else normalize(s)
-    part = lambda i: F.regexp_extract_all(n, F.lit(AMOUNT), F.lit(i))
-    rows = F.arrays_zip(part(1).alias("yen"), part(2).alias("sign"), part(3).alias("digits"), part(4).alias("en"))
-    read = F.transform(rows, lambda r: F.struct(_signed(r["sign"], r["digits"]).alias("amount"), ((r["yen"] != "") | (r["en"] != "")).alias("marked")))
-    return F.filter(read, lambda r: r["amount"].isNotNull())
+    read = F.transform(F.regexp_extract_all(n, F.lit(AMOUNT), F.lit(0)), read_amount)
+    return F.transform(F.filter(read, lambda r: r["amount"].isNotNull()), lambda r: F.struct(r["amount"].alias("amount"), r["marked"].alias("marked")))
 
 
 def last_amount(found: Column) -> Column:
@@ -69,9 +69,9 @@ def last_amount(found: Column) -> Column:
 
 
 def parse_amount(s: Column, normalized: bool = False) -> Column:
-    return last_amount(amounts(s, normalized))
+    return let(amounts(s, normalized), last_amount)
 
 
 def standalone_amount(s: Column) -> Column:
     """Value of a line that is nothing but an amount; null otherwise."""
-    return F.when(s.rlike(LONE_AMOUNT), _signed(F.regexp_extract(s, LONE_AMOUNT, 2), F.regexp_extract(s, LONE_AMOUNT, 3)))
+    return F.when(s.rlike(LONE_AMOUNT), read_amount(s)["amount"])

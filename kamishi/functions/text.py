@@ -17,6 +17,11 @@ VOICED = ("カキクケコサシスセソタチツテトハヒフヘホウ", "
 SEMI_VOICED = ("ハヒフヘホ", "パピプペポ")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def halfwidth_ascii(s: Column) -> Column:
     return F.translate(s, FULL_ASCII, HALF_ASCII)
 

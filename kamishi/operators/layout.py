@@ -183,7 +183,7 @@ def reading_order(items: DataFrame) -> DataFrame:
 
 def analyze(observations: DataFrame, options: LayoutOptions = DEFAULT) -> DataFrame:
     """Lines in reading order: page_id, block_no, line_no, orientation, text, spaced_text, x, y,
-    width, height, confidence. Pages without rows are added by with_empty_pages()."""
+    width, height, confidence. Pages without rows are added by documents()."""
     kept = observations.where(F.col("confidence") >= options.min_confidence)
     lines = cluster_blocks(cluster_lines(with_orientation(kept, options), options), options)
     box = union_box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date, parse_time
-from ..functions.numbers import amounts, last_amount, standalone_amount
-from ..functions.text import contains_any, normalize_all, strip_rates, trim_name
+from ..functions.numbers import amounts, last_amount, read_amount, standalone_amount
+from ..functions.text import contains_any, let, normalize_all, strip_rates, trim_name
 
 # Keywords of receipts.
 TOTAL_WORDS = ["合計", "総計", "お会計", "ご請求"]
@@ -38,15 +38,19 @@ def is_plausible_store(s: Column, date: Column, time: Column) -> Column:
 
 def parse_tax_line(s: Column) -> Column:
     """struct<isReducedRate, rate, taxAmount, taxableAmount>."""
-    found = F.transform(amounts(strip_rates(s), True), lambda m: m["amount"])
-    first, last = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(-1))
-    taxable, both = s.contains("対象"), s.contains("対象") & s.contains("税") & (F.size(found) >= 2)
-    return F.struct(
-        contains_any(s, ["軽減", "※"]).alias("isReducedRate"),
-        F.regexp_extract(s, r"(\d{1,2})\s*%", 1).try_cast("long").alias("rate"),
-        F.when(both | ~taxable, last).alias("taxAmount"),
-        F.when(both, first).when(taxable, last).alias("taxableAmount"),
-    )
+    taxable = s.contains("対象")
+
+    def read(found):
+        first, last = F.try_element_at(found, F.lit(1))["amount"], F.try_element_at(found, F.lit(-1))["amount"]
+        both = taxable & s.contains("税") & (F.size(found) >= 2)
+        return F.struct(
+            contains_any(s, ["軽減", "※"]).alias("isReducedRate"),
+            F.regexp_extract(s, r"(\d{1,2})\s*%", 1).try_cast("long").alias("rate"),
+            F.when(both | ~taxable, last).alias("taxAmount"),
+            F.when(both, first).when(taxable, last).alias("taxableAmount"),
+        )
+
+    return let(amounts(strip_rates(s), True), read)
 
 
 def merge_tax_lines(lines: Column) -> Column:
@@ -69,13 +73,17 @@ def parse_item(s: Column) -> Column:
     left = F.when(by_times, once(times)).when(by_pieces, once(pieces)).otherwise(s)
     unit = r"@\s*\d{1,3}(?:,\d{3})*"
     left = F.rtrim(F.regexp_replace(F.regexp_replace(left, unit, ""), unit, ""), F.lit(" \t"))
-    part = lambda i: F.try_element_at(F.regexp_extract_all(left, F.lit(PRICE), F.lit(i)), F.lit(-1))
-    whole, digits = F.rtrim(part(0), F.lit(" \t")), F.replace(part(3), F.lit(","), F.lit(""))
-    size = digits.try_cast("long")
-    price = F.when(part(2) != "", -size).otherwise(size)
-    name = trim_name(F.substring(left, F.lit(1), F.char_length(left) - F.char_length(whole)))
-    ok = F.endswith(left, whole) & ((part(1) != "") | (part(4) != "") | (F.char_length(digits) >= 2)) & (name != "") & name.rlike(r"[^\p{N}〇零一二三四五六七八九十百千万億兆]") & (size <= MAX_PRICE)
-    return F.when(ok, F.struct(name.alias("name"), price.alias("price"), quantity.alias("quantity")))
+
+    def read(p):
+        """p: the line without quantity and unit price, its last amount and what that says."""
+        name = trim_name(F.substring(p["left"], F.lit(1), F.char_length(p["left"]) - F.char_length(p["whole"])))
+        named = lambda x: (x != "") & x.rlike(r"[^\p{N}〇零一二三四五六七八九十百千万億兆]")
+        ok = F.endswith(p["left"], p["whole"]) & (p["a"]["marked"] | (p["a"]["digits"] >= 2)) & (F.abs(p["a"]["amount"]) <= MAX_PRICE)
+        return F.when(ok, let(name, lambda x: F.when(named(x), F.struct(x.alias("name"), p["a"]["amount"].alias("price"), quantity.alias("quantity")))))
+
+    priced = lambda x: F.rtrim(F.try_element_at(F.regexp_extract_all(x, F.lit(PRICE), F.lit(0)), F.lit(-1)), F.lit(" \t"))
+    pair = lambda x: let(priced(x), lambda w: F.struct(x.alias("left"), w.alias("whole"), read_amount(w).alias("a")))
+    return F.when(s.rlike(r"\d"), let(let(left, pair), read))
 
 
 def read_lines(lines: DataFrame) -> DataFrame:

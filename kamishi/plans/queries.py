@@ -45,19 +45,21 @@ SUMS = f"SELECT doc_id, CAST(sum(price) AS BIGINT) AS total, CAST(count(*) AS BI
 #: Kanji date in the Heisei era (1995 to 2001) and a time of day for each order.
 LINES = f"""
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part_no, n) - 1 AS INT) AS line_no, line FROM (
-  SELECT o_orderkey AS doc_id, 0 AS part_no, CAST(0 AS BIGINT) AS n, concat('スーパー　ｶﾜｻｷ', CAST(o_custkey AS STRING), '号店') AS line FROM {{orders}}
-  UNION ALL SELECT o_orderkey, 1, 0, concat('平成', CAST(year(o_orderdate) - 1988 AS STRING), '年', CAST(month(o_orderdate) AS STRING), '月', CAST(day(o_orderdate) AS STRING), '日 ', CAST(o_orderkey % 24 AS STRING), ':', lpad(CAST(o_custkey % 60 AS STRING), 2, '0')) FROM {{orders}}
-  UNION ALL SELECT o_orderkey, 2, 0, 'TEL 044-555-0100' FROM {{orders}}
-  UNION ALL SELECT doc_id, 3, n, concat('ｼｮｳﾋﾝ', CAST(part AS STRING), '番 ｘ', CAST(qty AS STRING), '　￥', CAST(price AS STRING)) FROM ({ITEMS})
-  UNION ALL SELECT doc_id, 4, 0, concat('小計 ¥', CAST(total AS STRING)) FROM ({SUMS})
-  UNION ALL SELECT doc_id, 5, 0, concat('8%対象※ ¥', CAST(total AS STRING), ' (内税 ¥', CAST(n_items AS STRING), ')') FROM ({SUMS})
-  UNION ALL SELECT doc_id, 6, 0, concat('内消費税等(8%) ¥', CAST(n_items + 1 AS STRING)) FROM ({SUMS})
-  UNION ALL SELECT doc_id, 7, 0, concat('消費税(10%) ¥', CAST(n_items + 2 AS STRING)) FROM ({SUMS})
-  UNION ALL SELECT doc_id, 8, 0, CASE WHEN doc_id % 2 = 0 THEN concat('合計 ', CAST(total AS STRING), '円') ELSE '合　計 合計' END FROM ({SUMS})
-  UNION ALL SELECT doc_id, 9, 0, concat('¥', CAST(total AS STRING)) FROM ({SUMS}) WHERE doc_id % 2 = 1
-  UNION ALL SELECT doc_id, 10, 0, concat('お預り合計 ¥', CAST(total + 1000 AS STRING)) FROM ({SUMS})
-  UNION ALL SELECT doc_id, 11, 0, 'お釣り ¥1,000' FROM ({SUMS})
-  UNION ALL SELECT doc_id, 12, 0, concat('お買上点数 ', CAST(n_items AS STRING), '点') FROM ({SUMS}))"""
+  SELECT doc_id, 3 AS part_no, n, concat('ｼｮｳﾋﾝ', CAST(part AS STRING), '番 ｘ', CAST(qty AS STRING), '　￥', CAST(price AS STRING)) AS line FROM ({ITEMS})
+  UNION ALL SELECT doc_id, CASE WHEN pos < 3 THEN pos ELSE pos + 1 END, CAST(0 AS BIGINT), line FROM (SELECT o_orderkey AS doc_id, posexplode(array(
+      concat('スーパー　ｶﾜｻｷ', CAST(o_custkey AS STRING), '号店'),
+      concat('平成', CAST(year(o_orderdate) - 1988 AS STRING), '年', CAST(month(o_orderdate) AS STRING), '月', CAST(day(o_orderdate) AS STRING), '日 ', CAST(o_orderkey % 24 AS STRING), ':', lpad(CAST(o_custkey % 60 AS STRING), 2, '0')),
+      'TEL 044-555-0100',
+      concat('小計 ¥', CAST(total AS STRING)),
+      concat('8%対象※ ¥', CAST(total AS STRING), ' (内税 ¥', CAST(n_items AS STRING), ')'),
+      concat('内消費税等(8%) ¥', CAST(n_items + 1 AS STRING)),
+      concat('消費税(10%) ¥', CAST(n_items + 2 AS STRING)),
+      CASE WHEN total IS NULL THEN NULL WHEN o_orderkey % 2 = 0 THEN concat('合計 ', CAST(total AS STRING), '円') ELSE '合　計 合計' END,
+      CASE WHEN o_orderkey % 2 = 1 THEN concat('¥', CAST(total AS STRING)) END,
+      concat('お預り合計 ¥', CAST(total + 1000 AS STRING)),
+      CASE WHEN total IS NOT NULL THEN 'お釣り ¥1,000' END,
+      concat('お買上点数 ', CAST(n_items AS STRING), '点'))) AS (pos, line)
+    FROM {{orders}} LEFT JOIN ({SUMS}) AS s ON o_orderkey = s.doc_id) WHERE line IS NOT NULL)"""
 
 
 def bare(statement: str) -> str:
