@@ -10,8 +10,9 @@ and runs of two lose nothing there.
   1. every document meets its lists' hubs (their least members), the one with most common runs first;
   2. a pair stays if its union-sketch estimate lies within four deviations of the threshold;
   3. exact Jaccard on the full sets (64-bit shingle hashes) confirms it; links give components;
-  4. lists that still hold two or more components compare their members across components, in groups
-     of bounded size; members of one component are never compared.
+  4. lists that still hold two or more components meet their most central members in the same way;
+  5. what then remains apart is compared across components, in groups of bounded size; members of one
+     component are never compared.
 
 Equal sets meet without comparison, by a 128-bit set hash. Only texts of candidates are shuffled.
 
@@ -33,6 +34,8 @@ from .common import Scratch, table
 
 THRESHOLD, SKETCH, SHINGLE, BLOCK = (80, 100), 64, 2, 256
 LAST = 2**63 - 1
+#: Rounds of linking to central members before the rest is compared group by group.
+CENTRAL_ROUNDS = 3
 CHUNK_BYTES = 200_000
 
 
@@ -280,10 +283,27 @@ def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size:
     links = links.unionByName(linked(apart))
     labels = components(links, scratch)
 
-    in_lists = _relabel(listed.select("key", "node"), labels, "node", "comp")
-    mixed = in_lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("lo <> hi")
-    lists = scratch.table(mixed.groupBy("members", "size").agg(F.min("key").alias("key")).where("size > 2"), "lists")
-    rows = in_lists.join(lists.select("key", "size"), "key")
+    def mixed_lists(labels):
+        """key, size, node, comp of lists with members of several components, equal lists once."""
+        held = _relabel(listed.select("key", "node"), labels, "node", "comp")
+        mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("lo <> hi")
+        once = mixed.groupBy("members", "size").agg(F.min("key").alias("key")).where("size > 2").select("key", "size")
+        return scratch.table(held.join(scratch.table(once, "mixed"), "key"), "lists")
+
+    # A family whose least member is far from most has other centres: the members found in most and
+    # longest lists become the hubs of what is still apart, as long as that finds links.
+    rows = mixed_lists(labels)
+    for _ in range(CENTRAL_ROUNDS):
+        weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
+        centre = scratch.table(rows.join(weight, "node").groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("weight", -F.col("node"))).alias("hub")), "centres")
+        apart = rows.join(centre, "key").where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        new = linked(apart)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        labels = components(links, scratch)
+        rows = mixed_lists(labels)
+
     # A list of up to `block` members is one group. Of a longer one, members outside its largest
     # component (h) and inside it (g) are cut into chunks; groups are pairs of chunks h-h and h-g.
     per_comp = rows.where(F.col("size") > block).groupBy("key", "comp").agg(F.count("*").alias("of"))
