@@ -397,7 +397,11 @@ def apply(spec):
 
 
 def remove_repeats(docs: DataFrame, spec: Spec) -> DataFrame:
-    """docs with n_units, n_removed, n_spans (long) and kept (binary): what stays of each text."""
+    """docs with n_units, n_removed, n_spans (long) and kept (binary): what stays of each text.
+
+    Columns of docs with these names are replaced.
+    """
+    docs = docs.drop("n_units", "n_removed", "n_spans", "kept")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = text_bytes(docs)

@@ -8,8 +8,7 @@ documents). Positions whose statistic reaches the window length give the reporte
 
 Words are compared by 64-bit hashes. Null text has no words; texts shorter than the window keep
 everything; rows with one id are one document, a null id counts as larger than all others; an empty
-table gives an empty result; columns besides doc_id and text pass through (the added names n_units,
-n_removed, n_spans, kept are reserved).
+table gives an empty result; columns besides doc_id and text pass through (those named n_units, n_removed, n_spans or kept are replaced).
 """
 
 from __future__ import annotations

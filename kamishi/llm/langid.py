@@ -231,7 +231,11 @@ def _predict(model, penalty, spans):
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans: bool = False) -> DataFrame:
-    """docs with lang_pred, score and, if asked for, spans (byte start, byte end, lang)."""
+    """docs with lang_pred, score and, if asked for, spans (byte start, byte end, lang).
+
+    Columns of docs with these names are replaced.
+    """
+    docs = docs.drop("lang_pred", "score", *["spans"] * spans)
     extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if spans:
         span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])

@@ -9,7 +9,7 @@ windows: n log n pairs instead of all. Every pair used is verified byte by byte.
 
 Null text is empty; texts shorter than the window keep everything; rows with equal ids or texts are
 separate texts, so a repeated row loses every window; an empty table gives an empty result; columns
-besides doc_id and text pass through (the added names n_units, n_removed, n_spans, kept are reserved).
+besides doc_id and text pass through (those named n_units, n_removed, n_spans or kept are replaced).
 """
 
 from __future__ import annotations

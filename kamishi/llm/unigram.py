@@ -8,7 +8,7 @@ drops the one put in front.
 
 Null text gives null ids; empty text gives none. Encoding then decoding returns every text unchanged
 but one: U+2581, the marker itself, which decodes to a space. Repeated rows get equal ids. An empty
-table gives an empty result. Other columns pass through (ids, decoded are reserved names).
+table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -258,7 +258,8 @@ def _encoded(shared, digest):
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """docs with ids, the pieces of text."""
+    """docs with ids, the pieces of text (a column of that name is replaced)."""
+    docs = docs.drop("ids")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     return docs.mapInArrow(_encoded(shared, False), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -279,7 +280,8 @@ def _decoded(shared):
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """encoded with decoded, the text that its ids stand for."""
+    """encoded with decoded, the text that its ids stand for (a column of that name is replaced)."""
+    encoded = encoded.drop("decoded")
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
     return encoded.mapInArrow(_decoded(shared), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 

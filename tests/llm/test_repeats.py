@@ -66,7 +66,7 @@ def test_words(spark, seed, hot):
 
 
 def test_edges(spark):
-    schema = "doc_id long, text string, kept_before int, key string"
+    schema = "doc_id long, text string, kept_before int, kept string"
     empty = spark.createDataFrame([], schema)
     assert dedup_suffixes(empty).count() == dedup_substrings(empty).count() == 0
     rows = [(None, "a b c d e f g", 1, "k"), (5, "a b c d e f g", 2, None), (5, "a b c d e f g", 2, None), (None, None, None, None)]
