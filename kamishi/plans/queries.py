@@ -395,7 +395,7 @@ def table_grid(spark, sf_dir):
     return grid.select("page_id", F.size("grid").cast("long").alias("n_rows"), F.size(F.col("grid")[0]).cast("long").alias("n_cols"), texts.cast("long").alias("n_texts"))
 
 
-@query(f"SELECT DISTINCT page_id, text FROM ({bare(GRID)}) WHERE obs_id IN (9, 19)" .replace("obs_id IN (9, 19)", "obs_id = 9"))
+@query(f"SELECT DISTINCT page_id, text FROM ({bare(GRID)}) WHERE obs_id = 9")
 def table_cell_covering(spark, sf_dir):
     cells, sizes = tables.reconstruct(run_sql(spark, sf_dir, GRID))
     at = sizes.select("page_id", F.lit(3).alias("at_row"), F.lit(1).alias("at_col"))
@@ -404,8 +404,14 @@ def table_cell_covering(spark, sf_dir):
 
 # --- decoding, backends -----------------------------------------------------------------------
 
-VOCABULARY = F.array(*[F.lit(c) for c in "_あいうえおかきくけこさしすせ"])
-LOGITS = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.slice("embedding", t * 16 + 1, 16))
+VOCABULARY = "_あいうえおかきくけこさしすせ"
+
+
+def logits():
+    """Four steps of sixteen classes from each embedding."""
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.slice("embedding", t * 16 + 1, 16))
+
+
 _STEPS = "SELECT vec_id, t, list_max(s) AS p, list_position(s, list_max(s)) - 1 AS c FROM (SELECT vec_id, t, embedding[t * 16 + 1:t * 16 + 16] AS s FROM embeddings, range(0, 4) AS r(t))"
 _EMITTED = f"SELECT *, c <> 0 AND (before IS NULL OR before <> c) AS emitted FROM (SELECT *, lag(c) OVER (PARTITION BY vec_id ORDER BY t) AS before FROM ({_STEPS}))"
 
@@ -414,13 +420,13 @@ _EMITTED = f"SELECT *, c <> 0 AND (before IS NULL OR before <> c) AS emitted FRO
 SELECT vec_id, coalesce(string_agg(CASE WHEN c < 15 THEN substr('_あいうえおかきくけこさしすせ', c::INT + 1, 1) ELSE '' END, '' ORDER BY t) FILTER (WHERE emitted), '') AS text,
        round(CASE WHEN count(*) FILTER (WHERE emitted) = 0 THEN 0 ELSE least(greatest(avg(p::DOUBLE) FILTER (WHERE emitted), 0), 1) END, 6) AS confidence FROM ({_EMITTED}) GROUP BY vec_id""")
 def ctc_decode(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", ctc.decode_logits(LOGITS, VOCABULARY).alias("d"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", ctc.decode_logits(logits(), F.split(F.lit(VOCABULARY), "")).alias("d"))
     return rows.select("vec_id", "d.text", F.round("d.confidence", 6).alias("confidence"))
 
 
 @query(f"SELECT vec_id, count(*) FILTER (WHERE emitted)::BIGINT AS n_labels FROM ({_EMITTED}) GROUP BY vec_id")
 def ctc_labels(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.size(ctc.greedy_labels(LOGITS)).cast("long").alias("n_labels"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.size(ctc.greedy_labels(logits())).cast("long").alias("n_labels"))
 
 
 @query("""
