@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
-def is_held_out() -> F.Column:
+def is_held_out() -> Column:
     """Documents that train nothing: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
