@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,17 +168,23 @@ def xy_cut(boxes: list[tuple[float, float, float, float]], vertical: bool, min_g
     return out
 
 
-def _order_page(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values("item", kind="stable").reset_index(drop=True)
-    boxes = list(page[["x", "y", "width", "height"]].itertuples(index=False, name=None))
-    order = xy_cut(boxes, page["orientation"].iloc[0] == "vertical")
-    return pd.DataFrame({"page_id": page["page_id"].iloc[order].to_numpy(), "item": page["item"].iloc[order].to_numpy(), "rank": range(len(order))})
+def _order_pages(batches):
+    """Ranks of the boxes of pages that come as one row each."""
+    for batch in batches:
+        pages, items, ranks = [], [], []
+        for page, orientation, boxes in zip(*(batch.column(c).to_pylist() for c in ("page_id", "orientation", "boxes")), strict=True):
+            order = xy_cut([(b["x"], b["y"], b["width"], b["height"]) for b in boxes], orientation == "vertical")
+            pages += [page] * len(order)
+            items += [boxes[i]["item"] for i in order]
+            ranks += range(len(order))
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(items, pa.int64()), pa.array(ranks, pa.int32())], ["page_id", "item", "rank"])
 
 
 def reading_order(items: DataFrame) -> DataFrame:
     """page_id, item, rank of boxes (page_id, item, orientation, x, y, width, height)."""
-    cols = items.select(F.col("page_id").cast("long"), F.col("item").cast("long"), "orientation", "x", "y", "width", "height")
-    return cols.groupBy("page_id").applyInPandas(_order_page, "page_id long, item long, rank int")
+    box = F.struct(F.col("item").cast("long").alias("item"), "x", "y", "width", "height")
+    pages = items.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.first("orientation").alias("orientation"), F.array_sort(F.collect_list(box)).alias("boxes"))
+    return pages.mapInArrow(_order_pages, "page_id long, item long, rank int")
 
 
 def analyze(observations: DataFrame, options: LayoutOptions = DEFAULT) -> DataFrame:
