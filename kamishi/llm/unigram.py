@@ -2,8 +2,8 @@
 
 The piece file gives pieces and scores; the best segmentation maximises their sum. No piece crosses
 from text into a following white-space marker, so every word (a marker run with what follows it) is
-segmented by itself, and a batch's distinct words all step through the trie together. Characters
-that no piece covers become byte pieces. Decoding joins the pieces, turns markers into spaces and
+segmented by itself, and a batch's distinct words all step through the trie together. A character
+that is no piece may become byte pieces, at less than the least score. Decoding joins the pieces, turns markers into spaces and
 drops the one put in front.
 
 Null text gives null ids; empty text gives none. Encoding then decoding returns every text unchanged
@@ -14,6 +14,7 @@ table gives an empty result. Other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +28,9 @@ from .common import table
 
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MARK_BYTES = MARK.encode()
-#: Score of a byte piece: below any sum of pieces that a character could have instead.
-BYTE_SCORE = -1e7
+WORDS = re.compile(f"{MARK}+[^{MARK}]*")
+#: How far a character as byte pieces lies below the file's least score.
+BYTE_PENALTY = 10.0
 CHUNK_BYTES = 4 << 20
 WIDTH = 96  # words of more bytes step one by one
 
@@ -100,7 +101,7 @@ class Vocabulary:
     ids: np.ndarray  # id of each trie value
     scores: np.ndarray  # score of each trie value
     byte_id: np.ndarray
-    marks: dict[int, int]  # piece id of marker runs by length
+    byte_score: float  # score of a character as byte pieces
 
 
 def load(path: str = PIECE_FILE) -> Vocabulary:
@@ -120,11 +121,10 @@ def load(path: str = PIECE_FILE) -> Vocabulary:
         else:
             pieces.append(p.encode())
             keys[p.encode()] = i
-    marks = {len(k) // 3: i for k, i in keys.items() if k == MARK_BYTES * (len(k) // 3)}
-    usable = sorted(k for k in keys if MARK_BYTES not in k[3:] or k == MARK_BYTES)
-    usable = [k for k in usable if k.rstrip() and not (len(k) > 3 and k[3:].find(MARK_BYTES) >= 0)]
+    usable = sorted(k for k in keys if MARK not in k.decode().lstrip(MARK))
     ids = np.array([keys[k] for k in usable])
-    return Vocabulary(tuple(pieces), build_trie(usable), ids, np.array([m.get_score(int(i)) for i in ids]), byte_id, marks)
+    scores = np.array([m.get_score(int(i)) for i in ids])
+    return Vocabulary(tuple(pieces), build_trie(usable), ids, scores, byte_id, float(scores.min()) - BYTE_PENALTY)
 
 
 def segment(words: list[bytes], v: Vocabulary) -> list[list[int]]:
@@ -154,17 +154,15 @@ def _segment(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     score[0] = 0
     piece = np.full((longest + 1, n), -1, np.int64)  # trie value that ends here; -2: byte pieces
     came = np.zeros((longest + 1, n), np.int64)
+    end, single = np.zeros(n, np.int64), np.zeros(n, bool)
     t = v.trie
     for s in range(longest):
         live = np.flatnonzero((lens > s) & np.isfinite(score[s]))
         if not len(live):
             continue
         lead = text[s, live]
-        width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
-        end = np.minimum(s + width, lens[live])
-        worse = score[s, live] + BYTE_SCORE
-        better = worse > score[end, live]
-        score[end[better], live[better]], piece[end[better], live[better]], came[end[better], live[better]] = worse[better], -2, s
+        end[live] = np.minimum(s + np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))), lens[live])
+        single[:] = False  # whether the character that starts here is a piece
         state, own, at = np.zeros(len(live), np.int64), live, s
         while True:
             to = t.base[state] + text[at, own]
@@ -176,6 +174,8 @@ def _segment(words: list[bytes], v: Vocabulary) -> list[list[int]]:
             ends = t.value[state]
             hit = ends >= 0
             who, which = own[hit], ends[hit]
+            if at <= s + 4:
+                single[who[end[who] == at]] = True
             total = score[s, who] + v.scores[which]
             better = total > score[at, who]
             who = who[better]
@@ -184,6 +184,12 @@ def _segment(words: list[bytes], v: Vocabulary) -> list[list[int]]:
             state, own = state[on], own[on]
             if not len(own):
                 break
+        bare = live[~single[live]]
+        if len(bare):
+            worse, to = score[s, bare] + v.byte_score, end[bare]
+            better = worse > score[to, bare]
+            bare, to = bare[better], to[better]
+            score[to, bare], piece[to, bare], came[to, bare] = worse[better], -2, s
     out: list[list[int]] = [[] for _ in words]
     at, live = lens.copy(), np.arange(n)[lens > 0]
     steps = []
@@ -199,8 +205,8 @@ def _segment(words: list[bytes], v: Vocabulary) -> list[list[int]]:
 
 
 def pretokens(text: str) -> list[str]:
-    """The text with markers for spaces, one put in front, cut before every marker."""
-    return [MARK + w for w in text.replace(MARK, " ").split(" ")]
+    """The text with markers for spaces, one put in front, cut before every run of markers."""
+    return WORDS.findall(MARK + text.replace(" ", MARK))
 
 
 def encode_batch(texts: list[str | None], v: Vocabulary, known: dict[str, list[int]] | None = None) -> list[list[int] | None]:
