@@ -16,9 +16,12 @@ and runs of two lose nothing there.
 
 Equal sets meet without comparison, by a 128-bit set hash. Only texts of candidates are shuffled.
 
-Null, empty or blank text has an empty set, linked with nothing. Rows with equal ids are one document
-for the component id; a null id sorts after all others and is reported as null. An empty table gives
-an empty result. Columns besides doc_id and text are not read.
+Null, empty or blank text has an empty set, linked with nothing. A row is a node of its own, named by
+63 bits of a hash of id and text; only rows equal in both share one, so neither null ids nor one id
+with several texts tie documents together. A component has the least doc_id of its rows (null where
+all are null) and a first row (least id, then least name; nulls last). kept holds for rows with the
+component's id, or where that is null for the first row and rows equal to it; one_of_each leaves a
+single row. An empty table gives an empty result. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -80,14 +83,14 @@ def _sketch(k, size):
                 s1, s2 = ((x[begin + n] - x[begin]).view(np.int64) for x in sums)
                 kept = np.minimum(n, k)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(h[rank < k]))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists], ["doc", "n", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists], ["doc", "id", "n", "s1", "s2", "sketch"])
 
     return run
 
 
 def sketches(docs: DataFrame, k: int = SKETCH, size: int = SHINGLE) -> DataFrame:
-    """doc, n (distinct shingles), s1, s2 (set hash), sketch (the k least hashes, rising)."""
-    return docs.select("doc", "text").mapInArrow(_sketch(k, size), "doc long, n long, s1 long, s2 long, sketch array<bigint>")
+    """doc, id, n (distinct shingles), s1, s2 (set hash), sketch (the k least hashes, rising)."""
+    return docs.select("doc", "id", "text").mapInArrow(_sketch(k, size), "doc long, id long, n long, s1 long, s2 long, sketch array<bigint>")
 
 
 def run_keys(sketch: Column, n: Column) -> Column:
@@ -246,22 +249,35 @@ def _exact(size, threshold):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+def row_name() -> Column:
+    """Name of a row, by its id and text; never null or negative."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").bitwiseAND(F.lit(LAST))
+
+
+def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows; node, component_id and first of linked nodes; nodes of several equal rows."""
     scratch = Scratch()
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
+    docs = docs.select(row_name().alias("doc"), F.col("doc_id").cast("long").alias("id"), "text")
     sk = scratch.table(sketches(docs, k, size), "sketches")
     sets = scratch.table(sk.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "sets")
-    copies = sk.where("n > 0").join(sets.where("copies > 1"), ["s1", "s2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    copies = scratch.table(copies.distinct(), "copies")
-    reps = sk.where("n > 0").join(copies.select(F.col("a").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("node"), "n", "sketch")
+    members = sk.where("n > 0").join(sets.where("copies > 1"), ["s1", "s2", "n"]).groupBy("doc", "rep").agg(F.count("*").alias("rows"))
+    members = scratch.table(members, "copies")
+    copies = members.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    repeats = scratch.table(members.where("rows > 1").select("doc"), "repeats")
+    repeated = not repeats.isEmpty()
+
+    def once(df):
+        """df with one row of each node."""
+        return df.join(repeats, "doc", "left_anti").unionByName(df.join(repeats, "doc", "left_semi").dropDuplicates(["doc"])) if repeated else df
+
+    reps = once(sk.where("n > 0").join(copies.select(F.col("a").alias("doc")), "doc", "left_anti").select("doc", "n", "sketch")).withColumnRenamed("doc", "node")
 
     keyed = reps.select("node", F.explode(run_keys(F.col("sketch"), F.col("n"))).alias("key"))
     hubs = scratch.table(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub"), "hubs")
     listed = scratch.table(keyed.join(hubs, "key"), "listed")
     met = scratch.table(listed.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common")), "met")
     needed = listed.select("node").distinct()
-    texts = scratch.table(docs.join(needed, F.col("doc") == F.col("node"), "left_semi"), "texts")
+    texts = scratch.table(once(docs.join(needed, F.col("doc") == F.col("node"), "left_semi").select("doc", "text")), "texts")
 
     def side(df, on, name):
         own = reps.select(F.col("node").alias(name + "_node"), F.col("n").alias(name + "_n"), F.col("sketch").alias(name + "_sketch"))
@@ -327,11 +343,31 @@ def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size:
     found = held.groupBy("key", "kind", "i", "j").applyInArrow(_exact(size, threshold), "a long, b long").distinct()
     links = links.unionByName(scratch.table(found, "links"))
 
-    labels = scratch.table(components(links.unionByName(copies), scratch), "final")
-    scratch.discard(sk, labels)
-    ids = F.when(F.col("comp") < LAST, F.col("comp"))
-    done = _relabel(sk.select("doc", "n"), labels, "doc", "comp")
-    return done.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), ids.alias("component_id"), F.col("doc").eqNullSafe(F.col("comp")).alias("kept"))
+    labels = components(links.unionByName(copies), scratch)
+    least = labels.join(sk.select(F.col("doc").alias("node"), "id"), "node").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
+    labels = scratch.table(labels.join(least, "comp").select("node", F.col("least.id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first")), "final")
+    scratch.discard(sk, labels, repeats)
+    return sk, labels, repeats
+
+
+def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    sk, labels, _ = _clusters(docs, threshold, k, size, block)
+    done = sk.select("doc", "id", "n").join(labels, F.col("doc") == F.col("node"), "left")
+    ids = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), "first", F.lit(True))
+    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), ids.alias("component_id"), kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """docs with a single row of each component: its first, of equal rows the least by all columns."""
+    _, labels, repeats = _clusters(docs, threshold, k, size, block)
+    named = docs.withColumn("_row", row_name()).join(labels.where("not first").select(F.col("node").alias("_row")), "_row", "left_anti")
+    if repeats.isEmpty():
+        return named.select(docs.columns)
+    again = repeats.withColumnRenamed("doc", "_row")
+    least = named.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_least")).select("_least.*")
+    return named.join(again, "_row", "left_anti").select(docs.columns).unionByName(least)
 
 
 def op10(spark, sf_dir):
