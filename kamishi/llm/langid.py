@@ -3,7 +3,11 @@
 A word's script (a fixed table of code-point ranges, read from its first letter's bytes) narrows the
 candidates to the languages whose training texts use that script. Candidates are scored by byte
 trigrams (naive Bayes, add-one) and a Viterbi pass with a switching penalty labels each word. A text's language is
-the one with most word bytes; its score is that share, times the mean certainty of those words.
+the one with most word bytes; its score is that share, times the mean certainty of those words. The
+score only ranks the learned languages; whether a text is in one of them at all is said by `foreign`:
+most letters are in scripts that none uses, or a letter's mean log likelihood (words without digits)
+lies under the floor of its language, eight deviations below the mean of the training texts, each left
+out of the counts that judge it.
 
 Null text, or text without a letter, is `und` with score 0. Empty training data makes every text
 `und`. Rows with null lang or text train nothing. Repeated rows get equal answers. An empty table
@@ -30,6 +34,8 @@ TRAIN_ROWS = 4000
 SWITCH_PENALTY = 12.0
 UNSEEN = "und"
 CHUNK_BYTES = 4 << 20
+#: Deviations below the mean of the training texts at which a text is foreign; the least deviation.
+FLOOR_DEVIATIONS, LEAST_DEVIATION = 8.0, 0.3
 
 # First code points of letter ranges and their scripts (Unicode block boundaries).
 SCRIPT_STARTS = [
@@ -113,19 +119,26 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(n[at])], ["lang", "kind", "slot", "n"])
 
 
+def _chosen(docs: DataFrame, train_rows: int) -> tuple[list[str], DataFrame | None]:
+    """Languages of the labelled rows, and lang and text of about train_rows of each, chosen by id."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return [], None
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_rows / n))])
+    return sorted(sizes), labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
+
+
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from rows with text and lang: about train_rows of each language, chosen by id.
 
     What reaches the driver is bounded by languages times FEATURES.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    langs, chosen = _chosen(docs, train_rows)
+    if chosen is None:
         return Model((), np.zeros((0, FEATURES), np.float32), np.zeros((0, NO_SCRIPT + 1), bool))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_rows / n))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
     counts = chosen.mapInArrow(_count, "lang string, kind int, slot long, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toPandas()
-    langs = tuple(sorted(sizes))
+    langs = tuple(langs)
     logp, scripts = np.ones((len(langs), FEATURES)), np.zeros((len(langs), NO_SCRIPT + 1))
     for i, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
@@ -136,6 +149,67 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     return Model(langs, np.log(logp / logp.sum(axis=1, keepdims=True)).astype(np.float32), uses)
 
 
+def judged(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Letter bytes of words without a digit."""
+    digits = np.concatenate(([0], np.cumsum((buf >= 48) & (buf <= 57))))
+    plain = digits[ends] == digits[starts]
+    edge = np.zeros(len(buf) + 1, np.int64)
+    np.add.at(edge, starts[plain], 1)
+    np.add.at(edge, ends[plain], -1)
+    return (np.cumsum(edge)[:-1] > 0) & (_LETTER[buf] | (buf >= 0xC3) | ((buf >= 0x80) & (buf < 0xC0)))
+
+
+def _likelihoods(model: Model):
+    """(lang, x): log likelihood of a letter in each training text by the counts of the others."""
+    total = np.exp(-model.logp.min(axis=1).astype(np.float64))  # the least count is one
+
+    def run(batches):
+        for batch in batches:
+            langs, out = batch.column("lang").to_pylist(), []
+            buf, offs = bv.buffer_of(batch.column("text"))
+            for i, lang in enumerate(langs):
+                part, at = buf[offs[i] : offs[i + 1]], model.langs.index(lang)
+                one = np.array([0, len(part)])
+                starts, ends, _ = bv.word_spans(part, one)
+                keep = judged(part, starts, ends)
+                if keep.any():
+                    f = features(part, one)
+                    kinds, where, own = np.unique(f, return_inverse=True, return_counts=True)
+                    rest = np.maximum(np.exp(model.logp[at][kinds].astype(np.float64)) * total[at] - own, 1)
+                    out.append((lang, float(np.log(rest[where][keep]).mean() - np.log(max(total[at] - len(part), 1)))))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["lang", "x"])
+
+    return run
+
+
+def floors(docs: DataFrame, model: Model, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+    """Least log likelihood of a letter, by language, at which a text is still taken for it."""
+    langs, chosen = _chosen(docs, train_rows)
+    out = np.full(len(langs), -np.inf)
+    if chosen is not None:
+        for r in chosen.mapInArrow(_likelihoods(model), "lang string, x double").groupBy("lang").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).collect():
+            out[model.langs.index(r["lang"])] = r["mean"] - FLOOR_DEVIATIONS * max(r["sd"], LEAST_DEVIATION)
+    return out
+
+
+def is_foreign(model: Model, floor: np.ndarray, texts, starts, ends, doc, label, top) -> np.ndarray:
+    """Texts in no learned language, given their words' labels and their own."""
+    n = len(top)
+    buf, offs = bv.buffer_of(texts)
+    script = scripts_of(buf, starts, ends)
+    lettered = (ends - starts) * (script != NO_SCRIPT)
+    unknown = np.bincount(doc, lettered * ~model.scripts.any(axis=0)[script], n)
+    keep, f = judged(buf, starts, ends), features(buf, offs)
+    own = np.zeros(len(starts))
+    for i in range(len(model.langs)):
+        sums = np.concatenate(([0.0], np.cumsum(model.logp[i][f] * keep, dtype=np.float64)))
+        own = np.where(label == i, sums[ends] - sums[starts], own)
+    count = np.concatenate(([0], np.cumsum(keep)))
+    letters = np.bincount(doc, count[ends] - count[starts], n)
+    low = np.bincount(doc, own, n) < floor[top] * letters
+    return (2 * unknown > np.bincount(doc, lettered, n)) | (low & (letters > 0))
+
+
 def word_scores(model: Model, buf, offs, starts, ends, woffs) -> np.ndarray:
     """Words x languages; languages outside the word's script are out of reach."""
     f = features(buf, offs)
@@ -197,13 +271,14 @@ def _slices(texts):
         yield int(lo), int(hi)
 
 
-def _predict(model, penalty, spans):
+def _predict(model, penalty, spans, floor):
     def run(batches):
         for batch in batches:
             for lo, hi in _slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 n = part.num_rows
                 names, scores, found = [UNSEEN] * n, np.zeros(n), [[] for _ in range(n)]
+                foreign = np.ones(n, bool)
                 if model.langs:
                     starts, ends, woffs, offs, label, sure, letters = label_words(model, part.column("text"), penalty)
                     size = (ends - starts).astype(np.float64)
@@ -215,6 +290,8 @@ def _predict(model, penalty, spans):
                     total = np.maximum(mass.sum(axis=1), 1e-9)
                     scores = np.where(letters, np.clip(certain[np.arange(n), top] / total, 0, 1), 0.0)
                     names = [model.langs[t] if ok else UNSEEN for t, ok in zip(top, letters, strict=True)]
+                    if floor is not None:
+                        foreign = is_foreign(model, floor, part.column("text"), starts, ends, doc, label, top)
                     if spans:
                         edge = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])))) if len(label) else []
                         for a, b in zip(edge, [*edge[1:], len(label)], strict=True) if len(label) else []:
@@ -225,22 +302,27 @@ def _predict(model, penalty, spans):
                 if spans:
                     out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
                     fields.append("spans")
+                if floor is not None:
+                    out.append(pa.array(foreign))
+                    fields.append("foreign")
                 yield pa.RecordBatch.from_arrays(out, fields)
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans: bool = False) -> DataFrame:
-    """docs with lang_pred, score and, if asked for, spans (byte start, byte end, lang).
+def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spans: bool = False, floor: np.ndarray | None = None) -> DataFrame:
+    """docs with lang_pred, score and, if asked for, spans (byte start, byte end, lang) and, given floors, foreign.
 
     Columns of docs with these names are replaced.
     """
-    docs = docs.drop("lang_pred", "score", *["spans"] * spans)
+    docs = docs.drop("lang_pred", "score", *["spans"] * spans, *["foreign"] * (floor is not None))
     extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if spans:
         span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
         extra.append(T.StructField("spans", T.ArrayType(span)))
-    return docs.mapInArrow(_predict(model, penalty, spans), T.StructType([*docs.schema.fields, *extra]))
+    if floor is not None:
+        extra.append(T.StructField("foreign", T.BooleanType()))
+    return docs.mapInArrow(_predict(model, penalty, spans, floor), T.StructType([*docs.schema.fields, *extra]))
 
 
 def op9(spark, sf_dir):
