@@ -75,7 +75,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     """vocabulary of a JSON array or of a text with one entry per line; blank lines count."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\n")
     listed = F.from_json("value", "array<string>")
     return text.select(F.when(F.ltrim("value").startswith("["), listed).otherwise(lines).alias("vocabulary"))
