@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,42 +19,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
+    """The folder that all executors share. Only a local session may go without: it gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="kamishi-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kamishi/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
+    return _write(df, name)[0]
 
 
 class Scratch:
-    """Tables in the shared folder that belong to one call; those no longer read can be deleted."""
+    """Tables in the shared folder that belong to one call; those no longer read are deleted."""
 
     def __init__(self):
         self.paths: list[tuple[DataFrame, str]] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        out = materialize(df, name)
-        self.paths.append((out, out.inputFiles()[0].rsplit("/", 1)[0] if out.inputFiles() else ""))
+        out, path = _write(df, name)
+        self.paths.append((out, path))
         return out
 
-    def discard(self, *keep: DataFrame) -> None:
-        """Delete all tables but those of keep."""
-        spark = None
+    def _delete(self, gone: Callable[[DataFrame], bool]) -> None:
         for df, path in self.paths:
-            if path and not any(df is k for k in keep):
+            if gone(df):
                 spark = df.sparkSession
                 where = spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        self.paths = [(df, p) for df, p in self.paths if any(df is k for k in keep)]
+        self.paths = [(df, p) for df, p in self.paths if not gone(df)]
+
+    def drop(self, *tables: DataFrame) -> None:
+        self._delete(lambda df: any(df is t for t in tables))
+
+    def discard(self, *keep: DataFrame) -> None:
+        """Delete all tables but those of keep."""
+        self._delete(lambda df: not any(df is k for k in keep))
 
 
 def words_of(text: Column) -> Column:

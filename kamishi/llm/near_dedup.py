@@ -1,20 +1,22 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
-A document's sketch is the k least hashes of its distinct shingles. Inverted lists are keyed by runs
-of consecutive sketch values: what two documents share of the bottom k of their union is consecutive
-in both sketches wherever two or three shared values follow each other, and a run, unlike a single
-frequent value, has no list of unrelated documents. At k = 64 and a Jaccard similarity of 0.8 the
-chance that no run of three survives is 1.3e-10; sketches of fewer than k values are the whole set
-and runs of two lose nothing there.
-
-  1. every document meets its lists' hubs (their least members), the one with most common runs first;
-  2. a pair stays if its union-sketch estimate lies within four deviations of the threshold;
-  3. exact Jaccard on the full sets (64-bit shingle hashes) confirms it; links give components;
-  4. lists that still hold two or more components meet their most central members in the same way;
-  5. what then remains apart is compared across components, in groups of bounded size; members of one
-     component are never compared.
-
-Equal sets meet without comparison, by a 128-bit set hash. Only texts of candidates are shuffled.
+A document's sketch is the k least hashes of its distinct shingles. Inverted lists are keyed by two
+consecutive sketch values: what two documents share of the bottom k of their union stands side by
+side in both sketches, and a run, unlike a single frequent value, has few unrelated documents.
+
+  1. overlaps: a linked pair shares at least `shared_runs` lists, so rows with fewer lists in common
+     with others drop out before anything is compared;
+  2. each list meets its most central member; a pair stays if its union-sketch estimate lies within
+     `slack` deviations of the threshold, and exact Jaccard on the full sets confirms it;
+  3. links give components; lists that still hold several components go through 1 and 2 again;
+  4. the rest is compared exactly: members outside a list's main component with that component, once
+     for all lists, and with each other list by list, in groups of bounded size. A member leaves out
+     as many of its longest lists as it may lack (prefix filter); one component is never compared.
+
+Only steps 1 and 2 rest on chance: of pairs exactly at the threshold, 1e-9 share fewer lists and
+2e-8 are estimated six deviations too low (k = 64); slack=None compares without the estimate. Sets of up
+to k shingles are compared exactly. Equal sets meet without comparison, by a 128-bit set hash. Only
+texts of candidates are shuffled; a text must fit a task, a long one takes a group for itself.
 
 Null, empty or blank text has an empty set, linked with nothing. A row is a node of its own, named by
 63 bits of a hash of id and text; only rows equal in both share one, so neither null ids nor one id
@@ -29,17 +31,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
 from .common import Scratch, table
 
-THRESHOLD, SKETCH, SHINGLE, BLOCK = (80, 100), 64, 2, 256
+THRESHOLD, SKETCH, SHINGLE, BLOCK = (80, 100), 64, 2, 512
 LAST = 2**63 - 1
+#: Deviations of the union-sketch estimate, and the chance that a linked pair shares fewer runs.
+SLACK, LOSS = 6.0, 1e-9
 #: Rounds of linking to central members before the rest is compared group by group.
-CENTRAL_ROUNDS = 3
+CENTRAL_ROUNDS = 2
 CHUNK_BYTES = 200_000
+#: Shingles of one side of a group, and of one pass of its exact comparison.
+BLOCK_SHINGLES, PASS_SHINGLES = 4_000_000, 2_000_000
 
 
 def shingles(texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -93,42 +99,74 @@ def sketches(docs: DataFrame, k: int = SKETCH, size: int = SHINGLE) -> DataFrame
     return docs.select("doc", "id", "text").mapInArrow(_sketch(k, size), "doc long, id long, n long, s1 long, s2 long, sketch array<bigint>")
 
 
-def run_keys(sketch: Column, n: Column) -> Column:
-    """Keys of the runs of two (sets of up to 16) and of three (sets of 8 and more) values."""
+def run_keys(sketch: Column) -> Column:
+    """Keys of the runs of two consecutive values."""
+    at = lambda i: F.xxhash64(sketch[i], sketch[i + 1])
+    return F.transform(F.sequence(F.lit(0), F.size(sketch) - 2), at)
 
-    def runs(r):
-        at = lambda i: F.xxhash64(F.lit(r), *[sketch[i + j] for j in range(r)])
-        return F.transform(F.sequence(F.lit(0), F.size(sketch) - r), at)
 
-    none = F.array().cast("array<bigint>")
-    return F.concat(F.when((n >= 4) & (n <= 16), runs(2)).otherwise(none), F.when(n >= 8, runs(3)).otherwise(none))
+def shared_runs(k: int, threshold, loss: float = LOSS) -> int:
+    """Most runs of two that a pair at the threshold shares but with a chance of `loss`.
+
+    Each of the k least values of the union is shared with the chance of the threshold; the counts of
+    neighbours that are both shared follow step by step.
+    """
+    t = threshold[0] / threshold[1]
+    p = np.zeros((2, k + 1))  # by whether the last value is shared, and runs so far
+    p[0, 0], p[1, 0] = 1 - t, t
+    for _ in range(k - 1):
+        p = np.stack((p.sum(axis=0) * (1 - t), (p[0] + np.append(0, p[1, :-1])) * t))
+    return int(np.searchsorted(np.cumsum(p.sum(axis=0)), loss))
+
+
+def needed_runs(n: Column, k: int, threshold) -> Column:
+    """Runs that a set of n shingles shares with any linked one: whole sets of a union of u values lack
+    at most (1 - t) u of them, each of which parts one run more than it takes."""
+    t = threshold[0] / threshold[1]
+    whole = F.ceil((2 * t - 1) * n - 1 - 1e-9)
+    return F.greatest(F.lit(1), F.least(F.lit(max(1, shared_runs(k, threshold))), whole)).cast("int")
+
+
+def _padded(lists, k):
+    """Rows of k values from a list array, filled up with LAST; and the lengths."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    lens, values = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+    out = np.full((len(lens), k), LAST)
+    out[np.repeat(np.arange(len(lens)), lens), np.arange(len(values)) - np.repeat(np.cumsum(lens) - lens, lens)] = values
+    return out, lens
 
 
-def estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, int]:
-    """Jaccard estimate from the bottom k of the union of two sketches, and the values it rests on."""
-    union = np.union1d(a, b)[:k]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return np.isin(union, both, assume_unique=True).sum() / max(len(union), 1), len(union)
+def estimates(x, y, whole, k):
+    """Jaccard estimates of pairs of padded sketches (rows of x and y) from the bottom k of their
+    unions; from all values where both sketches are whole sets."""
+    both = np.sort(np.concatenate((x, y), axis=1), axis=1)
+    real = both != LAST
+    again = np.zeros_like(real)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    distinct = real & ~again
+    within = np.cumsum(distinct, axis=1) <= np.where(whole, 2 * k, k)[:, None]
+    return (again & within).sum(axis=1) / np.maximum((distinct & within).sum(axis=1), 1)
 
 
-def passes(est, m, na, nb, k, threshold):
-    """Whether an estimate may belong to a pair at the threshold; exact where both sketches are sets."""
+def passes(x, y, na, nb, k, threshold, slack):
+    """Whether pairs may reach the threshold by their estimates; exact where both sketches are sets."""
     t = threshold[0] / threshold[1]
-    slack = np.where((na <= k) & (nb <= k) & (na + nb <= k), 1e-9, 4 * np.sqrt(t * (1 - t) / np.maximum(m, 1)))
-    return (est >= t - slack) & (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9)
+    whole = (na <= k) & (nb <= k)
+    sizes = np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9
+    if slack is None:
+        return sizes & (~whole | (estimates(x, y, whole, k) >= t - 1e-9))
+    return sizes & (estimates(x, y, whole, k) >= t - np.where(whole, 1e-9, slack * np.sqrt(t * (1 - t) / k)))
 
 
-def _estimated(k, threshold):
+def _estimated(k, threshold, slack):
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a_sketch"), batch.column("b_sketch")
-            av, bvv = a.flatten().to_numpy(), b.flatten().to_numpy()
-            ao = np.concatenate(([0], np.cumsum(pc.list_value_length(a).to_numpy())))
-            bo = np.concatenate(([0], np.cumsum(pc.list_value_length(b).to_numpy())))
-            got = [estimate(av[ao[i] : ao[i + 1]], bvv[bo[i] : bo[i + 1]], k) for i in range(batch.num_rows)]
-            est, m = (np.array(x) for x in zip(*got, strict=True)) if got else (np.zeros(0), np.zeros(0))
-            ok = passes(est, m, batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy(), k, threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
+            for lo in range(0, batch.num_rows, 10_000):
+                part = batch.slice(lo, 10_000)
+                (x, _), (y, _) = _padded(part.column("a_sketch"), k), _padded(part.column("b_sketch"), k)
+                ok = pa.array(passes(x, y, part.column("a_n").to_numpy(), part.column("b_n").to_numpy(), k, threshold, slack))
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], ["a", "b"])
 
     return run
 
@@ -153,7 +191,7 @@ def _verified(size, threshold):
     return run
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _spread_least(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp (least node reachable): neighbours' least labels and pointer jumping until stable."""
     both = scratch.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
@@ -162,9 +200,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         jump = labels.select(F.col("node").alias("at"), F.col("comp").alias("jump"))
         step = labels.join(near, labels["node"] == near["a"]).join(jump, F.col("comp") == F.col("at"), "left")
         new = scratch.table(step.select("node", F.col("comp").alias("old"), F.least("comp", "near", F.coalesce("jump", "comp")).alias("comp")), "labels")
-        if new.where("old <> comp").isEmpty():
-            return new.drop("old")
-        labels = new.drop("old")
+        stable = new.where("old <> comp").isEmpty()
+        scratch.drop(labels)
+        labels = new
+        if stable:
+            scratch.drop(both)
+            return labels.drop("old")
 
 
 def _relabel(df, labels, column, name):
@@ -172,6 +213,21 @@ def _relabel(df, labels, column, name):
     return df.join(named, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_comp", column)).drop("_node", "_comp")
 
 
+def merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels (node, comp) after further links (a, b): only components are walked, not their nodes."""
+    if labels is None:
+        return _spread_least(links, scratch)
+    ends = _relabel(_relabel(links, labels, "a", "ca"), labels, "b", "cb")
+    found = _spread_least(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), scratch)
+    old = _relabel(labels, found, "comp", "comp")
+    return scratch.table(old.unionByName(found.join(labels, "node", "left_anti").select("node", "comp")), "labels")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, comp (least node reachable) of the nodes of edges (a, b)."""
+    return merged(None, edges, scratch)
+
+
 def _common(owner, values, m):
     """Values that each two of m members share: products of 0/1 columns, some columns at a time."""
     order = np.lexsort((owner, values))
@@ -189,61 +245,54 @@ def _common(owner, values, m):
     return out.astype(np.int64)
 
 
-def _apart(comp, side, solo):
+def _apart(rows):
     """Pairs of a group to compare: of different components and, but in a solo group, of both sides."""
+    comp, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "side"))
+    solo = rows.column("kind")[0].as_py() == "list" and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
     return np.triu((comp[:, None] != comp) & (solo | (side[:, None] != side)), 1)
 
 
-def _estimates(x, y, k):
-    """Union-sketch estimates of pairs of padded sketches (rows of x and y), and their sizes."""
-    both = np.sort(np.concatenate((x, y), axis=1), axis=1)
-    real = both != LAST
-    again = np.zeros_like(real)
-    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    within = np.cumsum(real & ~again, axis=1) <= k
-    size = np.minimum((real & ~again).sum(axis=1), k)
-    return (again & within).sum(axis=1) / np.maximum(size, 1), size
+GROUP = ["kind", "key", "i", "j"]
 
 
-GROUP = "key long, kind string, i int, j int"
-
-
-def _likely(k, threshold):
+def _likely(k, threshold, slack):
     """Members of a group that pass the estimate with a member of another component."""
 
     def run(rows):
-        comp, n, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "n", "side"))
-        lists = rows.column("sketch").combine_chunks()
-        lens, values = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
-        m = len(comp)
-        padded = np.full((m, k), LAST)
-        owner = np.repeat(np.arange(m), lens)
-        padded[owner, np.arange(len(values)) - np.repeat(np.cumsum(lens) - lens, lens)] = values
-        solo = rows.column("kind")[0].as_py() == "h" and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-        near = _apart(comp, side, solo) & (2 * _common(owner, values, m) >= np.minimum(lens[:, None], lens))
+        n = rows.column("n").to_numpy(zero_copy_only=False)
+        padded, lens = _padded(rows.column("sketch"), k)
+        near = _apart(rows)
+        if slack is not None:
+            owner = np.repeat(np.arange(len(n)), lens)
+            near &= 2 * _common(owner, padded[padded != LAST], len(n)) >= np.minimum(lens[:, None], lens)
         a, b = np.nonzero(near)
-        keep = np.zeros(m, bool)
+        keep = np.zeros(len(n), bool)
         for lo in range(0, len(a), 20_000):
             x, y = a[lo : lo + 20_000], b[lo : lo + 20_000]
-            est, size = _estimates(padded[x], padded[y], k)
-            ok = passes(est, size, n[x], n[y], k, threshold)
+            ok = passes(padded[x], padded[y], n[x], n[y], k, threshold, slack)
             keep[x[ok]] = keep[y[ok]] = True
-        return rows.select(["key", "kind", "i", "j", "node", "comp", "side"]).filter(pa.array(keep))
+        return rows.select([*GROUP, "node", "comp", "side"]).filter(pa.array(keep))
 
     return run
 
 
 def _exact(size, threshold):
-    """Links of a group between components, by the full sets."""
+    """Links of a group between components, by the full sets; hash range by hash range if they are large."""
 
     def run(rows):
-        node, comp, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "side"))
-        doc, h = shingles(rows.column("text"), size)
-        m = len(node)
-        n = np.bincount(doc, minlength=m)
-        solo = rows.column("kind")[0].as_py() == "h" and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-        common = _common(doc, h, m)
-        a, b = np.nonzero(_apart(comp, side, solo) & (threshold[1] * common >= threshold[0] * (n[:, None] + n - common)) & (common > 0))
+        node, text, m = rows.column("node").to_numpy(), rows.column("text").combine_chunks(), rows.num_rows
+        n_passes = 1 + int(rows.column("n").to_numpy().sum()) // PASS_SHINGLES
+        n, common = np.zeros(m, np.int64), np.zeros((m, m), np.int64)
+        for at in range(n_passes):
+            got = []
+            for lo, hi in _parts(text):
+                doc, h = shingles(text.slice(lo, hi - lo), size)
+                mine = h.view(np.uint64) % np.uint64(n_passes) == np.uint64(at)
+                got.append((doc[mine] + lo, h[mine]))
+            doc, h = (np.concatenate(x) for x in zip(*got, strict=True))
+            n += np.bincount(doc, minlength=m)
+            common += _common(doc, h, m)
+        a, b = np.nonzero(_apart(rows) & (threshold[1] * common >= threshold[0] * (n[:, None] + n - common)) & (common > 0))
         return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
 
     return run
@@ -254,15 +303,65 @@ def row_name() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text").bitwiseAND(F.lit(LAST))
 
 
-def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _overlapping(rows: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """node, need, comp, key, size: rows of lists that hold several components, of nodes with at least
+    as many such lists as they share with a linked one."""
+    held = rows.withColumn("comp", F.col("node")) if labels is None else _relabel(rows.select("node", "need", "key"), labels, "node", "comp")
+    lists = held.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
+    met = F.count("*").over(Window.partitionBy("node"))
+    return scratch.table(held.join(lists, "key").withColumn("met", met).where("met >= need").select("node", "need", "comp", "key", "size"), "overlaps")
+
+
+def _blocks(members: DataFrame, by: list[str], block: int, name: str) -> DataFrame:
+    """by, name: blocks that the members (with n) of each group fill, by their number and shingles."""
+    load = F.greatest(F.count("*") / F.lit(block), F.sum("n") / F.lit(BLOCK_SHINGLES))
+    return members.groupBy(*by).agg(F.ceil(load).cast("int").alias(name))
+
+
+def _groups(rows: DataFrame, own: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """kind, key, i, j, node, comp, side, n: bounded groups that hold every pair of lists still apart.
+
+    main: a component with the members of other components that meet it in a list where it is the
+    largest. list: the members of a list outside that component. Of its lists of this kind a member
+    leaves out the longest `need` - 1: a linked pair that meets in no main group shares `need` of them.
+    """
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("of"))
+    largest = sizes.groupBy("key").agg(F.max_by(F.struct("comp", "of"), F.struct("of", -F.col("comp"))).alias("m"))
+    largest = largest.select("key", F.when(F.col("m.of") > 1, F.col("m.comp")).alias("main"))
+    marked = scratch.table(rows.join(largest, "key").where("main is null or comp <> main"), "marked")
+    sized = own.select("node", "n")
+    outer = scratch.table(marked.where("main is not null").select("main", "node", "comp").distinct().join(sized, "node"), "outer")
+    inner = rows.select(F.col("comp").alias("main"), "node", "comp").distinct().join(outer.select("main").distinct(), "main", "left_semi").join(sized, "node")
+    n_outer, n_inner = _blocks(outer, ["main"], block, "ni"), _blocks(inner, ["main"], block, "nj")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), n.cast("long")).cast("int")
+    named = lambda kind, i, j, side: [F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side")]
+    held = outer.withColumn("key", F.col("main")).join(n_outer.join(n_inner, "main"), "main")
+    one = held.withColumn("to", F.explode(upto(F.col("nj")))).select("key", "node", "comp", "n", *named("main", mine(F.col("ni")), F.col("to"), F.lit(True)))
+    held = inner.withColumn("key", F.col("main")).join(n_outer.join(n_inner, "main"), "main")
+    two = held.withColumn("to", F.explode(upto(F.col("ni")))).select("key", "node", "comp", "n", *named("main", F.col("to"), mine(F.col("nj")), F.lit(False)))
+
+    lists = marked.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
+    by_length = Window.partitionBy("node").orderBy("size", "key")
+    every = by_length.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    short = marked.drop("size").join(lists, "key").withColumns({"rank": F.row_number().over(by_length), "of": F.count("*").over(every)}).where(F.col("rank") <= F.col("of") - F.col("need") + 1)
+    short = scratch.table(short.select("key", "node", "comp"), "short")
+    alike = short.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
+    once = alike.where("lo <> hi").groupBy("members", "size").agg(F.min("key").alias("key")).select("key")
+    listed = scratch.table(short.join(once, "key").join(sized, "node"), "lists")
+    held = listed.join(_blocks(listed, ["key"], block, "ni"), "key").withColumn("c", mine(F.col("ni"))).withColumn("to", F.explode(upto(F.col("ni"))))
+    three = held.select("key", "node", "comp", "n", *named("list", F.least("c", "to"), F.greatest("c", "to"), F.col("c") <= F.col("to")))
+    return one.unionByName(two).unionByName(three)
+
+
+def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int, slack: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows; node, component_id and first of linked nodes; nodes of several equal rows."""
     scratch = Scratch()
     docs = docs.select(row_name().alias("doc"), F.col("doc_id").cast("long").alias("id"), "text")
     sk = scratch.table(sketches(docs, k, size), "sketches")
-    sets = scratch.table(sk.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "sets")
-    members = sk.where("n > 0").join(sets.where("copies > 1"), ["s1", "s2", "n"]).groupBy("doc", "rep").agg(F.count("*").alias("rows"))
-    members = scratch.table(members, "copies")
-    copies = members.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    full = sk.where("n > 0")
+    sets = full.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    members = scratch.table(full.select("doc", "s1", "s2", "n").join(sets, ["s1", "s2", "n"]).groupBy("doc", "rep").agg(F.count("*").alias("rows")), "copies")
     repeats = scratch.table(members.where("rows > 1").select("doc"), "repeats")
     repeated = not repeats.isEmpty()
 
@@ -270,98 +369,64 @@ def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int) -> tupl
         """df with one row of each node."""
         return df.join(repeats, "doc", "left_anti").unionByName(df.join(repeats, "doc", "left_semi").dropDuplicates(["doc"])) if repeated else df
 
-    reps = once(sk.where("n > 0").join(copies.select(F.col("a").alias("doc")), "doc", "left_anti").select("doc", "n", "sketch")).withColumnRenamed("doc", "node")
-
-    keyed = reps.select("node", F.explode(run_keys(F.col("sketch"), F.col("n"))).alias("key"))
-    hubs = scratch.table(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub"), "hubs")
-    listed = scratch.table(keyed.join(hubs, "key"), "listed")
-    met = scratch.table(listed.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common")), "met")
-    needed = listed.select("node").distinct()
-    texts = scratch.table(once(docs.join(needed, F.col("doc") == F.col("node"), "left_semi").select("doc", "text")), "texts")
-
-    def side(df, on, name):
-        own = reps.select(F.col("node").alias(name + "_node"), F.col("n").alias(name + "_n"), F.col("sketch").alias(name + "_sketch"))
-        return df.join(own, F.col(on) == F.col(name + "_node")).drop(name + "_node")
-
-    def confirmed(pairs):
-        own = lambda name: texts.select(F.col("doc").alias("_d"), F.col("text").alias(name))
-        held = pairs.join(own("a_text"), F.col("a") == F.col("_d")).drop("_d").join(own("b_text"), F.col("b") == F.col("_d")).drop("_d")
-        return held.mapInArrow(_verified(size, threshold), "a long, b long")
+    reps = once(full.where("n > 3").join(members.where("doc <> rep"), "doc", "left_anti").select("doc", "n", "sketch")).withColumnRenamed("doc", "node")
+    keyed = reps.select("node", needed_runs(F.col("n"), k, threshold).alias("need"), F.explode(run_keys(F.col("sketch"))).alias("key"))
+    rows = _overlapping(keyed, None, scratch)
+    nodes = scratch.table(rows.select("node").distinct(), "nodes")
+    own = scratch.table(reps.join(nodes, "node", "left_semi"), "own")
+    texts = scratch.table(once(docs.join(nodes, F.col("doc") == F.col("node"), "left_semi").select("doc", "text")).withColumnRenamed("doc", "node"), "texts")
+    salts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def beside(pairs, what):
+        """pairs with the columns of both ends; many pairs meet one hub b, so that end is salted."""
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+        end = lambda name: what.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in what.columns if c != "node"])
+        hubs = salted.select("b", "salt").distinct().join(end("b"), "b")
+        return salted.join(end("a"), "a").join(hubs, ["b", "salt"]).drop("salt")
 
     def linked(pairs):
-        est = side(side(pairs, "a", "a"), "b", "b").mapInArrow(_estimated(k, threshold), "a long, b long")
-        return scratch.table(confirmed(est), "links")
-
-    best = met.groupBy("node").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    links = linked(best)
-    labels = components(links, scratch)
-    apart = _relabel(_relabel(met, labels, "node", "ca"), labels, "hub", "cb").where("ca <> cb").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    links = links.unionByName(linked(apart))
-    labels = components(links, scratch)
-
-    def mixed_lists(labels):
-        """key, size, node, comp of lists with members of several components, equal lists once."""
-        held = _relabel(listed.select("key", "node"), labels, "node", "comp")
-        mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("lo <> hi")
-        once = mixed.groupBy("members", "size").agg(F.min("key").alias("key")).where("size > 2").select("key", "size")
-        return scratch.table(held.join(scratch.table(once, "mixed"), "key"), "lists")
-
-    # A family whose least member is far from most has other centres: the members found in most and
-    # longest lists become the hubs of what is still apart, as long as that finds links.
-    rows = mixed_lists(labels)
+        likely = beside(pairs, own).mapInArrow(_estimated(k, threshold, slack), "a long, b long")
+        return scratch.table(beside(likely, texts).mapInArrow(_verified(size, threshold), "a long, b long"), "links")
+
+    labels = None
     for _ in range(CENTRAL_ROUNDS):
         weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
-        centre = scratch.table(rows.join(weight, "node").groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("weight", -F.col("node"))).alias("hub")), "centres")
-        apart = rows.join(centre, "key").where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        new = linked(apart)
-        if new.isEmpty():
+        hubs = rows.join(weight, "node").groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("weight", -F.col("node"))).alias("hub"))
+        pairs = rows.join(hubs, "key").where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        links = linked(scratch.table(pairs, "pairs"))
+        if links.isEmpty():
             break
-        links = links.unionByName(new)
-        labels = components(links, scratch)
-        rows = mixed_lists(labels)
-
-    # A list of up to `block` members is one group. Of a longer one, members outside its largest
-    # component (h) and inside it (g) are cut into chunks; groups are pairs of chunks h-h and h-g.
-    per_comp = rows.where(F.col("size") > block).groupBy("key", "comp").agg(F.count("*").alias("of"))
-    largest = scratch.table(per_comp.groupBy("key").agg(F.max_by("comp", F.struct("of", "comp")).alias("main"), F.max("of").alias("n_main")), "largest")
-    n_main = F.coalesce("n_main", F.lit(0))
-    chunks = rows.join(largest, "key", "left").withColumns({
-        "home": F.coalesce(F.col("comp") != F.col("main"), F.lit(True)),
-        "nh": F.ceil((F.col("size") - n_main) / block).cast("int"), "ng": F.ceil(n_main / block).cast("int"),
-    })
-    c = F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("ng")).cast("long")).cast("int")
-    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
-    group = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
-    hh = F.transform(upto(F.col("nh")), lambda d: group("h", F.least(d, F.col("c")), F.greatest(d, F.col("c")), F.col("c") <= d))
-    hg = F.transform(upto(F.col("ng")), lambda d: group("g", F.col("c"), d, F.lit(True)))
-    gh = F.transform(upto(F.col("nh")), lambda d: group("g", d, F.col("c"), F.lit(False)))
-    spread = chunks.withColumn("c", c).select("key", "node", "comp", F.explode(F.when(F.col("home"), F.concat(hh, hg)).otherwise(gh)).alias("g")).select("key", "node", "comp", "g.*")
-    own = reps.select("node", "n", "sketch")
-    likely = spread.join(own, "node").groupBy("key", "kind", "i", "j").applyInArrow(_likely(k, threshold), f"{GROUP}, node long, comp long, side boolean")
-    likely = scratch.table(likely.select("key", "kind", "i", "j", "node", "comp", "side"), "likely")
-    held = likely.join(texts.select(F.col("doc").alias("node"), "text"), "node")
-    found = held.groupBy("key", "kind", "i", "j").applyInArrow(_exact(size, threshold), "a long, b long").distinct()
-    links = links.unionByName(scratch.table(found, "links"))
-
-    labels = components(links.unionByName(copies), scratch)
-    least = labels.join(sk.select(F.col("doc").alias("node"), "id"), "node").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
-    labels = scratch.table(labels.join(least, "comp").select("node", F.col("least.id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first")), "final")
-    scratch.discard(sk, labels, repeats)
-    return sk, labels, repeats
-
-
-def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+        labels = merged(labels, links, scratch)
+        apart = _overlapping(rows, labels, scratch)
+        scratch.drop(rows)
+        rows = apart
+
+    own_columns = own.select("node", "sketch")
+    groups = scratch.table(_groups(rows, own, block, scratch), "groups")
+    likely = groups.join(own_columns, "node").groupBy(*GROUP).applyInArrow(_likely(k, threshold, slack), "kind string, key long, i int, j int, node long, comp long, side boolean")
+    held = scratch.table(likely, "likely").join(texts, "node").join(own.select("node", "n"), "node")
+    labels = merged(labels, scratch.table(held.groupBy(*GROUP).applyInArrow(_exact(size, threshold), "a long, b long").distinct(), "links"), scratch)
+
+    homes = _relabel(members.select(F.col("doc").alias("node"), "rep"), labels, "rep", "comp").select("node", "comp")
+    homes = scratch.table(homes.unionByName(labels.select("node", "comp").join(members.select(F.col("doc").alias("node")), "node", "left_anti")), "homes")
+    least = homes.join(sk.select(F.col("doc").alias("node"), "id"), "node").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
+    final = scratch.table(homes.join(least, "comp").select("node", F.col("least.id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first")), "final")
+    scratch.discard(sk, final, repeats)
+    return sk, final, repeats
+
+
+def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK, slack: float | None = SLACK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
-    sk, labels, _ = _clusters(docs, threshold, k, size, block)
+    sk, labels, _ = _clusters(docs, threshold, k, size, block, slack)
     done = sk.select("doc", "id", "n").join(labels, F.col("doc") == F.col("node"), "left")
     ids = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), "first", F.lit(True))
     return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), ids.alias("component_id"), kept.alias("kept"))
 
 
-def one_of_each(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK, slack: float | None = SLACK) -> DataFrame:
     """docs with a single row of each component: its first, of equal rows the least by all columns."""
-    _, labels, repeats = _clusters(docs, threshold, k, size, block)
+    _, labels, repeats = _clusters(docs, threshold, k, size, block, slack)
     named = docs.withColumn("_row", row_name()).join(labels.where("not first").select(F.col("node").alias("_row")), "_row", "left_anti")
     if repeats.isEmpty():
         return named.select(docs.columns)

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from kamishi.llm.near_dedup import _common, _estimates, near_duplicates
+from kamishi.llm.near_dedup import _common, estimates, near_duplicates, needed_runs, shared_runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,7 +80,41 @@ def test_group_helpers():
     pad = np.full((9, 64), 2**63 - 1)
     for i, s in enumerate(sets):
         pad[i, : len(s)] = s
-    est, size = _estimates(pad[:1].repeat(9, 0), pad, 64)
+    est = estimates(pad[:1].repeat(9, 0), pad, np.zeros(9, bool), 64)
     for j, b in enumerate(sets):
-        union = np.union1d(sets[0], b)
-        assert size[j] == len(union) and abs(est[j] - want[0][j] / len(union)) < 1e-12
+        assert abs(est[j] - want[0][j] / len(np.union1d(sets[0], b))) < 1e-12
+    wide = np.array([np.arange(64), np.append(np.arange(0, 126, 2), 200)])
+    assert estimates(wide[:1], wide[1:], np.array([True]), 64)[0] == 32 / 96
+    assert abs(estimates(wide[:1], wide[1:], np.array([False]), 64)[0] - 32 / 64) < 1e-12
+
+
+def test_needed_runs(spark):
+    """Whole sets at the threshold share as many runs as is said, wherever the differing values lie."""
+    from pyspark.sql import functions as F
+
+    assert shared_runs(64, (80, 100)) == 10
+    need = {r.n: r.need for r in spark.range(1, 200).select(F.col("id").alias("n"), needed_runs(F.col("id"), 64, (80, 100)).alias("need")).collect()}
+    r = random.Random(3)
+    for _ in range(3000):
+        union = r.randint(5, 20)
+        lacking = set(r.sample(range(union), union // 5))
+        both = [i not in lacking for i in range(union)]
+        runs = sum(x and y for x, y in zip(both, both[1:]))
+        assert all(need[n] <= runs for n in range(union - len(lacking), union + 1)) and runs >= 1
+    assert need[200 - 1] == 10
+
+
+def test_family_around_a_missing_centre(spark):
+    """Members close to a text that is not there: many small components, compared exactly."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(120):
+        text = list(base)
+        for i in r.sample(range(150), r.randint(6, 16)):
+            text[i] = f"x{r.randint(0, 30)}"
+        rows.append((d, " ".join(text)))
+    rows += [(200 + d, " ".join([*base[:40], *[f"y{d}-{i}" for i in range(r.randint(0, 120))]])) for d in range(60)]
+    for block in (8, 512):
+        done = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in done} == brute(rows, 2)
