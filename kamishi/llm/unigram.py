@@ -1,20 +1,22 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-The piece file gives pieces and scores; the best segmentation maximises their sum. No piece crosses
-from text into a following white-space marker, so every word (a marker run with what follows it) is
-segmented by itself, and a batch's distinct words all step through the trie together. A character
-that is no piece may become byte pieces, at less than the least score. Decoding joins the pieces, turns markers into spaces and
-drops the one put in front.
+The best segmentation maximises the sum of the pieces' log scores. A unigram file brings them; a BPE
+file has only merge ranks, which Zipf's law turns into logs of relative frequencies (nothing is
+trained); a piece without a rank, like the longer marker runs, counts as the last one.
+No piece crosses from text into a following white-space marker, so every word (a marker run with what
+follows it) is segmented by itself, and a batch's distinct words all step through the trie together.
+A character that is no piece becomes byte pieces, below any piece's score. Decoding joins the pieces,
+turns markers into spaces and drops the one put in front.
 
 Null text gives null ids; empty text gives none. Encoding then decoding returns every text unchanged
-but one: U+2581, the marker itself, which decodes to a space. Repeated rows get equal ids. An empty
-table gives an empty result. Other columns pass through.
+but one with U+2581, the marker itself, which decodes to a space (round_trip is false there). Texts
+may be of any length; one that exceeds a slice is a slice of its own. Repeated rows get equal ids. An
+empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytesvec as bv
 from .common import table
 
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 #: How far a character as byte pieces lies below the file's least score.
 BYTE_PENALTY = 10.0
 CHUNK_BYTES = 4 << 20
@@ -104,6 +106,19 @@ class Vocabulary:
     byte_score: float  # score of a character as byte pieces
 
 
+#: Scores below this mean that a piece has no rank.
+UNRANKED = -1e6
+
+
+def log_scores(scores: np.ndarray) -> np.ndarray:
+    """Log scores of a file's scores: as they are, but where they are merge ranks (0, -1, -2, ...) the
+    logs of relative frequencies by Zipf's law."""
+    if not (scores == np.floor(scores)).all():
+        return scores
+    rank = np.where(scores > UNRANKED, -scores, len(scores) - 1)
+    return -np.log(rank + 1) - np.log((1 / (rank + 1)).sum())
+
+
 def load(path: str = PIECE_FILE) -> Vocabulary:
     """Read a piece file on the driver; what executors get is bounded by the vocabulary."""
     import sentencepiece
@@ -123,7 +138,7 @@ def load(path: str = PIECE_FILE) -> Vocabulary:
             keys[p.encode()] = i
     usable = sorted(k for k in keys if MARK not in k.decode().lstrip(MARK))
     ids = np.array([keys[k] for k in usable])
-    scores = np.array([m.get_score(int(i)) for i in ids])
+    scores = log_scores(np.array([m.get_score(int(i)) for i in ids]))
     return Vocabulary(tuple(pieces), build_trie(usable), ids, scores, byte_id, float(scores.min()) - BYTE_PENALTY)
 
 
@@ -204,21 +219,57 @@ def _segment(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     return out
 
 
-def pretokens(text: str) -> list[str]:
-    """The text with markers for spaces, one put in front, cut before every run of markers."""
-    return WORDS.findall(MARK + text.replace(" ", MARK))
-
-
-def encode_batch(texts: list[str | None], v: Vocabulary, known: dict[str, list[int]] | None = None) -> list[list[int] | None]:
-    known = {} if known is None else known
-    cut = [None if t is None else pretokens(t) if t else [] for t in texts]
-    new = list({w for ws in cut if ws for w in ws if w not in known})
-    known.update(zip(new, segment([w.encode() for w in new], v), strict=True))
-    return [None if ws is None else [i for w in ws for i in known[w]] for ws in cut]
+_MARK = np.frombuffer(MARK.encode(), np.uint8)
+
+
+def _marked(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, starts of words) of texts with markers for spaces and one put in front of each
+    that is not empty; a word is a run of markers with what follows it."""
+    texts = pc.fill_null(texts, "")
+    front = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", MARK)
+    buf, offs = bv.buffer_of(pc.binary_join_element_wise(front, pc.replace_substring(texts, " ", MARK), ""))
+    at = np.zeros(len(buf) + 3, bool)
+    if len(buf) > 2:
+        at[3:-2] = (buf[:-2] == _MARK[0]) & (buf[1:-1] == _MARK[1]) & (buf[2:] == _MARK[2])
+    opens = np.zeros(len(buf) + 1, bool)
+    opens[offs] = True
+    return buf, offs, np.flatnonzero(at[3:] & (~at[:-3] | opens[:-1]))
+
+
+def encode_slice(texts, v: Vocabulary, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of an array of texts; known keeps words for later slices.
+
+    Words meet by a 64-bit hash, and each is compared with the one that stands for it.
+    """
+    buf, offs, starts = _marked(texts)
+    if not len(starts):
+        return np.empty(0, np.int32), np.zeros(len(offs), np.int64)
+    ends = np.append(starts[1:], len(buf))
+    _, first, word = np.unique(bv.word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    shift = starts[first][word] - starts
+    lens = ends - starts
+    alike = (lens == lens[first][word]).all() and (buf[np.minimum(np.arange(len(buf)) + np.repeat(shift, lens), len(buf) - 1)] == buf).all()
+    if not alike:  # a collision: every word stands for itself
+        first = word = np.arange(len(starts))
+    raw = buf.tobytes()
+    distinct = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    new = list({w for w in distinct if w not in known})
+    known.update((w, np.array(ids, np.int32)) for w, ids in zip(new, segment(new, v), strict=True))
+    held = [known[w] for w in distinct]
+    size = np.array([len(x) for x in held])
+    begin, n = (np.cumsum(size) - size)[word], size[word]
+    at = np.concatenate(([0], np.cumsum(n)))
+    ids = np.concatenate(held)[np.arange(at[-1]) + np.repeat(begin - at[:-1], n)]
+    return ids, at[np.searchsorted(starts, offs)]
+
+
+def encode_batch(texts: list[str | None], v: Vocabulary) -> list[list[int] | None]:
+    ids, at = encode_slice(pa.array(texts, pa.string()), v, {})
+    return [None if t is None else ids[x:y].tolist() for t, x, y in zip(texts, at[:-1], at[1:], strict=True)]
 
 
 def decode(ids, v: Vocabulary) -> str:
-    text = b"".join([v.pieces[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+    text = b"".join([v.pieces[i] for i in np.asarray(ids).tolist()]).decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -243,20 +294,19 @@ def _encoded(shared, digest):
                 part = batch.slice(lo, hi - lo)
                 if len(known) > KNOWN_WORDS:
                     known.clear()
-                texts = part.column("text").to_pylist()
-                ids = encode_batch(texts, v, known)
+                text = part.column("text")
+                ids, at = encode_slice(text, v, known)
                 if digest:
-                    back = [None if i is None else decode(i, v) for i in ids]
-                    packed = [np.array(i or [], "<i4") for i in ids]
-                    n_bytes = [int(is_byte[i].sum()) for i in packed]
+                    own = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    n_bytes = np.concatenate(([0], np.cumsum(is_byte[ids])))
+                    back = (decode(i, v) for i in own)
                     cols = [
-                        pa.array([0 if i is None else len(i) for i in ids], pa.int64()), pa.array(n_bytes, pa.int64()),
-                        pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in packed]),
-                        pa.array([t is None or b == t.replace(MARK, " ") for t, b in zip(texts, back, strict=True)]),
+                        pa.array(np.diff(at)), pa.array(np.diff(n_bytes[at])), pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in own]),
+                        pa.array([t is None or b == t for t, b in zip(text.to_pylist(), back, strict=True)], pa.bool_()),
                     ]
                     names = ["n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"]
                 else:
-                    cols, names = [pa.array(ids, pa.list_(pa.int32()))], ["ids"]
+                    cols, names = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=text.is_null())], ["ids"]
                 keep = [c for c in part.schema.names if not (digest and c == "text")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *cols], [*keep, *names])
 
