@@ -37,6 +37,44 @@ def test_quality(spark):
     assert [x.name for x in quality.order_rules([(quality.RULES[0], 2.0, 0.1), (quality.RULES[1], 1.0, 0.4)])] == ["repetitive", "too_short"]
 
 
+def brute_verdict(text):
+    """Names of the rules that reject the text."""
+    w, lines, parts = WORD.findall(text or ""), (text or "").split("\n"), (text or "").split("\n\n")
+    pairs = [tuple(w[i : i + 2]) for i in range(len(w) - 1)]
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    cover = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)}
+    repeats = lambda xs: len(xs) - len(set(xs))
+    n, chars = len(w), sum(map(len, w))
+    return {
+        "too_short": n < 10, "repetitive": 100 * len(cover) > 20 * n, "symbols": 10 * sum(c in "#*$%&|<>" for c in text or "") > n,
+        "repeated_lines": 10 * repeats([x for x in lines if WORD.search(x)]) > 3 * len(lines), "word_length": not 2 * n <= chars <= 12 * n,
+        "bullets": 10 * sum(x.lstrip(" ").startswith(("- ", "* ", "•")) for x in lines) > 9 * len(lines),
+        "ellipses": 10 * sum(x.rstrip(" ").endswith(("...", "…")) for x in lines) > 3 * len(lines),
+        "few_letters": 10 * sum(any(c.isalpha() for c in x) for x in w) < 7 * n, "poor_vocabulary": n >= 100 and 10 * len(set(w)) < n,
+        "repeated_paragraphs": 10 * repeats([x for x in parts if WORD.search(x)]) > 3 * len(parts),
+        "top_pair": n >= 50 and 100 * max([pairs.count(p) for p in pairs], default=0) > 10 * n,
+    }
+
+
+def test_quality_rules(spark):
+    """Every rule against brute force, in any order; user columns with the names of metrics stay."""
+    r = random.Random(5)
+    names = ["alpha", "bravo", "charlie", "delta", "1234", "niño", "...", "§§"]
+    prose = lambda n, vocabulary=10**6: " ".join(f"{r.choice('abcdefg')}word{r.randint(0, vocabulary)}" for _ in range(n))
+    texts = [None, "", prose(5), prose(60), prose(200, 1), prose(30) + " # # # # #", "\n".join("- " + prose(3) for _ in range(9)), "\n".join(prose(6) + "..." for _ in range(5))]
+    texts += [" ".join("12 34".split() * 9 + [prose(2)]), "\n\n".join([prose(12)] * 2 + ["x"]), " ".join(["x y"] * 12) + " " + prose(60), "\n".join([prose(4)] * 5 + [prose(9)]), " ".join("x" * 30 + str(i) for i in range(15))]
+    texts += [r.choice(["\n", " ", "\n\n"]).join(r.choice(names) for _ in range(r.randint(0, 120))) for _ in range(40)]
+    docs = clash(spark, enumerate(texts))
+    wanted = {i: {k for k, bad in brute_verdict(t).items() if bad} for i, t in enumerate(texts)}
+    assert set().union(*wanted.values()) == {x.name for x in quality.RULES}
+    order = list(quality.RULES)
+    for _ in range(2):
+        r.shuffle(order)
+        for row in quality.quality_filter(docs, order=order).collect():
+            first = next((x.name for x in order if x.name in wanted[row.doc_id]), None)
+            assert (row.failed_rule, row.kept, row.n_words, row.line) == (first, first is None, 1, "l")
+
+
 def test_lines(spark):
     rows = [(i, "Head \n" + f"own {i}\n" + ("tail" if i % 2 else "x")) for i in range(12)] + [(50, None), (51, ""), (None, "HEAD\nz")]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
