@@ -159,7 +159,10 @@ def test_packing(spark):
             assert p.start == at
             at += p.length
         assert at <= pieces[0].capacity and all(c < at for c in (64, 128, 256) if c < pieces[0].capacity)
-    assert packing.best_fit([100, 60, 4], (64, 128), 0)[0] == (0, 0)
+    assert packing.best_fit([100, 60, 4], (64, 128), float)[0] == (0, 0)
+    assert packing.pack(df.where("false"), F.col("n")).count() == 0
+    assert sorted((p.doc_id, p.piece, p.length) for p in packing.pack(spark.createDataFrame([(3, 'x ' * 9000), (4, None), (5, ' ')], 'doc_id long, text string')).collect()) == [(3, 0, 4096), (3, 1, 4096), (3, 2, 808)]
+    assert sum(p.doc_id is None for p in out) == 1
 
 
 def test_language(spark):
