@@ -1,19 +1,20 @@
 """Page layout: orientation vote, line and block clustering, reading order.
 
 Input rows are observations (page_id, obs_id, text, x, y, width, height, confidence); obs_id is the
-input position and breaks every tie. Pair predicates are joins on page_id with range conditions,
-components a fold over a page's edges; only the recursive cut runs as a per-page kernel.
+input position and breaks every tie. A page is one group: its boxes are collected by one exchange and
+worked on by the kernels of pagewise, batch by batch.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import WIDE, gap, overlap_ratio, union_box
+from ..functions.geometry import WIDE
+from . import pagewise
 
 OBSERVATION = "page_id long, obs_id int, text string, x double, y double, width double, height double, confidence double"
 
@@ -35,12 +36,17 @@ DEFAULT = LayoutOptions()
 RECEIPT = LayoutOptions(orientation="horizontal", line_gap_factor=None, block_gap_factor=2.0)
 
 
-def vote_orientation(observations: DataFrame) -> DataFrame:
-    """page_id, orientation: vertical only where tall boxes cover more area than wide ones."""
+def _voted():
+    """Aggregate: vertical only where tall boxes cover more area than wide ones."""
     w, h = F.col("width"), F.col("height")
     area = lambda cond: F.sum(F.when((w > 0) & (h > 0) & cond, w * h).otherwise(0.0))
-    votes = observations.groupBy("page_id").agg(area(w / F.nullif(h, F.lit(0.0)) >= WIDE).alias("_h"), area(h / F.nullif(w, F.lit(0.0)) >= WIDE).alias("_v"))
-    return votes.select("page_id", F.when(F.col("_v") > F.col("_h"), "vertical").otherwise("horizontal").alias("orientation"))
+    wide, tall = area(w / F.nullif(h, F.lit(0.0)) >= WIDE), area(h / F.nullif(w, F.lit(0.0)) >= WIDE)
+    return F.when(tall > wide, "vertical").otherwise("horizontal")
+
+
+def vote_orientation(observations: DataFrame) -> DataFrame:
+    """page_id, orientation."""
+    return observations.groupBy("page_id").agg(_voted().alias("orientation"))
 
 
 def with_orientation(observations: DataFrame, options: LayoutOptions) -> DataFrame:
@@ -49,156 +55,103 @@ def with_orientation(observations: DataFrame, options: LayoutOptions) -> DataFra
     return observations.join(vote_orientation(observations), "page_id")
 
 
-def _along(df: DataFrame) -> DataFrame:
-    """Coordinates along (rs, re) and across (cs, ce) the reading direction."""
-    horizontal = F.col("orientation") == "horizontal"
-    pick = lambda a, b: F.when(horizontal, a).otherwise(b)
-    right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
-    return df.withColumns({"rs": pick(F.col("x"), F.col("y")), "re": pick(right, bottom), "cs": pick(F.col("y"), F.col("x")), "ce": pick(bottom, right)})
-
-
-def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """page_id, pos, label: least pos reachable. pos counts from 0 on each page; edges (page_id, a, b)."""
-    linked = edges.groupBy("page_id").agg(F.collect_list(F.struct("a", "b")).alias("es"))
-    sized = nodes.groupBy("page_id").agg(F.max("pos").alias("top")).join(linked, "page_id", "left")
-    start = F.sequence(F.lit(0), F.col("top"))
+BOXES = ["obs_id", "text", "x", "y", "width", "height", "confidence"]
+LINE = "orientation string, text string, spaced_text string, x double, y double, width double, height double, confidence double, n_obs long, first_obs int"
+ORIENTATIONS = np.array(["horizontal", "vertical"], object)
 
-    def step(labels, e):
-        x, y = labels[e["a"]], labels[e["b"]]
-        return F.transform(labels, lambda v: F.when(v == F.greatest(x, y), F.least(x, y)).otherwise(v))
 
-    found = sized.select("page_id", F.when(F.col("es").isNull(), start).otherwise(F.aggregate("es", start, step)).alias("labels"))
-    return found.select("page_id", F.posexplode("labels").alias("pos", "label"))
+def _boxes(observations: DataFrame) -> DataFrame:
+    """Observations with the types that the kernels take."""
+    types = {"obs_id": "int", "text": "string"} | dict.fromkeys(["x", "y", "width", "height", "confidence"], "double")
+    return observations.withColumns({k: F.col(k).cast(v) for k, v in types.items()})
 
 
-def line_edges(boxes: DataFrame, options: LayoutOptions) -> DataFrame:
-    """Pairs (page_id, a, b) of the same line; boxes carry pos, the rank by reading start.
+def cluster_lines(observations: DataFrame, options: LayoutOptions = DEFAULT) -> DataFrame:
+    """Lines of observations that carry an orientation: page_id, line (label), orientation, text,
+    spaced_text, x, y, width, height, confidence, n_obs, first_obs.
 
     The sweep from a box ends at the first box beyond its reach, where the reach depends on the
     larger of the two; later boxes are not compared (early_exit=False compares them).
     """
-    cols = ["pos", "rs", "re", "cs", "ce"]
-    a = boxes.select("page_id", *[F.col(c).alias("a_" + c) for c in cols])
-    b = boxes.select("page_id", *[F.col(c).alias("b_" + c) for c in cols])
-    c = F.col
-    pairs = a.join(b, "page_id").where(c("a_pos") < c("b_pos"))
-    near = overlap_ratio(c("a_cs"), c("a_ce"), c("b_cs"), c("b_ce")) >= options.line_overlap
-    if options.line_gap_factor is not None:
-        reach = options.line_gap_factor * F.greatest(c("a_ce") - c("a_cs"), c("b_ce") - c("b_cs"))
-        near = near & (gap(c("a_rs"), c("a_re"), c("b_rs"), c("b_re")) <= reach)
-        if options.early_exit:
-            beyond = F.when(c("b_rs") > c("a_re") + reach, c("b_pos"))
-            stop = F.min(beyond).over(Window.partitionBy("page_id", "a_pos"))
-            pairs = pairs.withColumn("stop", stop).where(F.coalesce(c("b_pos") <= c("stop"), F.lit(True)))
-    return pairs.where(near).select("page_id", c("a_pos").alias("a"), c("b_pos").alias("b"))
-
-
-def _joined(sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rs", "obs_id", "text"))), lambda r: F.coalesce(r["text"], F.lit(""))), sep)
 
+    def kernel(page, vertical, f):
+        page, vertical, found = pagewise.lines(page, vertical, f, options)
+        return page, {"line": found.pop("line"), "orientation": ORIENTATIONS[vertical.astype(int)], **found}
 
-def cluster_lines(observations: DataFrame, options: LayoutOptions = DEFAULT) -> DataFrame:
-    """Lines of observations that carry an orientation: page_id, line (label), orientation, text,
-    spaced_text, x, y, width, height, confidence, n_obs, first_obs."""
-    order = Window.partitionBy("page_id").orderBy("rs", "obs_id")
-    boxes = _along(observations).withColumn("pos", F.row_number().over(order) - 1)
-    labels = component_labels(boxes, line_edges(boxes, options))
-    members = boxes.join(labels, ["page_id", "pos"])
-    box = union_box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-    return members.groupBy("page_id", F.col("label").alias("line")).agg(
-        F.first("orientation").alias("orientation"), _joined("").alias("text"), _joined(" ").alias("spaced_text"), *box,
-        F.avg("confidence").alias("confidence"), F.count("*").alias("n_obs"), F.min("obs_id").alias("first_obs"),
-    )
-
-
-def block_edges(lines: DataFrame, options: LayoutOptions) -> DataFrame:
-    """Pairs (page_id, a, b) of lines of the same block; lines carry pos and along/across columns.
-
-    Lines align along the reading direction and stack across it, no further apart than a factor of
-    the page's median line size.
-    """
-    sized = lines.withColumn("limit", options.block_gap_factor * F.median(F.col("ce") - F.col("cs")).over(Window.partitionBy("page_id")))
-    cols = ["pos", "rs", "re", "cs", "ce"]
-    a = sized.select("page_id", "limit", *[F.col(c).alias("a_" + c) for c in cols])
-    b = sized.select("page_id", *[F.col(c).alias("b_" + c) for c in cols])
-    c = F.col
-    aligned = overlap_ratio(c("a_rs"), c("a_re"), c("b_rs"), c("b_re")) >= options.block_overlap
-    stacked = gap(c("a_cs"), c("a_ce"), c("b_cs"), c("b_ce")) <= c("limit")
-    return a.join(b, "page_id").where((c("a_pos") < c("b_pos")) & aligned & stacked).select("page_id", c("a_pos").alias("a"), c("b_pos").alias("b"))
+    return pagewise.map_pages(_boxes(observations), BOXES, kernel, "line long, " + LINE)
 
 
 def cluster_blocks(lines: DataFrame, options: LayoutOptions = DEFAULT) -> DataFrame:
-    """lines with block (label) and in_block, their place in it: downwards, or leftwards if vertical."""
-    numbered = _along(lines).withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("first_obs")) - 1)
-    labels = component_labels(numbered, block_edges(numbered, options))
-    placed = numbered.join(labels, ["page_id", "pos"]).withColumnRenamed("label", "block")
-    across = F.when(F.col("orientation") == "horizontal", F.col("y") + F.col("height") / 2).otherwise(-(F.col("x") + F.col("width") / 2))
-    ranked = placed.withColumn("in_block", F.row_number().over(Window.partitionBy("page_id", "block").orderBy(across, "first_obs")) - 1)
-    return ranked.drop("pos", "rs", "re", "cs", "ce")
-
-
-def _segments(spans, floor):
-    """Islands of (lo, hi, item) whose gaps reach the floor, in rising order."""
-    spans = sorted(spans, key=lambda s: s[:2])
-    need = floor * (max(s[1] for s in spans) - min(s[0] for s in spans))
-    islands, until = [[]], spans[0][1]
-    for lo, hi, item in spans:
-        if lo > until and lo - until >= need:
-            islands.append([])
-        islands[-1].append(item)
-        until = max(until, hi)
-    return islands
+    """lines with block (label) and in_block, their place in it: downwards, or leftwards if vertical.
+
+    Lines of a block align along the reading direction and stack across it, no further apart than a
+    factor of the page's median line size.
+    """
+    columns = [c for c in lines.columns if c not in ("page_id", "orientation")]
+
+    def kernel(page, vertical, f):
+        block, in_block = pagewise.blocks(page, vertical, f, options)
+        return page, {"orientation": ORIENTATIONS[vertical.astype(int)], **f, "block": block, "in_block": in_block}
+
+    held = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in columns)
+    return pagewise.map_pages(lines, columns, kernel, f"orientation string, {held}, block long, in_block long")
 
 
 def xy_cut(boxes: list[tuple[float, float, float, float]], vertical: bool, min_gap: float = 0.005) -> list[int]:
-    """Reading order of boxes (x, y, width, height): cut at projection gaps, columns first (or, if
-    vertical, sections first and then columns from the right), until none is left."""
-    axes = (1, 0) if vertical else (0, 1)
-    out, stack = [], [list(range(len(boxes)))]
-    while stack:
-        items = stack.pop()
-        for axis in axes if len(items) > 1 else ():
-            parts = _segments([(boxes[i][axis], boxes[i][axis] + boxes[i][axis + 2], i) for i in items], min_gap)
-            if len(parts) > 1:
-                stack += parts if vertical and axis == 0 else parts[::-1]
-                break
-        else:
-            middle = lambda i: (boxes[i][1] + boxes[i][3] / 2, (boxes[i][0] + boxes[i][2] / 2) * (-1 if vertical else 1), i)
-            out += sorted(items, key=middle)
-    return out
-
-
-def _order_pages(batches):
-    """Ranks of the boxes of pages that come as one row each."""
-    for batch in batches:
-        pages, items, ranks = [], [], []
-        for page, orientation, boxes in zip(*(batch.column(c).to_pylist() for c in ("page_id", "orientation", "boxes")), strict=True):
-            order = xy_cut([(b["x"], b["y"], b["width"], b["height"]) for b in boxes], orientation == "vertical")
-            pages += [page] * len(order)
-            items += [boxes[i]["item"] for i in order]
-            ranks += range(len(order))
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(items, pa.int64()), pa.array(ranks, pa.int32())], ["page_id", "item", "rank"])
+    """Reading order of boxes (x, y, width, height) of one page."""
+    x, y, w, h = np.array(boxes, float).reshape(-1, 4).T
+    rank = pagewise.reading_ranks(np.zeros(len(x), np.int64), np.full(len(x), vertical), {"x": x, "y": y, "width": w, "height": h}, min_gap)
+    return np.argsort(rank).tolist()
 
 
 def reading_order(items: DataFrame) -> DataFrame:
     """page_id, item, rank of boxes (page_id, item, orientation, x, y, width, height)."""
-    box = F.struct(F.col("item").cast("long").alias("item"), "x", "y", "width", "height")
-    pages = items.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.first("orientation").alias("orientation"), F.array_sort(F.collect_list(box)).alias("boxes"))
-    return pages.mapInArrow(_order_pages, "page_id long, item long, rank int")
+
+    def kernel(page, vertical, f):
+        by_item = np.lexsort((f["item"], page))
+        rank = np.empty(len(page), np.int32)
+        rank[by_item] = pagewise.reading_ranks(page[by_item], vertical[by_item], {k: v[by_item] for k, v in f.items()})
+        return page, {"item": f["item"], "rank": rank}
+
+    return pagewise.map_pages(items.withColumn("item", F.col("item").cast("long")), ["item", "x", "y", "width", "height"], kernel, "item long, rank int")
+
+
+def _analyzed(options):
+    def kernel(page, vertical, f):
+        page, vertical, found = pagewise.lines(page, vertical, f, options)
+        label, in_block = pagewise.blocks(page, vertical, found, options)
+        members = np.lexsort((found["first_obs"], label, page))
+        number = page[members] * (len(page) + 1) + label[members]
+        opens = pagewise.runs(number)
+        if not len(opens):
+            return page, {k: found.get(k, np.empty(0)) for k in ANALYZED}
+        box = pagewise.boxes_of(found, members, opens)
+        head = members[opens]
+        by_first = np.lexsort((found["first_obs"][head], page[head]))
+        rank = np.empty(len(head), np.int64)
+        rank[by_first] = pagewise.reading_ranks(page[head][by_first], vertical[head][by_first], {k: v[by_first] for k, v in box.items()})
+        block_no = np.empty(len(page), np.int64)
+        block_no[members] = np.repeat(rank, np.diff(np.append(opens, len(members))))
+        order = np.lexsort((in_block, block_no, page))
+        page = page[order]
+        found = {k: v[order] if isinstance(v, np.ndarray) else v.take(order) for k, v in found.items()}
+        out = {"block_no": block_no[order].astype(np.int32), "line_no": pagewise.within(page).astype(np.int32), "orientation": ORIENTATIONS[vertical[order].astype(int)], **found}
+        return page, {k: out[k] for k in ANALYZED}
+
+    return kernel
+
+
+ANALYZED = ["block_no", "line_no", "orientation", "text", "spaced_text", "x", "y", "width", "height", "confidence"]
 
 
 def analyze(observations: DataFrame, options: LayoutOptions = DEFAULT) -> DataFrame:
     """Lines in reading order: page_id, block_no, line_no, orientation, text, spaced_text, x, y,
     width, height, confidence. Pages without rows are added by documents()."""
-    kept = observations.where(F.col("confidence") >= options.min_confidence)
-    lines = cluster_blocks(cluster_lines(with_orientation(kept, options), options), options)
-    box = union_box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-    blocks = lines.groupBy("page_id", "block").agg(F.first("orientation").alias("orientation"), *box, F.min("first_obs").alias("item"))
-    ranks = reading_order(blocks)
-    blocks = blocks.select("page_id", "block", "item").join(ranks, ["page_id", "item"])
-    placed = lines.join(blocks.select("page_id", "block", F.col("rank").alias("block_no")), ["page_id", "block"])
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("block_no", "in_block")) - 1
-    return placed.select("page_id", "block_no", number.alias("line_no"), "orientation", "text", "spaced_text", "x", "y", "width", "height", "confidence")
+    kept = _boxes(observations).where(F.col("confidence") >= options.min_confidence)
+    turned = F.lit(options.orientation) if options.orientation else _voted()
+    if options.orientation:
+        turned = F.first(turned)
+    return pagewise.map_pages(kept, BOXES, _analyzed(options), "block_no int, line_no int, orientation string, text string, spaced_text string, x double, y double, width double, height double, confidence double", turned)
 
 
 def documents(lines: DataFrame, pages: DataFrame | None = None, options: LayoutOptions = DEFAULT) -> DataFrame:

@@ -1,0 +1,225 @@
+"""Kernels over batches of whole pages: sweeps, components and cuts on flat numpy arrays.
+
+A page comes as one row with an array of its boxes, so a page's boxes must fit a task. All pages of a
+batch are worked on together: every step is an operation on arrays in which a page is a run of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows that a kernel takes at a time (whole pages, at least one).
+SLICE_ROWS = 200_000
+
+
+def map_pages(df: DataFrame, columns: list[str], kernel: Callable, schema: str, orientation=None) -> DataFrame:
+    """page_id and the columns of schema: kernel's answer to the rows of all pages.
+
+    kernel(page, vertical, fields) gets row arrays (page number, orientation, a dict of the columns)
+    and returns (page number, dict) of rows to emit. One exchange, by page_id.
+    """
+    turned = F.first("orientation") if orientation is None else orientation
+    pages = df.groupBy("page_id").agg(turned.alias("orientation"), F.collect_list(F.struct(*columns)).alias("rows"))
+    out = T.StructType([T.StructField("page_id", df.schema["page_id"].dataType), *T._parse_datatype_string(schema).fields])
+
+    def run(batches):
+        for batch in batches:
+            lens = pc.list_value_length(batch.column("rows")).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = np.cumsum(lens) // SLICE_ROWS
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(lens) else []
+            for lo, hi in zip(cut, [*cut[1:], len(lens)], strict=False):
+                held = batch.slice(lo, hi - lo)
+                page = np.repeat(np.arange(hi - lo), lens[lo:hi])
+                fields = dict(zip(columns, held.column("rows").flatten().flatten(), strict=True))
+                fields = {k: v if pa.types.is_string(v.type) or pa.types.is_large_string(v.type) else v.to_numpy(zero_copy_only=False) for k, v in fields.items()}
+                vertical = pc.equal(held.column("orientation"), "vertical").to_numpy(zero_copy_only=False)[page]
+                at, answer = kernel(page, vertical, fields)
+                named = [v if isinstance(v, pa.Array) else pa.array(v) for v in answer.values()]
+                yield pa.RecordBatch.from_arrays([held.column("page_id").take(pa.array(at)), *named], ["page_id", *answer])
+
+    return pages.mapInArrow(run, out)
+
+
+def along(vertical, f):
+    """Bounds along (rs, re) and across (cs, ce) the reading direction."""
+    right, bottom = f["x"] + f["width"], f["y"] + f["height"]
+    pick = lambda a, b: np.where(vertical, b, a)
+    return pick(f["x"], f["y"]), pick(right, bottom), pick(f["y"], f["x"]), pick(bottom, right)
+
+
+def overlap_ratio(lo_a, hi_a, lo_b, hi_b):
+    side = np.minimum(hi_a - lo_a, hi_b - lo_b)
+    shared = np.maximum(0.0, np.minimum(hi_a, hi_b) - np.maximum(lo_a, lo_b))
+    return np.where(side > 0, shared / np.where(side > 0, side, 1.0), 0.0)
+
+
+def gap(lo_a, hi_a, lo_b, hi_b):
+    return np.maximum(0.0, np.maximum(lo_a, lo_b) - np.minimum(hi_a, hi_b))
+
+
+def sweep(page, step):
+    """Pairs (a, b) of rows of one page for which step says so; b runs on from a as long as step lets it.
+
+    step(a, b) gives (whether to pair, whether to go on) for arrays of pairs; all rows advance together.
+    """
+    first, second = [], []
+    a, d = np.arange(len(page)), 1
+    while len(a):
+        a = a[a + d < len(page)]
+        a = a[page[a + d] == page[a]]
+        near, on = step(a, a + d)
+        first.append(a[near])
+        second.append(a[near] + d)
+        a, d = a[on], d + 1
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def components(n, a, b):
+    """The least row that each of n rows reaches over the pairs."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not (label[label] == label).all():
+            label = label[label]
+
+
+def runs(values):
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+
+
+def within(values):
+    """The place of each row in its run of equal values."""
+    opens = runs(values)
+    return np.arange(len(values)) - np.repeat(opens, np.diff(np.append(opens, len(values))))
+
+
+def boxes_of(f, order, opens):
+    """Boxes around runs of rows."""
+    x, y = np.minimum.reduceat(f["x"][order], opens), np.minimum.reduceat(f["y"][order], opens)
+    right, bottom = np.maximum.reduceat((f["x"] + f["width"])[order], opens), np.maximum.reduceat((f["y"] + f["height"])[order], opens)
+    return {"x": x, "y": y, "width": right - x, "height": bottom - y}
+
+
+def lines(page, vertical, f, options):
+    """(page, vertical, fields) of the lines, in order of page and label: the least rank of a member by
+    reading start. Members of a line stand by reading start, ties by obs_id."""
+    rs, re, cs, ce = along(vertical, f)
+    order = np.lexsort((f["obs_id"], rs, page))
+    page, vertical, rs, re, cs, ce = (v[order] for v in (page, vertical, rs, re, cs, ce))
+
+    def step(a, b):
+        near, on = overlap_ratio(cs[a], ce[a], cs[b], ce[b]) >= options.line_overlap, np.ones(len(a), bool)
+        if options.line_gap_factor is not None:
+            reach = options.line_gap_factor * np.maximum(ce[a] - cs[a], ce[b] - cs[b])
+            near &= gap(rs[a], re[a], rs[b], re[b]) <= reach
+            if options.early_exit:
+                on = rs[b] <= re[a] + reach
+        return near, on
+
+    label = components(len(page), *sweep(page, step))
+    members = np.argsort(label, kind="stable")
+    opens = runs(label[members])
+    if not len(opens):
+        return page, vertical, {k: np.empty(0) for k in ("x", "y", "width", "height", "confidence")} | {"line": np.empty(0, np.int64), "text": pa.array([], pa.string()), "spaced_text": pa.array([], pa.string()), "n_obs": np.empty(0, np.int64), "first_obs": np.empty(0, np.int32)}
+    count = np.diff(np.append(opens, len(label)))
+    texts = pa.ListArray.from_arrays(pa.array(np.append(opens, len(label)).astype(np.int32)), pc.fill_null(f["text"], "").cast(pa.string()).take(pa.array(order[members])))
+    head = members[opens]
+    starts = runs(page)
+    start = np.repeat(starts, np.diff(np.append(starts, len(page))))
+    out = {
+        "line": label[head] - start[head], "text": pc.binary_join(texts, ""), "spaced_text": pc.binary_join(texts, " "), **boxes_of(f, order[members], opens),
+        "confidence": np.add.reduceat(f["confidence"][order[members]], opens) / count, "n_obs": count, "first_obs": np.minimum.reduceat(f["obs_id"][order[members]], opens),
+    }
+    return page[head], vertical[head], out
+
+
+def blocks(page, vertical, f, options):
+    """(block, in_block) of lines: the least rank by first_obs of a line of the block, and the place in
+    it, downwards or, if vertical, leftwards."""
+    n = len(page)
+    rs, re, cs, ce = along(vertical, f)
+    by_size = np.lexsort((ce - cs, page))
+    opens = runs(page)
+    count = np.diff(np.append(opens, n))
+    size = (ce - cs)[by_size]
+    median = (size[opens + (count - 1) // 2] + size[opens + count // 2]) / 2 if n else np.empty(0)
+    limit = options.block_gap_factor * np.repeat(median, count)
+    numbered = np.lexsort((f["first_obs"], page))
+    pos = np.empty(n, np.int64)
+    pos[numbered] = np.arange(n)
+    order = np.lexsort((pos, cs, page))
+    q, s, e, lo, hi, far = page[order], rs[order], re[order], cs[order], ce[order], limit[order]
+
+    def step(a, b):
+        on = lo[b] - hi[a] <= far[a]  # rows stand by their upper bound, so none further on is nearer
+        return (overlap_ratio(s[a], e[a], s[b], e[b]) >= options.block_overlap) & (gap(lo[a], hi[a], lo[b], hi[b]) <= far[a]), on
+
+    a, b = sweep(q, step)
+    label = components(n, pos[order[a]], pos[order[b]])[pos]
+    across = np.where(vertical, -(f["x"] + f["width"] / 2), f["y"] + f["height"] / 2)
+    placed = np.lexsort((pos, across, label))
+    in_block = np.empty(n, np.int64)
+    in_block[placed] = within(label[placed])
+    return label - np.repeat(opens, count), in_block
+
+
+def _parts(segment, lo, hi, min_gap):
+    """The island of each row on an axis: rows of a segment are cut where a gap reaches min_gap of its extent."""
+    order = np.lexsort((hi, lo, segment))
+    g, a, b = segment[order], lo[order], hi[order]
+    opens = runs(g)
+    number = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(g))))
+    value, rank = np.unique(b, return_inverse=True)
+    until = value[np.maximum.accumulate(rank + number * len(value)) - number * len(value)]  # greatest end so far
+    need = min_gap * (np.maximum.reduceat(b, opens) - a[opens])
+    cut = np.zeros(len(g), bool)
+    cut[1:] = (number[1:] == number[:-1]) & (a[1:] > until[:-1]) & (a[1:] - until[:-1] >= need[number[1:]])
+    total = np.cumsum(cut)
+    part = np.empty(len(g), np.int64)
+    part[order] = total - total[opens][number]
+    return part
+
+
+def reading_ranks(page, vertical, f, min_gap=0.005):
+    """The rank of each box on its page: cut at projection gaps, columns first (or, if vertical, sections
+    first and then columns from the right), until none is left; then downwards, ties in reading direction."""
+    segment = np.unique(page, return_inverse=True)[1] if len(page) else page
+    spans = (f["x"], f["x"] + f["width"]), (f["y"], f["y"] + f["height"])
+    live = np.bincount(segment)[segment] > 1 if len(page) else np.empty(0, bool)
+    while live.any():
+        rows = np.flatnonzero(live)
+        part, split = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        own = np.unique(segment[rows], return_inverse=True)[1]
+        for turn in (0, 1):  # horizontal pages are cut along x, then y; vertical ones along y, then x
+            axis = np.where(vertical[rows], 1 - turn, turn)
+            todo = np.flatnonzero(~split)
+            if not len(todo):
+                break
+            lo, hi = (np.where(axis[todo] == 0, spans[0][k][rows[todo]], spans[1][k][rows[todo]]) for k in (0, 1))
+            got = _parts(own[todo], lo, hi, min_gap)
+            many = np.zeros(own.max() + 1, np.int64)
+            np.maximum.at(many, own[todo], got)
+            part[todo] = np.where((axis[todo] == 0) & vertical[rows[todo]], many[own[todo]] - got, got)
+            split[todo] = many[own[todo]] > 0
+        whole = np.zeros(len(segment), np.int64)
+        whole[rows] = np.where(split, part, 0)
+        segment = np.unique(segment * (len(segment) + 1) + whole, return_inverse=True)[1]
+        live[rows] = split
+        live &= np.bincount(segment)[segment] > 1
+    middle_x = (f["x"] + f["width"] / 2) * np.where(vertical, -1, 1)
+    order = np.lexsort((np.arange(len(page)), middle_x, f["y"] + f["height"] / 2, segment))
+    order = order[np.argsort(page[order], kind="stable")]
+    rank = np.empty(len(page), np.int64)
+    rank[order] = within(page[order])
+    return rank

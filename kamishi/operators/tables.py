@@ -46,11 +46,13 @@ def reconstruct(observations: DataFrame, ratio: float = BAND_OVERLAP) -> tuple[D
     """(cells, tables): cells (page_id, row, col, row_span, col_span, text, x, y, width, height) and
     tables (page_id, row_count, column_count). Confidence and orientation play no part."""
     candidates = cluster_lines(observations.withColumn("orientation", F.lit("horizontal")), CELLS)
-    right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
-    side = lambda lo, hi: F.struct((hi - lo).alias("len"), lo.alias("lo"), hi.alias("hi"), F.col("first_obs").alias("id"))
-    bands = candidates.groupBy("page_id").agg(F.collect_list(side(F.col("y"), bottom)).alias("ys"), F.collect_list(side(F.col("x"), right)).alias("xs"))
-    bands = bands.select("page_id", build_bands(F.col("ys"), ratio).alias("rows"), build_bands(F.col("xs"), ratio).alias("cols"))
-    placed = candidates.join(bands, "page_id").withColumns({"r": assign(F.col("rows"), F.col("y"), bottom, ratio), "c": assign(F.col("cols"), F.col("x"), right, ratio)})
+    pages = candidates.groupBy("page_id").agg(F.collect_list(F.struct("x", "y", "width", "height", "first_obs", "text")).alias("lines"))
+    lo, hi = (lambda c, at: c[at]), (lambda c, at: c[at] + c["width" if at == "x" else "height"])
+    side = lambda at: F.transform("lines", lambda c: F.struct((hi(c, at) - lo(c, at)).alias("len"), lo(c, at).alias("lo"), hi(c, at).alias("hi"), c["first_obs"].cast("long").alias("id")))
+    bands = pages.select("page_id", "lines", build_bands(side("y"), ratio).alias("rows"), build_bands(side("x"), ratio).alias("cols"))
+    held = bands.select("page_id", "rows", "cols", F.inline("lines"))
+    c = F.col
+    placed = held.withColumns({"r": assign(c("rows"), c("y"), c("y") + c("height"), ratio), "c": assign(c("cols"), c("x"), c("x") + c("width"), ratio)})
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "first_obs", "text"))), lambda t: t["text"]), "")
     cells = placed.groupBy("page_id", F.col("r.first").alias("row"), F.col("c.first").alias("col")).agg(
         F.max("r.span").alias("row_span"), F.max("c.span").alias("col_span"), text.alias("text"), *union_box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
