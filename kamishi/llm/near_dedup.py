@@ -309,7 +309,8 @@ def _overlapping(rows: DataFrame, labels: DataFrame | None, scratch: Scratch) ->
     held = rows.withColumn("comp", F.col("node")) if labels is None else _relabel(rows.select("node", "need", "key"), labels, "node", "comp")
     lists = held.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
     met = F.count("*").over(Window.partitionBy("node"))
-    return scratch.table(held.join(lists, "key").withColumn("met", met).where("met >= need").select("node", "need", "comp", "key", "size"), "overlaps")
+    # the lists grow with the documents, so they are never broadcast, not even where they are few
+    return scratch.table(held.join(lists.hint("merge"), "key").withColumn("met", met).where("met >= need").select("node", "need", "comp", "key", "size"), "overlaps")
 
 
 def _blocks(members: DataFrame, by: list[str], block: int, name: str) -> DataFrame:
@@ -385,7 +386,7 @@ def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int, slack:
         return salted.join(end("a"), "a").join(hubs, ["b", "salt"]).drop("salt")
 
     def linked(pairs):
-        likely = beside(pairs, own).mapInArrow(_estimated(k, threshold, slack), "a long, b long")
+        likely = scratch.table(beside(pairs, own).mapInArrow(_estimated(k, threshold, slack), "a long, b long"), "likely")
         return scratch.table(beside(likely, texts).mapInArrow(_verified(size, threshold), "a long, b long"), "links")
 
     labels = None
