@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesvec as bv
-from .common import text_bytes
+from .common import text_bytes, unused
 
 GROUP_BYTES, SHARD_BYTES, CHUNK_BYTES, COMPARE_BYTES = 2 << 20, 16 << 20, 120_000, 1 << 20
 NULL_ID = np.int64(2**63 - 1)
@@ -180,9 +180,9 @@ def summaries(spec, table, scanned):
     return combine(spec, *(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.empty(0, U), np.empty(0, U), np.empty(0, np.int64))
 
 
-def summarize(spec, n_shards):
+def summarize(spec, n_shards, group):
     def run(table):
-        b = table.column("_b")[0].as_py()
+        b = table.column(group)[0].as_py()
         key, ctx, val = summaries(spec, table, chunks(table.column("text"), spec))
         return _rows(SUMMARY, [{"shard": s, "_b": b, "kind": 0, "payload": p} for s, p in _deal((key % U(n_shards)).astype(np.int64), key, ctx, val)])
 
@@ -226,7 +226,7 @@ def _replies(table, kind, n):
     return unpack(rows, n)[0]
 
 
-def fetch(spec, n_shards):
+def fetch(spec, n_shards, group):
     def run(left, right):
         key, ctx, val, flag = _replies(right, CLASS, 4)
         key, ctx = key.view(U), ctx.view(U)
@@ -234,7 +234,7 @@ def fetch(spec, n_shards):
         if not asked.any() or not left.num_rows:
             return SUMMARY.empty_table()
         key, ctx, val, flag = key[asked], ctx[asked], val[asked], flag[asked]
-        b = left.column("_b")[0].as_py()
+        b = left.column(group)[0].as_py()
         seen = np.zeros(len(key), bool)
         got, hot = [], []
         for c in chunks(left.column("text"), spec):
@@ -372,7 +372,7 @@ def covered(spec, table, replies):
         yield c, np.cumsum(edges[:-1]) > 0
 
 
-def apply(spec):
+def apply(spec, group):
     def run(left, right):
         n = left.num_rows
         n_units, removed, spans, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [b""] * n
@@ -388,7 +388,7 @@ def apply(spec):
                     kept[row] = b" ".join([raw[x:y] for x, y in zip(c.spans[0][keep].tolist(), c.spans[1][keep].tolist(), strict=True)])
                 else:
                     kept[row] = c.buf[lo:hi][~m].tobytes()
-        out = left.drop_columns(["_b"])
+        out = left.drop_columns([group])
         for name, values in (("n_units", n_units), ("n_removed", removed), ("n_spans", spans)):
             out = out.append_column(name, pa.array(values))
         return out.append_column("kept", pa.array(kept, pa.binary()))
@@ -406,10 +406,11 @@ def remove_repeats(docs: DataFrame, spec: Spec) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = text_bytes(docs)
     n_groups, n_shards = max(2 * parts, size // GROUP_BYTES), max(parts, size // SHARD_BYTES)
-    dealt = docs.withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(n_groups)))
-    groups = dealt.groupBy("_b")
-    classes = groups.applyInArrow(summarize(spec, n_shards), SUMMARY_DDL).groupBy("shard").applyInArrow(resolve(spec), REPLY_DDL)
-    ranges = groups.cogroup(classes.groupBy("_b")).applyInArrow(fetch(spec, n_shards), SUMMARY_DDL).groupBy("shard").applyInArrow(compare(spec), REPLY_DDL)
+    (group,) = unused(docs, "group")
+    dealt = docs.withColumn(group, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)))
+    groups = dealt.groupBy(group)
+    classes = groups.applyInArrow(summarize(spec, n_shards, group), SUMMARY_DDL).groupBy("shard").applyInArrow(resolve(spec), REPLY_DDL)
+    ranges = groups.cogroup(classes.groupBy("_b")).applyInArrow(fetch(spec, n_shards, group), SUMMARY_DDL).groupBy("shard").applyInArrow(compare(spec), REPLY_DDL)
     extra = [T.StructField(n, T.LongType()) for n in ("n_units", "n_removed", "n_spans")]
     schema = T.StructType([*docs.schema.fields, *extra, T.StructField("kept", T.BinaryType())])
-    return groups.cogroup(classes.unionByName(ranges).groupBy("_b")).applyInArrow(apply(spec), schema)
+    return groups.cogroup(classes.unionByName(ranges).groupBy("_b")).applyInArrow(apply(spec, group), schema)

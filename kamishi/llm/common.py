@@ -68,6 +68,17 @@ class Scratch:
         self._delete(lambda df: not any(df is k for k in keep))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Maximal runs outside the white-space class; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
@@ -75,7 +86,7 @@ def words_of(text: Column) -> Column:
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """128 bits that name a row by its id and text, never null; rows equal in both share it."""
-    return [F.xxhash64(doc_id, text).alias("_r1"), F.xxhash64(F.lit("row"), text, doc_id).alias("_r2")]
+    return [F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(F.lit("row"), text, doc_id).alias("r2")]
 
 
 def text_bytes(docs: DataFrame) -> int:

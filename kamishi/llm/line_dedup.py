@@ -3,8 +3,10 @@
 A line's key is the line with white space stripped at both ends and A-Z lower-cased; a key is
 compared by two 64-bit hashes. Lines of fewer than min_chars code points are never dropped. Null or
 empty text is one empty line. Rows equal in id and text count as one document and get the same
-answer; a null id is an id like any other. An empty table gives an empty result. Columns besides
-doc_id and text are neither read nor changed.
+answer; a null id is an id like any other. A text of any length is one row; its lines are dealt out one
+by one. A key held by many documents is spread by a salt where it is counted; where its documents learn
+of it the keys are broadcast if they are few, else Spark's skew join splits them. An empty table gives an
+empty result. Columns besides doc_id and text are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, materialize, row_key
+from .common import SPACE_CHARS, materialize, row_key, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,8 +31,8 @@ def lines_of(text: Column) -> Column:
 
 def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     rows = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    keyed = rows.select("doc_id", "_r1", "_r2", "pos", line_key(F.col("line")).alias("key"))
-    return keyed.where(F.char_length("key") >= min_chars).select("doc_id", "_r1", "_r2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), F.col("key")).alias("h2"))
+    keyed = rows.select("doc_id", "r1", "r2", "pos", line_key(F.col("line")).alias("key"))
+    return keyed.where(F.char_length("key") >= min_chars).select("doc_id", "r1", "r2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), F.col("key")).alias("h2"))
 
 
 def _in_key_order(lines: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -41,23 +43,23 @@ def _in_key_order(lines: DataFrame) -> tuple[DataFrame, list[str]]:
     """
     salts = max(8, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     run = ["h1", "h2", "salt"]
-    salted = lines.withColumn("salt", F.pmod("_r1", F.lit(salts)))
-    return salted.repartitionByRange(salts, *run).sortWithinPartitions(*run, "doc_id", "_r1", "_r2", "pos"), run
+    salted = lines.withColumn("salt", F.pmod("r1", F.lit(salts)))
+    return salted.repartitionByRange(salts, *run).sortWithinPartitions(*run, "doc_id", "r1", "r2", "pos"), run
 
 
 def key_statistics(lines: DataFrame) -> DataFrame:
     """Of each key: the number of documents and its first line (document, position)."""
     ordered, run = _in_key_order(lines)
-    w = Window.partitionBy(*run).orderBy("doc_id", "_r1", "_r2", "pos")
-    earlier = F.lag(F.struct("_r1", "_r2")).over(w)
-    first_in_doc = earlier.isNull() | (earlier != F.struct("_r1", "_r2"))
+    w = Window.partitionBy(*run).orderBy("doc_id", "r1", "r2", "pos")
+    earlier = F.lag(F.struct("r1", "r2")).over(w)
+    first_in_doc = earlier.isNull() | (earlier != F.struct("r1", "r2"))
     firsts = ordered.withColumn("opens", first_in_doc).where("opens")
-    per_run = firsts.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_r1", "_r2", "pos")).alias("first"))
+    per_run = firsts.groupBy(*run).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "r1", "r2", "pos")).alias("first"))
     return per_run.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first"))
 
 
 def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """Per document (_r1, _r2) with a dropped line: its dropped lines as sparse 64-bit bitmap words.
+    """Per document (r1, r2) with a dropped line: its dropped lines as sparse 64-bit bitmap words.
 
     Keys found in at least min_docs documents lose all their lines; with keep_first the first line
     (smallest document, then position) of such a key stays. min_docs=1 with keep_first is plain
@@ -67,9 +69,9 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     drop = materialize(key_statistics(lines).where(F.col("n_docs") >= min_docs), "line-keys")
     hit = lines.join(drop, ["h1", "h2"])
     if keep_first:
-        hit = hit.where(F.struct("_r1", "_r2", "pos") != F.struct("first._r1", "first._r2", "first.pos"))
-    bits = hit.groupBy("_r1", "_r2", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return bits.groupBy("_r1", "_r2").agg(F.collect_list(F.struct("word", "bits")).alias("dropped"))
+        hit = hit.where(F.struct("r1", "r2", "pos") != F.struct("first.r1", "first.r2", "first.pos"))
+    bits = hit.groupBy("r1", "r2", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    return bits.groupBy("r1", "r2").agg(F.collect_list(F.struct("word", "bits")).alias("dropped"))
 
 
 def _positions(words: Column) -> Column:
@@ -78,17 +80,18 @@ def _positions(words: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text added; their other columns stay as they are."""
-    marked = docs.withColumns(dict(zip(("_r1", "_r2"), row_key(F.col("doc_id"), F.col("text")), strict=True)))
-    joined = marked.join(bitmaps, ["_r1", "_r2"], "left")
-    lines = joined.withColumn("_lines", lines_of(F.col("text")))
-    gone = lines.withColumn("_gone", F.when(F.col("dropped").isNotNull(), _positions(F.col("dropped"))))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    return gone.withColumns({
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        "kept_text": F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(keep, lambda i: F.col("_lines")[i]), "\n")),
-    }).drop("_r1", "_r2", "_lines", "_gone", "dropped")
+    """docs with n_lines, n_dropped and kept_text (columns of these names are replaced); the others stay as they are."""
+    r1, r2, dropped, lines, gone, key1, key2 = unused(docs, "r1", "r2", "dropped", "lines", "gone", "key1", "key2")
+    marked = docs.withColumns(dict(zip((r1, r2), row_key(F.col("doc_id"), F.col("text")), strict=True)))
+    found = bitmaps.select(F.col("r1").alias(key1), F.col("r2").alias(key2), F.col("dropped").alias(dropped))
+    joined = marked.join(found, (F.col(r1) == F.col(key1)) & (F.col(r2) == F.col(key2)), "left").withColumn(lines, lines_of(F.col("text")))
+    judged = joined.withColumn(gone, F.when(F.col(dropped).isNotNull(), _positions(F.col(dropped))))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    return judged.withColumns({
+        "n_lines": F.size(lines).cast("long"),
+        "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        "kept_text": F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(keep, lambda i: F.col(lines)[i]), "\n")),
+    }).drop(r1, r2, key1, key2, lines, gone, dropped)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:

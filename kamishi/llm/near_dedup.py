@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import Scratch, table
+from .common import Scratch, table, unused
 
 THRESHOLD, SKETCH, SHINGLE, BLOCK = (80, 100), 64, 2, 512
 LAST = 2**63 - 1
@@ -428,12 +428,13 @@ def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size:
 def one_of_each(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK, slack: float | None = SLACK) -> DataFrame:
     """docs with a single row of each component: its first, of equal rows the least by all columns."""
     _, labels, repeats = _clusters(docs, threshold, k, size, block, slack)
-    named = docs.withColumn("_row", row_name()).join(labels.where("not first").select(F.col("node").alias("_row")), "_row", "left_anti")
+    name, other, least = unused(docs, "name", "other", "least")
+    named = docs.withColumn(name, row_name()).join(labels.where("not first").select(F.col("node").alias(other)), F.col(name) == F.col(other), "left_anti")
     if repeats.isEmpty():
         return named.select(docs.columns)
-    again = repeats.withColumnRenamed("doc", "_row")
-    least = named.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_least")).select("_least.*")
-    return named.join(again, "_row", "left_anti").select(docs.columns).unionByName(least)
+    again = repeats.select(F.col("doc").alias(other))
+    one = named.join(again, F.col(name) == F.col(other), "left_semi").groupBy(name).agg(F.min(F.struct(*docs.columns)).alias(least)).select(f"{least}.*")
+    return named.join(again, F.col(name) == F.col(other), "left_anti").select(docs.columns).unionByName(one)
 
 
 def op10(spark, sf_dir):
