@@ -21,6 +21,7 @@ ORACLES = {
     "op3_topk_search": search.ORACLE,
     "op4_substring_dedup": fm_dedup.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
+    "op6_suffix_array_dedup": suffix_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op10_minhash_near_dedup": near_dedup.ORACLE,
 }

@@ -187,3 +187,21 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 def op6(spark, sf_dir):
     done = dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, unnest(range(1, greatest(octet_length(b) - 398, 1))) AS i, b FROM d),
+h AS (SELECT r, i, sha256(b[i:i + 399]) AS h FROM w),
+g AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM h SEMI JOIN g USING (h)),
+o AS (SELECT r, i, sum(CASE WHEN before IS NULL OR before + 400 < i THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS span FROM s),
+spans AS (SELECT r, span, min(i) AS lo, max(i) + 400 AS hi FROM o GROUP BY r, span),
+gaps AS (
+  SELECT r, lag(hi, 1, 1) OVER (PARTITION BY r ORDER BY lo) AS lo, lo AS hi FROM spans
+  UNION ALL SELECT d.r, coalesce(max(hi), 1), octet_length(any_value(b)) + 1 FROM d LEFT JOIN spans ON d.r = spans.r GROUP BY d.r),
+kept AS (SELECT gaps.r, string_agg(substr(hex(b), (2 * lo - 1)::INT, (2 * (hi - lo))::INT), '' ORDER BY lo) AS x, sum(hi - lo) AS n FROM gaps JOIN d ON gaps.r = d.r GROUP BY gaps.r),
+n AS (SELECT r, count(*) AS n FROM spans GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, (octet_length(b) - kept.n)::BIGINT AS n_removed, coalesce(n.n, 0)::BIGINT AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM d JOIN kept ON d.r = kept.r LEFT JOIN n ON d.r = n.r
+"""
