@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _emitted(steps: Column, blank: int) -> Column:
@@ -56,3 +57,13 @@ def align_timesteps(logits: Column, length: int) -> Column:
 def squeeze(logits: Column) -> Column:
     """[1, T, C] to [T, C]; any other leading size is an error."""
     return F.when(F.size(logits) == 1, logits[0]).otherwise(F.raise_error("logits must have one sequence"))
+
+
+def logits_matrix(df: DataFrame, name: str) -> Column:
+    """The column as [T, C]: of that shape already, or [1, T, C]; any other type is an error."""
+    depth, kind = 0, df.schema[name].dataType
+    while isinstance(kind, T.ArrayType):
+        depth, kind = depth + 1, kind.elementType
+    if depth not in (2, 3):
+        raise ValueError(f"{name} must be [T, C] or [1, T, C], not of depth {depth}")
+    return F.col(name) if depth == 2 else squeeze(F.col(name))

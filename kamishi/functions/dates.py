@@ -9,6 +9,7 @@ from .text import let, normalize
 
 # What is added to an era's year.
 ERAS = {"令和": 2018, "㋿": 2018, "R": 2018, "平成": 1988, "㍻": 1988, "H": 1988, "昭和": 1925, "㍼": 1925, "S": 1925, "大正": 1911, "㍽": 1911, "T": 1911, "明治": 1867, "㍾": 1867, "M": 1867}
+# How dates and times are written.
 ERA_DATE = r"(令和|平成|昭和|大正|明治|㋿|㍻|㍼|㍽|㍾|[RHSTM])\s*(\d{1,2}|元)\s*[年.\-/]\s*(\d{1,2})\s*[月.\-/]\s*(\d{1,2})\s*日?"
 LONG_DATE = r"(\d{4})\s*[年/\-.]\s*(\d{1,2})\s*[月/\-.]\s*(\d{1,2})\s*日?"
 SHORT_DATE = r"(?:^|[^\d])(\d{2})[/.](\d{1,2})[/.](\d{1,2})(?:[^\d]|$)"

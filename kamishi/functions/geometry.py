@@ -32,6 +32,14 @@ def union_box(x, y, width, height) -> list[Column]:
     return [F.min(x).alias("x"), F.min(y).alias("y"), (F.max(x + width) - F.min(x)).alias("width"), (F.max(y + height) - F.min(y)).alias("height")]
 
 
+def box_or_zero(rows: Column) -> Column:
+    """struct<x, y, width, height> around an array of boxes, zero where it is empty."""
+    at = lambda f, use: F.coalesce(use(F.transform(rows, f)), F.lit(0.0))
+    x, y = at(lambda b: b["x"], F.array_min), at(lambda b: b["y"], F.array_min)
+    right, bottom = at(lambda b: b["x"] + b["width"], F.array_max), at(lambda b: b["y"] + b["height"], F.array_max)
+    return F.struct(x.alias("x"), y.alias("y"), (right - x).alias("width"), (bottom - y).alias("height"))
+
+
 def intersects(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Touching counts."""
     return (a["min_x"] <= b["max_x"]) & (b["min_x"] <= a["max_x"]) & (a["min_y"] <= b["max_y"]) & (b["min_y"] <= a["max_y"])
@@ -42,6 +50,15 @@ def interval(a: Column, b: Column) -> Column:
     return F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
 
 
+def interval_measures(i: Column) -> dict[str, Column]:
+    """Length and centre of an interval."""
+    return {"length": i["hi"] - i["lo"], "center": (i["lo"] + i["hi"]) / 2}
+
+
+def interval_union(a: Column, b: Column) -> Column:
+    return F.struct(F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"))
+
+
 def classify_region(width: Column, height: Column) -> Column:
     return F.when((width <= 0) | (height <= 0), None).when(width / height >= WIDE, "horizontal").when(height / width >= WIDE, "vertical")
 

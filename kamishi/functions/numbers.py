@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import let, normalize
 
+# How amounts are written.
 AMOUNT = r"([¥￥\\])?\s*([-−▲△])?\s*(\d{1,3}(?:,\d{3})+|\d+)\s*(円)?"
 LONE_AMOUNT = r"\A\s*([¥￥\\])?\s*([-−▲△])?(\d{1,3}(?:,\d{3})+|\d+)\s*(円)?\s*\z"
 

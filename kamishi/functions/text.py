@@ -37,7 +37,8 @@ def fullwidth_kana(s: Column) -> Column:
 
 def collapse_whitespace(s: Column) -> Column:
     """Per line: runs of space, tab and ideographic space become one space; ends are trimmed."""
-    return F.array_join(F.transform(F.split(s, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t\\u3000]+", " "))), "\n")
+    single = F.regexp_replace(s, "[ \\t\\u3000]+", " ")
+    return F.regexp_replace(F.regexp_replace(single, r"(\A|\n) ", "$1"), r" (\n|\z)", "$1")
 
 
 def normalize(s: Column, kana: bool = True, ascii: bool = True, whitespace: bool = False) -> Column:

@@ -9,12 +9,13 @@ from ..functions.dates import parse_date, parse_time
 from ..functions.numbers import amounts, last_amount, read_amount, standalone_amount
 from ..functions.text import contains_any, let, normalize_all, strip_rates, trim_name
 
-# Keywords of receipts.
+# Keywords of receipts, and how prices and unit prices are written.
 TOTAL_WORDS = ["合計", "総計", "お会計", "ご請求"]
 TAX_WORDS = ["消費税", "内税", "外税"]
 STORE_STOPS = ["TEL", "Tel", "tel", "電話", "FAX", "〒", "領収", "レシート", "レジ", "ありがとう", "ございま", "いらっしゃい", "ようこそ", "またお越し", "担当", "責任者", "店番", "No.", "NO.", "#", "会員", "ポイント"]
 NOISE = ["TEL", "Tel", "tel", "電話", "FAX", "〒", "レジ", "領収", "レシート", "ありがとう", "ございま", "いらっしゃい", "またお越し", "ポイント", "会員", "カード", "取引", "端末", "No.", "NO."]
 PRICE = r"([¥￥\\])?\s*([-−▲△])?(\d{1,3}(?:,\d{3})+|\d+)\s*(円)?"
+UNIT_PRICE = r"@\s*\d{1,3}(?:,\d{3})*"
 MAX_PRICE, STORE_LINES, HINT_LINES = 10_000_000, 6, 5
 MONEY = ["tendered", "change", "subtotal", "total"]
 
@@ -71,8 +72,10 @@ def parse_item(s: Column) -> Column:
     quantity = F.when(by_times, F.regexp_extract(s, times, 1)).when(by_pieces, F.regexp_extract(s, pieces, 1)).try_cast("long")
     once = lambda p: F.regexp_replace(s, f"(?s)\\A(.*?){p.replace('(', '').replace(')', '')}", "$1")
     left = F.when(by_times, once(times)).when(by_pieces, once(pieces)).otherwise(s)
-    unit = r"@\s*\d{1,3}(?:,\d{3})*"
-    left = F.rtrim(F.regexp_replace(F.regexp_replace(left, unit, ""), unit, ""), F.lit(" \t"))
+    # unit prices go one by one until none is left; each takes an @ with it, so there are no more passes than that
+    at = F.char_length(left) - F.char_length(F.replace(left, F.lit("@"), F.lit("")))
+    bare = F.aggregate(F.sequence(F.lit(1), at), left, lambda x, _: F.regexp_replace(x, rf"(?s)\A(.*?){UNIT_PRICE}", "$1"))
+    left = F.rtrim(F.when(at > 0, bare).otherwise(left), F.lit(" \t"))
 
     def read(p):
         """p: the line without quantity and unit price, its last amount and what that says."""

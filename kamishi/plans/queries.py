@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import ctc, dates, geometry, numbers, text
 from ..operators import layout, receipts, tables
 from ..sources import backends
-from . import render
+from . import render, sql
+from .engine import Engine
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -225,9 +226,9 @@ for _name, _expression in DATE_TEXTS.items():
     _date_query(_name, _expression)
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 20 YEAR, '%Y-%m-%d') AS date FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 20 YEAR, '%Y-%m-%d') AS date FROM orders")
 def date_parse_short(spark, sf_dir):
-    rows = run_sql(spark, sf_dir, "SELECT o_orderkey, concat('日付', lpad(year(o_orderdate) - 1980, 2, '0'), '/', lpad(month(o_orderdate), 2, '0'), '/', day(o_orderdate), ' x') AS s FROM {orders} WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
+    rows = run_sql(spark, sf_dir, "SELECT o_orderkey, concat('日付', lpad(year(o_orderdate) - 1980, 2, '0'), '/', lpad(month(o_orderdate), 2, '0'), '/', day(o_orderdate), ' x') AS s FROM {orders}")
     return rows.select("o_orderkey", dates.parse_date(F.col("s")).alias("date"))
 
 
@@ -356,11 +357,6 @@ def layout_markdown(spark, sf_dir):
     return layout.documents(layout.analyze(fragments(spark, sf_dir)), pages).select("page_id", "text", "orientation")
 
 
-@query()
-def layout_json(spark, sf_dir):
-    return render.layout_json(layout.analyze(fragments(spark, sf_dir)))
-
-
 # --- tables -----------------------------------------------------------------------------------
 
 #: Three columns per lineitem row; every third row has no middle cell, every fourth a wide first cell
@@ -440,11 +436,135 @@ def backend_route(spark, sf_dir):
     return found.select("page_id", (F.col("page_id") * 10 + F.col("obs_id")).alias("obs_id"), "text")
 
 
+_BOX = "(width / 64) * 640 AS x, (1 - height / 32 - height / 32) * 320 AS y, (width / 64) * 640 AS w, (height / 32) * 320 AS h"
+
+
 @query(f"""
-SELECT page_id, obs_id, (width / 64) * 640 AS x, (1 - height / 32 - height / 32) * 320 AS y, greatest((width / 64) * 640 - (width / 64) * 640 * 0.25, 0) AS px FROM ({bare(SHAPES)})""")
+SELECT page_id, obs_id, x, y, px, py, least(640 - px, w * 1.5) AS pw, least(320 - py, h * 1.5) AS ph
+FROM (SELECT *, greatest(x - w * 0.25, 0) AS px, greatest(y - h * 0.25, 0) AS py FROM (SELECT page_id, obs_id, {_BOX} FROM ({bare(SHAPES)})))""")
 def box_conversion(spark, sf_dir):
     c, one = F.col, F.lit
     rows = run_sql(spark, sf_dir, SHAPES)
     box = backends.from_normalized(c("width") / 64, c("height") / 32, c("width") / 64, c("height") / 32, one(640.0), one(320.0))
     padded = backends.padded_region(box["x"], box["y"], box["width"], box["height"], one(640.0), one(320.0), 0.25)
-    return rows.select("page_id", "obs_id", box["x"].alias("x"), box["y"].alias("y"), padded["x"].alias("px"))
+    return rows.select("page_id", "obs_id", box["x"].alias("x"), box["y"].alias("y"), *[padded[k].alias(v) for k, v in (("x", "px"), ("y", "py"), ("width", "pw"), ("height", "ph"))])
+
+
+CANDIDATES = "SELECT l_orderkey AS page_id, l_linenumber AS obs_id, l_partkey AS part, l_suppkey AS supp, l_quantity AS qty, l_partkey % 3 AS rank, CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('t', CAST(l_partkey AS STRING)) END AS text FROM {lineitem}"
+
+
+@query(f"SELECT page_id, obs_id, part, supp, qty, text FROM ({bare(CANDIDATES)}) WHERE rank = 0 AND text <> ''")
+def top_candidates(spark, sf_dir):
+    return backends.top_candidates(run_sql(spark, sf_dir, CANDIDATES))
+
+
+@query(f"SELECT page_id, obs_id, CASE WHEN width > 0 AND height >= 1.6 * width THEN 'clockwise' ELSE 'none' END AS turn FROM ({bare(SHAPES)})")
+def crop_rotation(spark, sf_dir):
+    rows = run_sql(spark, sf_dir, SHAPES)
+    return rows.select("page_id", "obs_id", backends.rotation(geometry.classify_region(F.col("width"), F.col("height")), "clockwise").alias("turn"))
+
+
+@query(f"""
+SELECT page_id, obs_id, least(width, height) AS lo, greatest(width, height) AS hi, abs(width - height) AS length, (width + height) / 2 AS center,
+       least(width, height, x) AS union_lo, greatest(width, height, x + 3) AS union_hi FROM ({bare(SHAPES)})""")
+def interval_fields(spark, sf_dir):
+    i = geometry.interval(F.col("width"), F.col("height"))
+    m, u = geometry.interval_measures(i), geometry.interval_union(i, geometry.interval(F.col("x") + 3, F.col("x")))
+    return run_sql(spark, sf_dir, SHAPES).select("page_id", "obs_id", i["lo"].alias("lo"), i["hi"].alias("hi"), *[v.alias(k) for k, v in m.items()], u["lo"].alias("union_lo"), u["hi"].alias("union_hi"))
+
+
+@query("SELECT o_orderkey AS page_id, coalesce(max(l_quantity + l_linenumber) - min(l_quantity), 0)::DOUBLE AS extent FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def interval_extent(spark, sf_dir):
+    rows = run_sql(spark, sf_dir, "SELECT o_orderkey AS page_id, l_quantity AS lo, l_quantity + l_linenumber AS hi FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey")
+    return rows.groupBy("page_id").agg(geometry.extent(F.col("lo"), F.col("hi")).cast("double").alias("extent"))
+
+
+#: Boxes that share a point, so that no projection gap parts them.
+CROSSED = "SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS item, 'horizontal' AS orientation, CAST(-(l_partkey % 7) AS DOUBLE) AS x, CAST(-(l_suppkey % 5) AS DOUBLE) AS y, CAST(40 AS DOUBLE) AS width, CAST(30 AS DOUBLE) AS height FROM {lineitem}"
+
+
+@query(f"SELECT page_id, item, (row_number() OVER (PARTITION BY page_id ORDER BY y, x, item) - 1)::INT AS rank FROM ({bare(CROSSED)})")
+def fallback_order(spark, sf_dir):
+    return layout.reading_order(run_sql(spark, sf_dir, CROSSED))
+
+
+@query(f"SELECT page_id, text, CASE WHEN k % 4 = 3 THEN 2 ELSE 1 END::BIGINT AS col_span FROM (SELECT *, (obs_id - obs_id % 3) / 3 AS k FROM ({bare(GRID)})) WHERE obs_id = 9")
+def table_cell_at(spark, sf_dir):
+    cells, _ = tables.reconstruct(run_sql(spark, sf_dir, GRID))
+    return tables.cell_at(cells, 3, 0).select("page_id", "text", F.col("col_span").cast("long").alias("col_span"))
+
+
+@query("""
+SELECT vec_id, t, round(a * (1 - w) + b * w, 6) AS first FROM (
+  SELECT vec_id, t, pos - floor(pos) AS w, embedding[floor(pos)::INT * 16 + 1]::DOUBLE AS a, embedding[least(floor(pos) + 1, 3)::INT * 16 + 1]::DOUBLE AS b
+  FROM (SELECT vec_id, embedding, t, greatest((t + 0.5) * 4 / 6.0 - 0.5, 0) AS pos FROM embeddings, range(0, 6) AS r(t)))""")
+def ctc_align(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(ctc.align_timesteps(logits(), 6)).alias("t", "step"))
+    return rows.select("vec_id", F.col("t").cast("long").alias("t"), F.round(F.col("step")[0].cast("double"), 6).alias("first"))
+
+
+# --- the engine -------------------------------------------------------------------------------
+
+def _orders(spark, sf_dir):
+    return run_sql(spark, sf_dir, "SELECT o_orderkey AS page_id, 'order' AS name FROM {orders}")
+
+
+@query(f"""
+WITH s AS ({bare(SUMS)})
+SELECT o_orderkey AS doc_id, 'スーパー カワサキ' || o_custkey || '号店' AS store, strftime(o_orderdate, '%Y-%m-%d') AS date, s.total, s.total + 1000 AS tendered, coalesce(s.n_items, 0) AS n_items
+FROM orders LEFT JOIN s ON o_orderkey = s.doc_id""")
+def engine_receipt(spark, sf_dir):
+    """Receipt lines as boxes, the store's name the tallest, through layout and extraction."""
+    lines = receipt_lines(spark, sf_dir)
+    tall = F.when(F.col("line_no") == 0, 30.0).otherwise(16.0)
+    boxes = lines.select(F.col("doc_id").alias("page_id"), F.col("line_no").alias("obs_id"), F.col("line").alias("text"), F.lit(10.0).alias("x"), (F.col("line_no") * 40.0).alias("y"), F.lit(200.0).alias("width"), tall.alias("height"), F.lit(1.0).alias("confidence"))
+    found = Engine(lambda images: boxes, layout.RECEIPT).receipt(_orders(spark, sf_dir))
+    return found.select("doc_id", F.col("storeName").alias("store"), "date", "total", "tendered", F.size("items").cast("long").alias("n_items"))
+
+
+@query(ORACLES["layout_markdown"].replace("AS text,", "AS markdown,").rsplit(", CASE", 1)[0] + " FROM orders LEFT JOIN d ON o_orderkey = d.page_id")
+def engine_markdown(spark, sf_dir):
+    return Engine(lambda images: fragments(spark, sf_dir)).markdown(_orders(spark, sf_dir))
+
+
+@query(f"SELECT o_orderkey AS page_id, coalesce(n, 0)::BIGINT AS row_count, CASE WHEN n IS NULL THEN 0 ELSE 3 END::BIGINT AS column_count FROM orders LEFT JOIN (SELECT page_id, max((obs_id - obs_id % 3) / 3) + 1 AS n FROM ({bare(GRID)}) GROUP BY page_id) ON o_orderkey = page_id")
+def engine_table(spark, sf_dir):
+    _, sizes = Engine(lambda images: run_sql(spark, sf_dir, GRID)).table(_orders(spark, sf_dir))
+    return sizes.select("page_id", F.col("row_count").cast("long").alias("row_count"), F.col("column_count").cast("long").alias("column_count"))
+
+
+@query(f"""
+WITH l AS (
+  SELECT page_id, col, line_no, CASE WHEN page_id % 3 = 0 THEN 'vertical' ELSE 'horizontal' END AS turn,
+         '{{"boundingBox":{{"height":' || CASE WHEN page_id % 3 = 0 THEN '180.0' ELSE '16.5' END || ',"width":' || CASE WHEN page_id % 3 = 0 THEN '16.5' ELSE '180.0' END || ',"x":' ||
+         CASE WHEN page_id % 3 = 0 THEN 2000 - 30 * ((k - col) / 2)::DOUBLE - 16.5 ELSE 10 + 400 * col END::DOUBLE || ',"y":' || CASE WHEN page_id % 3 = 0 THEN 10 + 400 * col ELSE 30 * ((k - col) / 2) END::DOUBLE ||
+         '}},"confidence":0.75,"text":"P' || part || '¥' || qty || '"}}' AS j FROM ({bare(ORDERED)})),
+b AS (SELECT page_id, col, turn, '{{"lines":[' || string_agg(j, ',' ORDER BY line_no) || '],"orientation":"' || turn || '"}}' AS j FROM l GROUP BY page_id, col, turn)
+SELECT page_id, '{{"blocks":[' || string_agg(j, ',' ORDER BY col) || '],"orientation":"' || turn || '"}}' AS json FROM b GROUP BY page_id, turn""")
+def layout_json(spark, sf_dir):
+    return Engine(lambda images: fragments(spark, sf_dir)).json(_orders(spark, sf_dir), pretty=False)
+
+
+@query(f"""
+WITH g AS (SELECT *, (obs_id - obs_id % 3) / 3 AS k, obs_id % 3 AS c FROM ({bare(GRID)}))
+SELECT page_id, '{{"cells":[' || string_agg('{{"boundingBox":{{"height":20.0,"width":' || width || ',"x":' || x || ',"y":' || y || '}},"column":' || c::INT || ',"columnSpan":' || CASE WHEN c = 0 AND k % 4 = 3 THEN 2 ELSE 1 END ||
+       ',"row":' || k::INT || ',"rowSpan":1,"text":"' || text || '"}}', ',' ORDER BY k, c) || '],"columnCount":3,"rowCount":' || (max(k)::INT + 1) || '}}' AS json FROM g GROUP BY page_id""")
+def table_json(spark, sf_dir):
+    return render.table_json(*tables.reconstruct(run_sql(spark, sf_dir, GRID)), pretty=False)
+
+
+@query(ORACLES["reading_order"])
+def sql_page_lines(spark, sf_dir):
+    """The reading order by SQL: one table function, partitioned by page."""
+    sql.register(spark)
+    lines = spark.sql("SELECT * FROM page_lines(TABLE(SELECT * FROM {boxes}) PARTITION BY page_id)", boxes=fragments(spark, sf_dir))
+    return lines.select("page_id", F.col("line_no").cast("long").alias("line_no"), F.col("block_no").cast("long").alias("block_no"), "text")
+
+
+@query("SELECT p_partkey, p_name || ' x' || chr(10) || p_type AS text, p_name AS name, p_name || ' ' AS stripped, 'a<br>b\\|' AS cell FROM part")
+def sql_scalars(spark, sf_dir):
+    """The scalar functions by SQL; Catalyst inlines their bodies."""
+    sql.register(spark)
+    return run_sql(spark, sf_dir, """
+      SELECT p_partkey, collapse_whitespace(concat('  ', replace(p_name, ' ', ' \\t　 '), '　x　\\n\\t', p_type, ' ')) AS text, trim_name(concat('＊ ', p_name, ' ・・・:*')) AS name,
+             strip_rates(concat(p_name, ' ', p_size % 100, ' %')) AS stripped, escape_cell('a\\nb|') AS cell FROM {part}""")

@@ -2,19 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions import ctc
 
 FIELDS = ["text", "x", "y", "width", "height", "confidence"]
 
 
+#: Observations that a constant backend may hold; they become part of the plan.
+MAX_CONSTANT = 1000
+
+
 def constant(observations: DataFrame):
     """Every image gives the same observations (obs_id, text, x, ...), a small fixed set."""
+    held = observations.select("obs_id", *FIELDS).limit(MAX_CONSTANT + 1).collect()
+    if len(held) > MAX_CONSTANT:
+        raise ValueError(f"a constant backend holds at most {MAX_CONSTANT} observations")
 
     def recognize(images: DataFrame) -> DataFrame:
-        keyed = observations.select("obs_id", *FIELDS).withColumn("_all", F.lit(1))
-        return images.select("page_id").withColumn("_all", F.lit(1)).join(keyed, "_all").drop("_all")
+        kind = observations.select("obs_id", *FIELDS).schema
+        rows = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(kind.fields, row, strict=True)]) for row in held])
+        return images.select("page_id", F.inline(rows.cast(T.ArrayType(kind))))
+
+    return recognize
+
+
+def image_files(spark: SparkSession, folder: str, suffixes=("png", "jpg", "jpeg")) -> DataFrame:
+    """page_id (of the path), name, length, content of the images of a folder, by suffix."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(folder)
+    return files.select(F.xxhash64("path").alias("page_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+
+
+REGIONS = "obs_id int, x double, y double, width double, height double, logits array<array<double>>"
+
+
+def by_model(load: Callable, decode: Callable[[Column], Column], kind: str = REGIONS):
+    """A recognizer in three steps: a model finds the regions of each image and reads them to logits,
+    decode turns those into text and confidence, regions without text drop out.
+
+    load() runs once in every task and gives the model: a function from an Arrow batch of images to, for
+    each image, a list of regions (dicts of obs_id, x, y, width, height, logits).
+    """
+    shape = T._parse_datatype_string(kind)
+
+    def recognize(images: DataFrame) -> DataFrame:
+        out = T.StructType([images.schema["page_id"], T.StructField("regions", T.ArrayType(shape))])
+
+        def run(batches):
+            model = None
+            for batch in batches:
+                model = model or load()
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(model(batch), to_arrow_type(out["regions"].dataType))], ["page_id", "regions"])
+
+        regions = images.mapInArrow(run, out).select("page_id", F.inline("regions")).withColumn("_read", decode(F.col("logits")))
+        return regions.select("page_id", "obs_id", F.col("_read.text").alias("text"), "x", "y", "width", "height", F.col("_read.confidence").alias("confidence")).where("text <> ''")
 
     return recognize
 
@@ -73,6 +121,29 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return check_vocabulary(spark.read.schema(VOCABULARY).option("multiLine", True).option("mode", "FAILFAST").json(path))
 
 
+@dataclass(frozen=True)
+class Decoder:
+    """Greedy decoding with a vocabulary that is part of the plan."""
+
+    vocabulary: tuple[str, ...]
+    blank: int
+
+    def _words(self) -> Column:
+        return F.array(*[F.lit(w) for w in self.vocabulary])
+
+    def indices(self, indices: Column) -> Column:
+        return ctc.decode_indices(indices, self._words(), self.blank)
+
+    def logits(self, logits: Column) -> Column:
+        return ctc.decode_logits(logits, self._words(), self.blank)
+
+
+def read_decoder(spark: SparkSession, path: str) -> Decoder:
+    """The decoder of a JSON sidecar; a vocabulary is a model's classes, so it is bounded."""
+    row = read_vocabulary(spark, path).first()
+    return Decoder(tuple(row.vocabulary), row.blankIndex)
+
+
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     """vocabulary of a JSON array or of a text with one entry per line; blank lines count."""
     text = spark.read.text(path, wholetext=True)
