@@ -120,9 +120,24 @@ def receipt_markdown(spark, sf_dir):
     return receipts.extract(receipt_lines(spark, sf_dir)).select("doc_id", render.receipt_markdown().alias("markdown"))
 
 
-@query()
+@query(f"""
+WITH s AS ({bare(SUMS)}),
+i AS (
+  SELECT doc_id, string_agg('{{{{"name":"ショウヒン' || part || '番","price":' || price || ',"quantity":' || qty || '}}}}', ',' ORDER BY n) AS items,
+         string_agg('"ショウヒン' || part || '番 x' || qty || ' ￥' || price || '"', ',' ORDER BY n) AS lines FROM ({bare(ITEMS)}) GROUP BY doc_id),
+o AS (
+  SELECT o_orderkey AS doc_id, o_custkey AS cust, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, o_orderkey % 24 AS h, lpad((o_custkey % 60)::VARCHAR, 2, '0') AS mi, total, n_items AS n, items, lines
+  FROM orders LEFT JOIN s ON o_orderkey = s.doc_id LEFT JOIN i ON o_orderkey = i.doc_id)
+SELECT doc_id, '{{{{' || CASE WHEN total IS NULL THEN '' ELSE '"change":1000,' END || '"date":{{{{"day":' || d || ',"month":' || m || ',"year":' || y || '}}}},' || coalesce('"declaredItemCount":' || n || ',', '') ||
+       '"items":[' || coalesce(items, '') || '],"rawLines":["スーパー カワサキ' || cust || '号店","平成' || (y - 1988) || '年' || m || '月' || d || '日 ' || h || ':' || mi || '","TEL 044-555-0100"' ||
+       coalesce(',' || lines || ',"小計 ¥' || total || '","8%対象※ ¥' || total || ' (内税 ¥' || n || ')","内消費税等(8%) ¥' || (n + 1) || '","消費税(10%) ¥' || (n + 2) || '",' ||
+         CASE WHEN doc_id % 2 = 0 THEN '"合計 ' || total || '円"' ELSE '"合 計 合計","¥' || total || '"' END || ',"お預り合計 ¥' || (total + 1000) || '","お釣り ¥1,000","お買上点数 ' || n || '点"', '') ||
+       '],"storeName":"スーパー カワサキ' || cust || '号店",' || coalesce('"subtotal":' || total || ',', '') || '"taxLines":[' ||
+       coalesce('{{{{"isReducedRate":true,"rate":8,"taxAmount":' || n || ',"taxableAmount":' || total || '}}}},{{{{"isReducedRate":false,"rate":10,"taxAmount":' || (n + 2) || '}}}}', '') || '],' ||
+       coalesce('"tendered":' || (total + 1000) || ',', '') || '"time":"' || lpad(h::VARCHAR, 2, '0') || ':' || mi || '"' || coalesce(',"total":' || total, '') || '}}}}' AS json
+FROM o""".replace("{{", "{").replace("}}", "}"))
 def receipt_json(spark, sf_dir):
-    return receipts.extract(receipt_lines(spark, sf_dir)).select("doc_id", render.receipt_json().alias("json"))
+    return receipts.extract(receipt_lines(spark, sf_dir)).select("doc_id", render.receipt_json(pretty=False).alias("json"))
 
 
 @query("""
