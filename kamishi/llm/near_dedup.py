@@ -8,7 +8,7 @@ side in both sketches, and a run, unlike a single frequent value, has few unrela
      with others drop out before anything is compared;
   2. each list meets its most central member; a pair stays if its union-sketch estimate lies within
      `slack` deviations of the threshold, and exact Jaccard on the full sets confirms it;
-  3. links give components; lists that still hold several components go through 1 and 2 again;
+  3. links give components; lists that still hold several components go through 1 again;
   4. the rest is compared exactly: members outside a list's main component with that component, once
      for all lists, and with each other list by list, in groups of bounded size. A member leaves out
      as many of its longest lists as it may lack (prefix filter); one component is never compared.
@@ -41,8 +41,6 @@ THRESHOLD, SKETCH, SHINGLE, BLOCK = (80, 100), 64, 2, 512
 LAST = 2**63 - 1
 #: Deviations of the union-sketch estimate, and the chance that a linked pair shares fewer runs.
 SLACK, LOSS = 6.0, 1e-9
-#: Rounds of linking to central members before the rest is compared group by group.
-CENTRAL_ROUNDS = 2
 CHUNK_BYTES = 200_000
 #: Shingles of one side of a group, and of one pass of its exact comparison.
 BLOCK_SHINGLES, PASS_SHINGLES = 4_000_000, 2_000_000
@@ -196,9 +194,9 @@ def _spread_least(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
+        near = both.join(grown(labels), F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         jump = labels.select(F.col("node").alias("at"), F.col("comp").alias("jump"))
-        step = labels.join(near, labels["node"] == near["a"]).join(jump, F.col("comp") == F.col("at"), "left")
+        step = labels.join(grown(near), labels["node"] == near["a"]).join(grown(jump), F.col("comp") == F.col("at"), "left")
         new = scratch.table(step.select("node", F.col("comp").alias("old"), F.least("comp", "near", F.coalesce("jump", "comp")).alias("comp")), "labels")
         stable = new.where("old <> comp").isEmpty()
         scratch.drop(labels)
@@ -208,8 +206,13 @@ def _spread_least(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.drop("old")
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: never broadcast, not even where it is still small."""
+    return df.hint("merge")
+
+
 def _relabel(df, labels, column, name):
-    named = labels.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+    named = grown(labels).select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
     return df.join(named, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_comp", column)).drop("_node", "_comp")
 
 
@@ -220,7 +223,7 @@ def merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     ends = _relabel(_relabel(links, labels, "a", "ca"), labels, "b", "cb")
     found = _spread_least(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), scratch)
     old = _relabel(labels, found, "comp", "comp")
-    return scratch.table(old.unionByName(found.join(labels, "node", "left_anti").select("node", "comp")), "labels")
+    return scratch.table(old.unionByName(found.join(grown(labels), "node", "left_anti").select("node", "comp")), "labels")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -309,8 +312,7 @@ def _overlapping(rows: DataFrame, labels: DataFrame | None, scratch: Scratch) ->
     held = rows.withColumn("comp", F.col("node")) if labels is None else _relabel(rows.select("node", "need", "key"), labels, "node", "comp")
     lists = held.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
     met = F.count("*").over(Window.partitionBy("node"))
-    # the lists grow with the documents, so they are never broadcast, not even where they are few
-    return scratch.table(held.join(lists.hint("merge"), "key").withColumn("met", met).where("met >= need").select("node", "need", "comp", "key", "size"), "overlaps")
+    return scratch.table(held.join(grown(lists), "key").withColumn("met", met).where("met >= need").select("node", "need", "comp", "key", "size"), "overlaps")
 
 
 def _blocks(members: DataFrame, by: list[str], block: int, name: str) -> DataFrame:
@@ -329,32 +331,66 @@ def _groups(rows: DataFrame, own: DataFrame, block: int, scratch: Scratch) -> Da
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("of"))
     largest = sizes.groupBy("key").agg(F.max_by(F.struct("comp", "of"), F.struct("of", -F.col("comp"))).alias("m"))
     largest = largest.select("key", F.when(F.col("m.of") > 1, F.col("m.comp")).alias("main"))
-    marked = scratch.table(rows.join(largest, "key").where("main is null or comp <> main"), "marked")
+    marked = scratch.table(rows.join(grown(largest), "key").where("main is null or comp <> main"), "marked")
     sized = own.select("node", "n")
-    outer = scratch.table(marked.where("main is not null").select("main", "node", "comp").distinct().join(sized, "node"), "outer")
-    inner = rows.select(F.col("comp").alias("main"), "node", "comp").distinct().join(outer.select("main").distinct(), "main", "left_semi").join(sized, "node")
+    outer = scratch.table(marked.where("main is not null").select("main", "node", "comp").distinct().join(grown(sized), "node"), "outer")
+    inner = rows.select(F.col("comp").alias("main"), "node", "comp").distinct().join(grown(outer.select("main").distinct()), "main", "left_semi").join(grown(sized), "node")
     n_outer, n_inner = _blocks(outer, ["main"], block, "ni"), _blocks(inner, ["main"], block, "nj")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     mine = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), n.cast("long")).cast("int")
     named = lambda kind, i, j, side: [F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side")]
-    held = outer.withColumn("key", F.col("main")).join(n_outer.join(n_inner, "main"), "main")
+    held = outer.withColumn("key", F.col("main")).join(grown(n_outer.join(grown(n_inner), "main")), "main")
     one = held.withColumn("to", F.explode(upto(F.col("nj")))).select("key", "node", "comp", "n", *named("main", mine(F.col("ni")), F.col("to"), F.lit(True)))
-    held = inner.withColumn("key", F.col("main")).join(n_outer.join(n_inner, "main"), "main")
+    held = inner.withColumn("key", F.col("main")).join(grown(n_outer.join(grown(n_inner), "main")), "main")
     two = held.withColumn("to", F.explode(upto(F.col("ni")))).select("key", "node", "comp", "n", *named("main", F.col("to"), mine(F.col("nj")), F.lit(False)))
 
     lists = marked.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
     by_length = Window.partitionBy("node").orderBy("size", "key")
     every = by_length.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    short = marked.drop("size").join(lists, "key").withColumns({"rank": F.row_number().over(by_length), "of": F.count("*").over(every)}).where(F.col("rank") <= F.col("of") - F.col("need") + 1)
+    short = marked.drop("size").join(grown(lists), "key").withColumns({"rank": F.row_number().over(by_length), "of": F.count("*").over(every)}).where(F.col("rank") <= F.col("of") - F.col("need") + 1)
     short = scratch.table(short.select("key", "node", "comp"), "short")
     alike = short.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
     once = alike.where("lo <> hi").groupBy("members", "size").agg(F.min("key").alias("key")).select("key")
-    listed = scratch.table(short.join(once, "key").join(sized, "node"), "lists")
-    held = listed.join(_blocks(listed, ["key"], block, "ni"), "key").withColumn("c", mine(F.col("ni"))).withColumn("to", F.explode(upto(F.col("ni"))))
+    listed = scratch.table(short.join(grown(once), "key").join(grown(sized), "node"), "lists")
+    held = listed.join(grown(_blocks(listed, ["key"], block, "ni")), "key").withColumn("c", mine(F.col("ni"))).withColumn("to", F.explode(upto(F.col("ni"))))
     three = held.select("key", "node", "comp", "n", *named("list", F.least("c", "to"), F.greatest("c", "to"), F.col("c") <= F.col("to")))
     return one.unionByName(two).unionByName(three)
 
 
+def _linked(rows: DataFrame, reps: DataFrame, texts_of, threshold, k: int, size: int, block: int, slack: float | None, scratch: Scratch) -> DataFrame:
+    """node, comp of linked nodes; rows are the overlaps, reps the sketches, texts_of(nodes) their texts."""
+    nodes = scratch.table(rows.select("node").distinct(), "nodes")
+    own = scratch.table(reps.join(grown(nodes), "node", "left_semi"), "own")
+    texts = scratch.table(texts_of(nodes), "texts")
+    salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def beside(pairs, what):
+        """pairs with the columns of both ends; many pairs meet one hub b, so that end is salted."""
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+        end = lambda name: what.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in what.columns if c != "node"])
+        hubs = salted.select("b", "salt").distinct().join(grown(end("b")), "b")
+        return salted.join(grown(end("a")), "a").join(grown(hubs), ["b", "salt"]).drop("salt")
+
+    def linked(pairs):
+        likely = scratch.table(beside(pairs, own).mapInArrow(_estimated(k, threshold, slack), "a long, b long"), "likely")
+        return scratch.table(beside(likely, texts).mapInArrow(_verified(size, threshold), "a long, b long"), "links")
+
+    weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = rows.join(grown(weight), "node").groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("weight", -F.col("node"))).alias("hub"))
+    pairs = rows.join(grown(hubs), "key").where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    labels = components(linked(scratch.table(pairs, "pairs")), scratch)
+    apart = _overlapping(rows, labels, scratch)
+    scratch.drop(rows)
+    if apart.isEmpty():
+        return labels
+
+    own_columns = own.select("node", "sketch")
+    groups = scratch.table(_groups(apart, own, block, scratch), "groups")
+    likely = groups.join(grown(own_columns), "node").groupBy(*GROUP).applyInArrow(_likely(k, threshold, slack), "kind string, key long, i int, j int, node long, comp long, side boolean")
+    held = scratch.table(likely, "likely").join(grown(texts), "node").join(grown(own.select("node", "n")), "node")
+    return merged(labels, scratch.table(held.groupBy(*GROUP).applyInArrow(_exact(size, threshold), "a long, b long").distinct(), "links"), scratch)
+
+
 def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int, slack: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows; node, component_id and first of linked nodes; nodes of several equal rows."""
     scratch = Scratch()
@@ -362,56 +398,27 @@ def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int, slack:
     sk = scratch.table(sketches(docs, k, size), "sketches")
     full = sk.where("n > 0")
     sets = full.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    members = scratch.table(full.select("doc", "s1", "s2", "n").join(sets, ["s1", "s2", "n"]).groupBy("doc", "rep").agg(F.count("*").alias("rows")), "copies")
+    members = scratch.table(full.select("doc", "s1", "s2", "n").join(grown(sets), ["s1", "s2", "n"]).groupBy("doc", "rep").agg(F.count("*").alias("rows")), "copies")
     repeats = scratch.table(members.where("rows > 1").select("doc"), "repeats")
     repeated = not repeats.isEmpty()
 
     def once(df):
         """df with one row of each node."""
-        return df.join(repeats, "doc", "left_anti").unionByName(df.join(repeats, "doc", "left_semi").dropDuplicates(["doc"])) if repeated else df
+        return df.join(grown(repeats), "doc", "left_anti").unionByName(df.join(grown(repeats), "doc", "left_semi").dropDuplicates(["doc"])) if repeated else df
 
-    reps = once(full.where("n > 3").join(members.where("doc <> rep"), "doc", "left_anti").select("doc", "n", "sketch")).withColumnRenamed("doc", "node")
+    reps = once(full.where("n > 3").join(grown(members.where("doc <> rep")), "doc", "left_anti").select("doc", "n", "sketch")).withColumnRenamed("doc", "node")
     keyed = reps.select("node", needed_runs(F.col("n"), k, threshold).alias("need"), F.explode(run_keys(F.col("sketch"))).alias("key"))
     rows = _overlapping(keyed, None, scratch)
-    nodes = scratch.table(rows.select("node").distinct(), "nodes")
-    own = scratch.table(reps.join(nodes, "node", "left_semi"), "own")
-    texts = scratch.table(once(docs.join(nodes, F.col("doc") == F.col("node"), "left_semi").select("doc", "text")).withColumnRenamed("doc", "node"), "texts")
-    salts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def beside(pairs, what):
-        """pairs with the columns of both ends; many pairs meet one hub b, so that end is salted."""
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
-        end = lambda name: what.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in what.columns if c != "node"])
-        hubs = salted.select("b", "salt").distinct().join(end("b"), "b")
-        return salted.join(end("a"), "a").join(hubs, ["b", "salt"]).drop("salt")
-
-    def linked(pairs):
-        likely = scratch.table(beside(pairs, own).mapInArrow(_estimated(k, threshold, slack), "a long, b long"), "likely")
-        return scratch.table(beside(likely, texts).mapInArrow(_verified(size, threshold), "a long, b long"), "links")
-
-    labels = None
-    for _ in range(CENTRAL_ROUNDS):
-        weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
-        hubs = rows.join(weight, "node").groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("weight", -F.col("node"))).alias("hub"))
-        pairs = rows.join(hubs, "key").where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        links = linked(scratch.table(pairs, "pairs"))
-        if links.isEmpty():
-            break
-        labels = merged(labels, links, scratch)
-        apart = _overlapping(rows, labels, scratch)
-        scratch.drop(rows)
-        rows = apart
-
-    own_columns = own.select("node", "sketch")
-    groups = scratch.table(_groups(rows, own, block, scratch), "groups")
-    likely = groups.join(own_columns, "node").groupBy(*GROUP).applyInArrow(_likely(k, threshold, slack), "kind string, key long, i int, j int, node long, comp long, side boolean")
-    held = scratch.table(likely, "likely").join(texts, "node").join(own.select("node", "n"), "node")
-    labels = merged(labels, scratch.table(held.groupBy(*GROUP).applyInArrow(_exact(size, threshold), "a long, b long").distinct(), "links"), scratch)
+    if rows.isEmpty():
+        labels = docs.sparkSession.createDataFrame([], "node long, comp long")
+    else:
+        texts = lambda nodes: once(docs.join(grown(nodes), F.col("doc") == F.col("node"), "left_semi").select("doc", "text")).withColumnRenamed("doc", "node")
+        labels = _linked(rows, reps, texts, threshold, k, size, block, slack, scratch)
 
     homes = _relabel(members.select(F.col("doc").alias("node"), "rep"), labels, "rep", "comp").select("node", "comp")
-    homes = scratch.table(homes.unionByName(labels.select("node", "comp").join(members.select(F.col("doc").alias("node")), "node", "left_anti")), "homes")
-    least = homes.join(sk.select(F.col("doc").alias("node"), "id"), "node").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
-    final = scratch.table(homes.join(least, "comp").select("node", F.col("least.id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first")), "final")
+    homes = scratch.table(homes.unionByName(labels.select("node", "comp").join(grown(members.select(F.col("doc").alias("node"))), "node", "left_anti")), "homes")
+    least = homes.join(grown(sk.select(F.col("doc").alias("node"), "id")), "node").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
+    final = scratch.table(homes.join(grown(least), "comp").select("node", F.col("least.id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first")), "final")
     scratch.discard(sk, final, repeats)
     return sk, final, repeats
 
@@ -419,7 +426,7 @@ def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int, slack:
 def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK, slack: float | None = SLACK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     sk, labels, _ = _clusters(docs, threshold, k, size, block, slack)
-    done = sk.select("doc", "id", "n").join(labels, F.col("doc") == F.col("node"), "left")
+    done = sk.select("doc", "id", "n").join(grown(labels), F.col("doc") == F.col("node"), "left")
     ids = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), "first", F.lit(True))
     return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), ids.alias("component_id"), kept.alias("kept"))
@@ -429,10 +436,10 @@ def one_of_each(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int
     """docs with a single row of each component: its first, of equal rows the least by all columns."""
     _, labels, repeats = _clusters(docs, threshold, k, size, block, slack)
     name, other, least = unused(docs, "name", "other", "least")
-    named = docs.withColumn(name, row_name()).join(labels.where("not first").select(F.col("node").alias(other)), F.col(name) == F.col(other), "left_anti")
+    named = docs.withColumn(name, row_name()).join(grown(labels.where("not first").select(F.col("node").alias(other))), F.col(name) == F.col(other), "left_anti")
     if repeats.isEmpty():
         return named.select(docs.columns)
-    again = repeats.select(F.col("doc").alias(other))
+    again = grown(repeats.select(F.col("doc").alias(other)))
     one = named.join(again, F.col(name) == F.col(other), "left_semi").groupBy(name).agg(F.min(F.struct(*docs.columns)).alias(least)).select(f"{least}.*")
     return named.join(again, F.col(name) == F.col(other), "left_anti").select(docs.columns).unionByName(one)
 
