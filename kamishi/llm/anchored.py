@@ -31,6 +31,8 @@ from . import bytesvec as bv
 from .common import text_bytes, unused
 
 GROUP_BYTES, SHARD_BYTES, CHUNK_BYTES, COMPARE_BYTES = 2 << 20, 16 << 20, 120_000, 1 << 20
+#: Text that a task reads; where the session's shuffle partitions would give it more, there are more of them.
+TASK_BYTES = 32 << 20
 NULL_ID = np.int64(2**63 - 1)
 SMALLER, ELSEWHERE = "smaller", "elsewhere"
 
@@ -407,10 +409,13 @@ def remove_repeats(docs: DataFrame, spec: Spec) -> DataFrame:
     size = text_bytes(docs)
     n_groups, n_shards = max(2 * parts, size // GROUP_BYTES), max(parts, size // SHARD_BYTES)
     (group,) = unused(docs, "group")
-    dealt = docs.withColumn(group, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)))
+    want = size // TASK_BYTES
+    spread = lambda df, key: df.repartition(want, key) if want > parts else df
+    dealt = spread(docs.withColumn(group, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups))), group)
     groups = dealt.groupBy(group)
-    classes = groups.applyInArrow(summarize(spec, n_shards, group), SUMMARY_DDL).groupBy("shard").applyInArrow(resolve(spec), REPLY_DDL)
-    ranges = groups.cogroup(classes.groupBy("_b")).applyInArrow(fetch(spec, n_shards, group), SUMMARY_DDL).groupBy("shard").applyInArrow(compare(spec), REPLY_DDL)
+    classes = spread(groups.applyInArrow(summarize(spec, n_shards, group), SUMMARY_DDL), "shard").groupBy("shard").applyInArrow(resolve(spec), REPLY_DDL)
+    asked = groups.cogroup(spread(classes, "_b").groupBy("_b")).applyInArrow(fetch(spec, n_shards, group), SUMMARY_DDL)
+    ranges = spread(asked, "shard").groupBy("shard").applyInArrow(compare(spec), REPLY_DDL)
     extra = [T.StructField(n, T.LongType()) for n in ("n_units", "n_removed", "n_spans")]
     schema = T.StructType([*docs.schema.fields, *extra, T.StructField("kept", T.BinaryType())])
-    return groups.cogroup(classes.unionByName(ranges).groupBy("_b")).applyInArrow(apply(spec, group), schema)
+    return groups.cogroup(spread(classes.unionByName(ranges), "_b").groupBy("_b")).applyInArrow(apply(spec, group), schema)

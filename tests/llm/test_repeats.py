@@ -74,3 +74,14 @@ def test_edges(spark):
     got = sorted((str(r.doc_id), r.n_removed, r.kept_before) for r in dedup_substrings(df, 5, 2).collect())
     assert got == [("5", 0, 2), ("5", 0, 2), ("None", 0, None), ("None", 7, 1)]
     assert sorted(r.n_removed for r in dedup_suffixes(df, 5, 2).collect()) == [0, 13, 13, 13]
+
+
+def test_more_tasks_than_shuffle_partitions(spark, monkeypatch):
+    """A corpus too large for the session's shuffle partitions is dealt into more of them, with the same answer."""
+    from kamishi.llm import anchored
+
+    monkeypatch.setattr(anchored, "TASK_BYTES", 400)
+    rows = corpus(6, list("abcdé"), "")
+    want = brute(rows, 8, lambda t: list(t.encode()), False)
+    for r in dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string"), 8, 3).collect():
+        assert (r.n_units, r.n_removed, r.n_spans, list(r.kept)) == want[r.doc_id][0], r
