@@ -58,9 +58,17 @@ def buffer_of(texts) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and word offsets of each text."""
-    word = ~IS_SPACE[buf]
+def slices(column, size: int):
+    """(first, end) of runs of rows with about size bytes of text, one row at least."""
+    lens = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(lens) // size
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(lens) else []
+    return zip(cut, [*cut[1:], len(lens)], strict=False)
+
+
+def word_spans(buf: np.ndarray, offs: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word (a run of bytes that is_space excludes), and word offsets of each text."""
+    word = ~is_space[buf]
     cut = np.zeros(len(buf) + 1, bool)
     cut[offs] = True
     starts = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])) | word & cut[:-1]) if len(buf) else np.empty(0, np.int64)
@@ -88,6 +96,31 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(span_hash(byte_prefix(buf), starts, ends))
 
 
+def _rounds(starts: np.ndarray, ends: np.ndarray, size: int):
+    """(first, end) of runs of spans, in order of place, that cover about size bytes, one span at least."""
+    part = starts // size
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(starts) else []
+    return zip(cut, [*cut[1:], len(starts)], strict=False)
+
+
+def alike(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each distinct span, which of them each span equals) of spans in order of place: spans meet
+    by hash and are compared, some size bytes at a time. If two different ones share a hash, every span
+    stands for itself."""
+    hashes = np.empty(len(starts), np.uint64)
+    for lo, hi in _rounds(starts, ends, size):
+        at = starts[lo]
+        hashes[lo:hi] = word_hashes(buf[at : ends[hi - 1]], starts[lo:hi] - at, ends[lo:hi] - at)
+    _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+    lens, shift = ends - starts, starts[first][same] - starts
+    equal = (lens == lens[first][same]).all()
+    for lo, hi in _rounds(starts, ends, size) if equal else ():
+        n = lens[lo:hi]
+        at = np.arange(n.sum()) + np.repeat(starts[lo:hi] - np.cumsum(n) + n, n)
+        equal = equal and (buf[at + np.repeat(shift[lo:hi], n)] == buf[at]).all()
+    return (first, same) if equal else (np.arange(len(starts)), np.arange(len(starts)))
+
+
 def gram_hashes(units: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray:
     """Mixed hash of the k units that start at each unit; NONE where they leave the text."""
     n = len(units)

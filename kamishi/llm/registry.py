@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, filter_audit, fm_dedup, langid, line_dedup, near_dedup, packing, quality, search, suffix_dedup, unigram
+from . import alignment, chat, decontamination, filter_audit, fm_dedup, langid, line_dedup, near_dedup, packing, quality, search, suffix_dedup, unigram
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8,
     "op9_language_id": langid.op9,
     "op10_minhash_near_dedup": near_dedup.op10,
+    "op11_decontamination": decontamination.op11,
+    "op12_alignment": alignment.op12,
     "op13_filter_audit": filter_audit.op13,
 }
 ORACLES = {
@@ -25,5 +27,6 @@ ORACLES = {
     "op6_suffix_array_dedup": suffix_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op10_minhash_near_dedup": near_dedup.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
