@@ -24,18 +24,19 @@ def _unit(c: Column, units: dict[str, int]) -> Column:
     return out
 
 
-def kanji_number(s: Column) -> Column:
-    """Value of a numeral in kanji or digits; null if anything else is in it.
+#: A numeral with its units in falling order, each at most once: four sections of up to four runs of digits.
+_SECTION = "(?:([0-9]+)千)?(?:([0-9]+)百)?(?:([0-9]+)十)?([0-9]+)?"
+IN_ORDER = rf"\A(?:{_SECTION}兆)?(?:{_SECTION}億)?(?:{_SECTION}万)?(?:{_SECTION})?\z"
 
-    A fold over the characters: digits extend the current run, a small unit moves it to the section,
-    a large unit closes the section. A unit without a number counts once.
-    """
-    s = F.translate(s, KANJI_DIGITS + OTHER_ZERO, "01234567890")
+
+def _folded(s: Column) -> Column:
+    """Value of digits and units in any order: digits extend the current run, a small unit moves it to
+    the section, a large unit closes the section. A unit without a number counts once."""
     zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("current"), F.lit(True).alias("ok"))
+    start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("current"))
 
     def step(a, c):
-        digit = F.when(c.rlike("^[0-9]$"), F.try_to_number(c, F.lit("9")).cast("long"))
+        digit = F.when(c.between("0", "9"), F.ascii(c) - 48).cast("long")
         small, large = _unit(c, SMALL_UNITS), _unit(c, LARGE_UNITS)
         once = lambda n: F.when(n == 0, F.lit(1).cast("long")).otherwise(n)
         whole = F.try_add(a["section"], a["current"])
@@ -43,11 +44,27 @@ def kanji_number(s: Column) -> Column:
             F.when(large.isNotNull(), F.try_add(a["total"], F.try_multiply(once(whole), large))).otherwise(a["total"]).alias("total"),
             F.when(large.isNotNull(), zero).when(small.isNotNull(), F.try_add(a["section"], F.try_multiply(once(a["current"]), small))).otherwise(a["section"]).alias("section"),
             F.when(digit.isNotNull(), F.try_add(F.try_multiply(a["current"], F.lit(10).cast("long")), digit)).otherwise(zero).alias("current"),
-            (a["ok"] & F.coalesce(digit, small, large).isNotNull()).alias("ok"),
         )
 
-    done = lambda a: F.when(a["ok"], F.try_add(F.try_add(a["total"], a["section"]), a["current"]))
-    return F.when(F.char_length(s) > 0, F.aggregate(F.split(s, ""), start, step, done))
+    return F.aggregate(F.split(s, ""), start, step, lambda a: F.try_add(F.try_add(a["total"], a["section"]), a["current"]))
+
+
+def kanji_number(s: Column) -> Column:
+    """Value of a numeral in kanji or digits; null if anything else is in it.
+
+    A unit without a number counts once, so a 1 is put before it. A numeral whose units fall is then cut
+    into its sixteen runs of digits by one pattern, and the runs times their units are added up; any other
+    order of units is left to a fold over the characters.
+    """
+    s = F.translate(s, KANJI_DIGITS + OTHER_ZERO, "01234567890")
+    ones = F.when(s.rlike("[十百千万億兆]"), F.regexp_replace(s, "(?<![0-9])0*(?=[十百千])|(?<![0-9十百千])0*(?=[万億兆])", "1")).otherwise(s)
+    runs = F.split(F.when(s.rlike("[0-9十百千万億兆]") & ones.rlike(IN_ORDER), F.regexp_replace(ones, IN_ORDER, ",".join(f"${i}" for i in range(1, 17)))), ",", -1)
+    value = None
+    for i in range(16):  # '0' in front reads an absent run as 0
+        unit = F.lit([1000, 100, 10, 1][i % 4] * [10**12, 10**8, 10**4, 1][i // 4]).cast("long")
+        term = F.try_multiply(F.concat(F.lit("0"), runs[i]).try_cast("long"), unit)
+        value = term if value is None else F.try_add(value, term)
+    return F.coalesce(value, F.when(s.rlike(r"\A[0-9十百千万億兆]+\z"), _folded(s)))
 
 
 def read_amount(match: Column) -> Column:

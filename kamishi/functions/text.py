@@ -29,10 +29,12 @@ def halfwidth_ascii(s: Column) -> Column:
 def fullwidth_kana(s: Column) -> Column:
     """Half-width kana made full-width; a mark composes with the kana before it, alone it stands."""
     out = F.translate(s, HALF_KANA, FULL_KANA)
-    for mark, (plain, composed) in (("ﾞ", VOICED), ("ﾟ", SEMI_VOICED)):
-        for a, b in zip(plain, composed, strict=True):
-            out = F.replace(out, F.lit(a + mark), F.lit(b))
-    return F.translate(out, "ﾞﾟ", "゛゜")
+    composed = out
+    for mark, pairs in (("ﾞ", VOICED), ("ﾟ", SEMI_VOICED)):
+        for a, b in zip(*pairs, strict=True):
+            composed = F.replace(composed, F.lit(a + mark), F.lit(b))
+    marked = s.contains("ﾞ") | s.contains("ﾟ")
+    return F.when(marked, F.translate(composed, "ﾞﾟ", "゛゜")).otherwise(out)
 
 
 def collapse_whitespace(s: Column) -> Column:

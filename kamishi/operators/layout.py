@@ -10,6 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,19 @@ def cluster_blocks(lines: DataFrame, options: LayoutOptions = DEFAULT) -> DataFr
     return pagewise.map_pages(lines, columns, kernel, f"orientation string, {held}, block long, in_block long")
 
 
+def interval_bands(intervals: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """page_id, band, id, lo, hi of intervals (page_id, id, lo, hi): an interval joins the newest band that
+    it overlaps and one of whose members it overlaps by ratio, else it opens one. Bands are numbered from
+    the least lo on."""
+    held = intervals.select("page_id", *[F.col(c).cast(t).alias(c) for c, t in (("id", "long"), ("lo", "double"), ("hi", "double"))])
+
+    def kernel(page, vertical, f):
+        order, band = pagewise.interval_bands(page, f["lo"], f["hi"], f["id"], ratio)
+        return page[order], {"band": band.astype(np.int32), **{k: f[k][order] for k in ("id", "lo", "hi")}}
+
+    return pagewise.map_pages(held, ["id", "lo", "hi"], kernel, "band int, id long, lo double, hi double", F.first(F.lit("horizontal")))
+
+
 def xy_cut(boxes: list[tuple[float, float, float, float]], vertical: bool, min_gap: float = 0.005) -> list[int]:
     """Reading order of boxes (x, y, width, height) of one page."""
     x, y, w, h = np.array(boxes, float).reshape(-1, 4).T
@@ -141,17 +156,41 @@ def _analyzed(options):
     return kernel
 
 
-ANALYZED = ["block_no", "line_no", "orientation", "text", "spaced_text", "x", "y", "width", "height", "confidence"]
+LINES = "block_no int, line_no int, orientation string, text string, spaced_text string, x double, y double, width double, height double, confidence double"
+ANALYZED = [c.split()[0] for c in LINES.split(", ")]
+
+
+def confident(observations: DataFrame, options: LayoutOptions = DEFAULT) -> DataFrame:
+    """Observations sure enough to take part; a null confidence is not."""
+    return observations.where(F.col("confidence") >= options.min_confidence)
 
 
 def analyze(observations: DataFrame, options: LayoutOptions = DEFAULT) -> DataFrame:
     """Lines in reading order: page_id, block_no, line_no, orientation, text, spaced_text, x, y,
     width, height, confidence. Pages without rows are added by documents()."""
-    kept = _boxes(observations).where(F.col("confidence") >= options.min_confidence)
+    kept = confident(_boxes(observations), options)
     turned = F.lit(options.orientation) if options.orientation else _voted()
     if options.orientation:
         turned = F.first(turned)
-    return pagewise.map_pages(kept, BOXES, _analyzed(options), "block_no int, line_no int, orientation string, text string, spaced_text string, x double, y double, width double, height double, confidence double", turned)
+    return pagewise.map_pages(kept, BOXES, _analyzed(options), LINES, turned)
+
+
+def lines_of_pages(boxes: pa.Table, options: LayoutOptions = DEFAULT) -> pa.Table:
+    """Lines of whole pages' boxes in an Arrow table, as analyze() gives them."""
+    number = {"obs_id": pa.int32()} | dict.fromkeys(["x", "y", "width", "height", "confidence"], pa.float64())
+    boxes = boxes.filter(pc.greater_equal(boxes.column("confidence").cast(pa.float64()), options.min_confidence))
+    ids = boxes.column("page_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    page = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(page, kind="stable")
+    page = page[order]
+    f = {c: boxes.column(c).cast(t).to_numpy()[order] for c, t in number.items()} | {"text": boxes.column("text").cast(pa.string()).combine_chunks().take(pa.array(order))}
+    w, h = f["width"], f["height"]
+    real = (w > 0) & (h > 0)
+    tall, wide = (np.bincount(page, np.where(real & far, w * h, 0.0)) for far in (h >= WIDE * w, w >= WIDE * h))
+    turned = (tall > wide)[page] if options.orientation is None else np.full(len(page), options.orientation == "vertical")
+    at, found = _analyzed(options)(page, turned, f)
+    found = {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in found.items()}
+    return pa.table({"page_id": ids.dictionary.take(pa.array(at)), **found})
 
 
 def documents(lines: DataFrame, pages: DataFrame | None = None, options: LayoutOptions = DEFAULT) -> DataFrame:

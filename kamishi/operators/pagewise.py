@@ -6,6 +6,7 @@ batch are worked on together: every step is an operation on arrays in which a pa
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import numpy as np
@@ -111,6 +112,61 @@ def boxes_of(f, order, opens):
     return {"x": x, "y": y, "width": right - x, "height": bottom - y}
 
 
+#: Pages of more boxes than this are swept one by one where a line may have any gap.
+LONE_PAGE = 64
+
+
+def aligned_components(lo, hi, ratio):
+    """Components of intervals linked where they overlap by ratio (above 0, 1 at most) of the shorter.
+
+    In order of lo, an earlier a is linked to b if b begins before a's last ratio does, or if a ends
+    after b's first ratio. Intervals of the first kind overlap each other that much already, so the one
+    that reaches furthest stands for them; of the second kind every component counts whose furthest end
+    lies there. Components leave once b begins after their end: n log n steps in all.
+    """
+    order = np.lexsort((hi, lo))
+    parent = list(range(len(lo)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    far, far_at = -np.inf, -1
+    live = []  # (furthest end, whose) of each component, in that order
+    ends = {}  # root: its entry
+    for i, a, b in zip(order.tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
+        size = b - a
+        if size <= 0:
+            continue
+        while live and live[0][0] <= a:
+            ends.pop(root(live.pop(0)[1]), None)
+        own, end = i, (b, i)
+        slack = 1e-9 * (abs(a) + size)
+        while live and live[-1][0] >= a + ratio * size - slack:
+            e, j = live[-1]
+            if min(e, b) - a < ratio * size and (min(e, b) - a) / min(size, e - lo[j]) < ratio:
+                break
+            live.pop()
+            r = root(j)
+            ends.pop(r, None)
+            parent[max(own, r)] = own = min(own, r)
+            end = max(end, (e, j))
+        if far >= a - slack and far_at >= 0 and root(far_at) != own and (min(hi[far_at], b) - a) / min(size, hi[far_at] - lo[far_at]) >= ratio:
+            r = root(far_at)
+            held = ends.pop(r, None)
+            if held is not None:
+                del live[bisect_left(live, held)]
+                end = max(end, held)
+            parent[max(own, r)] = own = min(own, r)
+        insort(live, end)
+        ends[own] = end
+        if b - ratio * size > far:
+            far, far_at = b - ratio * size, i
+    return np.array([root(i) for i in range(len(lo))], np.int64)
+
+
 def lines(page, vertical, f, options):
     """(page, vertical, fields) of the lines, in order of page and label: the least rank of a member by
     reading start. Members of a line stand by reading start, ties by obs_id."""
@@ -127,7 +183,16 @@ def lines(page, vertical, f, options):
                 on = rs[b] <= re[a] + reach
         return near, on
 
-    label = components(len(page), *sweep(page, step))
+    starts = runs(page)
+    label = np.arange(len(page))
+    small = np.ones(len(page), bool)
+    if options.line_gap_factor is None and 0 < options.line_overlap <= 1:
+        for lo, n in zip(starts.tolist(), np.diff(np.append(starts, len(page))).tolist(), strict=True):
+            if n > LONE_PAGE:
+                small[lo : lo + n] = False
+                label[lo : lo + n] = lo + aligned_components(cs[lo : lo + n], ce[lo : lo + n], options.line_overlap)
+    rows = np.flatnonzero(small)
+    label[rows] = rows[components(len(rows), *sweep(page[rows], lambda a, b: step(rows[a], rows[b])))]
     members = np.argsort(label, kind="stable")
     opens = runs(label[members])
     if not len(opens):
@@ -135,7 +200,6 @@ def lines(page, vertical, f, options):
     count = np.diff(np.append(opens, len(label)))
     texts = pa.ListArray.from_arrays(pa.array(np.append(opens, len(label)).astype(np.int32)), pc.fill_null(f["text"], "").cast(pa.string()).take(pa.array(order[members])))
     head = members[opens]
-    starts = runs(page)
     start = np.repeat(starts, np.diff(np.append(starts, len(page))))
     out = {
         "line": label[head] - start[head], "text": pc.binary_join(texts, ""), "spaced_text": pc.binary_join(texts, " "), **boxes_of(f, order[members], opens),
@@ -223,3 +287,154 @@ def reading_ranks(page, vertical, f, min_gap=0.005):
     rank = np.empty(len(page), np.int64)
     rank[order] = within(page[order])
     return rank
+
+
+def table_bands(page, lo, hi, tie, ratio):
+    """(page, lo, hi) of the bands of each page's intervals, in that order.
+
+    From the narrowest interval to the widest: one that no band hits opens a band, one that one band hits
+    widens it, and one that more hit is a spanning cell and changes nothing. A band hits where the overlap
+    is ratio of the shorter at least. Bands stand sorted by lo; none is longer than the longest so far, so
+    bisection finds all that can reach an interval.
+    """
+    order = np.lexsort((tie, hi, lo, hi - lo, page))
+    opens = runs(page[order])
+    out = []
+    for at, end in zip(opens.tolist(), [*opens[1:].tolist(), len(page)], strict=False):
+        rows = order[at:end]
+        los, his, longest = [], [], 0.0
+        for a, b in zip(lo[rows].tolist(), hi[rows].tolist(), strict=True):
+            size = b - a
+            first = bisect_left(los, a - longest - 1e-9 * (abs(a) + longest)) if ratio > 0 else 0
+            last = bisect_left(los, b) if ratio > 0 else len(los)
+            hits = []
+            for k in range(first, last):
+                side = min(his[k] - los[k], size)
+                if side > 0 and max(0.0, min(his[k], b) - max(los[k], a)) >= ratio * side:
+                    hits.append(k)
+                    if len(hits) > 1:
+                        break
+            if len(hits) == 1:
+                a, b = min(a, los[hits[0]]), max(b, his[hits[0]])
+                del los[hits[0]], his[hits[0]]
+            if len(hits) < 2:
+                k = bisect_left(los, a)
+                los.insert(k, a)
+                his.insert(k, b)
+                longest = max(longest, b - a)
+        out.append((np.full(len(los), page[rows[0]]), los, his))
+    if not out:
+        return page[:0], lo[:0], hi[:0]
+    p, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((b, a, p))
+    return p[order], a[order], b[order]
+
+
+def interval_bands(page, lo, hi, tie, ratio):
+    """(order, band) of intervals: rows by page, lo, hi, tie, and the number of each one's band on its page.
+
+    Rows come by lo, so a band or member that ended before has no part in any later row: only those still
+    open are compared, the newest band first.
+    """
+    order = np.lexsort((tie, hi, lo, page))
+    band = np.empty(len(order), np.int64)
+    n, last, live = 0, None, []  # live: [number, end, open members (lo, hi)] of bands, oldest first
+    for i, p, a, b in zip(range(len(order)), page[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
+        if p != last:
+            n, last, live = 0, p, []
+        live = [x for x in live if x[1] > a]
+        for own in reversed(live) if b > a or ratio <= 0 else ():
+            own[2] = [m for m in own[2] if m[1] > a or ratio <= 0]
+            if min(own[1], b) - max(own[3], a) > 0 and any(_ratio(m, a, b) >= ratio for m in own[2]):
+                own[1] = max(own[1], b)
+                own[2].append((a, b))
+                band[i] = own[0]
+                break
+        else:
+            band[i] = n
+            live.append([n, b, [(a, b)], a])
+            n += 1
+    return order, band
+
+
+def _ratio(m, a, b):
+    side = min(m[1] - m[0], b - a)
+    return max(0.0, min(m[1], b) - max(m[0], a)) / side if side > 0 else 0.0
+
+
+def _keys(pages, *values):
+    """Numbers that order pairs of page and value alike for all of some arrays of values."""
+    _, rank = np.unique(np.concatenate(values), return_inverse=True)
+    top, at = len(rank) + 1, np.cumsum([0, *map(len, values)])
+    return [p * top + rank[i:j] for p, i, j in zip(pages, at, at[1:], strict=False)]
+
+
+def _spread(begin, n):
+    """begin, begin + 1, ... for n of each, and whose each is."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) + np.repeat(begin - np.cumsum(n) + n, n), owner
+
+
+#: Pairs of an interval and a band that are compared at a time.
+PAIRS = 1 << 21
+
+
+def assign_bands(page, lo, hi, bands, ratio):
+    """(first, span) of the bands that each interval hits, numbered within its page; without a hit the band
+    nearest by centre, the first of equals. Bands as table_bands gives them; an interval join by bisection."""
+    b_page, b_lo, b_hi = bands
+    base, end = np.searchsorted(b_page, page), np.searchsorted(b_page, page, "right")
+    longest = np.zeros(int(page.max()) + 1 if len(page) else 0)
+    np.maximum.at(longest, b_page, b_hi - b_lo)
+    if ratio > 0:
+        reach = longest[page]
+        own, begin, stop = _keys((b_page, page, page), b_lo, lo - reach - 1e-9 * (np.abs(lo) + reach), hi)
+        begin, stop = np.searchsorted(own, begin), np.searchsorted(own, stop)
+        begin, stop = np.clip(begin, base, end), np.clip(stop, base, end)
+        stop = np.maximum(begin, stop)
+    else:
+        begin, stop = base, end
+    first, last = np.full(len(page), -1), np.full(len(page), -1)
+    part = np.cumsum(stop - begin) // PAIRS
+    cut = runs(part)
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(page)], strict=False):
+        k, owner = _spread(begin[i:j], (stop - begin)[i:j])
+        a, b = lo[i:j][owner], hi[i:j][owner]
+        side = np.minimum(b_hi[k] - b_lo[k], b - a)
+        hit = (side > 0) & (np.maximum(0.0, np.minimum(b_hi[k], b) - np.maximum(b_lo[k], a)) >= ratio * side)
+        k, owner = k[hit], owner[hit]
+        first[i + owner[::-1]] = k[::-1]  # the last write stays
+        last[i + owner] = k
+    lone = np.flatnonzero(first < 0)
+    if len(lone):
+        middle = (b_lo + b_hi) / 2
+        order = np.lexsort((np.arange(len(middle)), middle, b_page))
+        own, wanted = _keys((b_page[order], page[lone]), middle[order], (lo[lone] + hi[lone]) / 2)
+        right = np.searchsorted(own, wanted)
+        left = np.searchsorted(own, own[np.maximum(right - 1, 0)])
+        has_left, has_right = right > base[lone], right < end[lone]
+        c = (lo[lone] + hi[lone]) / 2
+        pick_l, pick_r = order[np.minimum(left, len(order) - 1)], order[np.minimum(right, len(order) - 1)]
+        d_l, d_r = np.where(has_left, np.abs(middle[pick_l] - c), np.inf), np.where(has_right, np.abs(middle[pick_r] - c), np.inf)
+        first[lone] = last[lone] = np.where((d_l < d_r) | (d_l == d_r) & (pick_l < pick_r), pick_l, pick_r)
+    return first - base, last - first + 1
+
+
+def table_cells(page, f, ratio, options):
+    """((page, fields) of the cells, (page, row count, column count) of the tables) of whole pages."""
+    page, _, found = lines(page, np.zeros(len(page), bool), f, options)
+    spans = {"y": (found["y"], found["y"] + found["height"]), "x": (found["x"], found["x"] + found["width"])}
+    bands = {at: table_bands(page, lo, hi, found["first_obs"], ratio) for at, (lo, hi) in spans.items()}
+    row, row_span = assign_bands(page, *spans["y"], bands["y"], ratio)
+    col, col_span = assign_bands(page, *spans["x"], bands["x"], ratio)
+    order = np.lexsort((found["first_obs"], found["x"], found["y"], col, row, page))
+    number = np.stack((page, row, col))[:, order]
+    opens = np.flatnonzero(np.append(True, (number[:, 1:] != number[:, :-1]).any(axis=0))) if len(page) else np.empty(0, np.int64)
+    pages = page[runs(page)]
+    sizes = [np.searchsorted(bands[at][0], pages, "right") - np.searchsorted(bands[at][0], pages) for at in "yx"]
+    if not len(opens):
+        return page, {"row": row, "col": col, "row_span": row, "col_span": col, "text": found["text"], **{c: np.empty(0) for c in ("x", "y", "width", "height")}}, (pages, *sizes)
+    texts = pa.ListArray.from_arrays(pa.array(np.append(opens, len(order)).astype(np.int32)), found["text"].take(pa.array(order)))
+    spans = {k: np.maximum.reduceat(v[order], opens) for k, v in (("row_span", row_span), ("col_span", col_span))}
+    cells = {"row": number[1][opens], "col": number[2][opens], **spans, "text": pc.binary_join(texts, ""), **boxes_of(found, order, opens)}
+    return number[0][opens], cells, (pages, *sizes)

@@ -101,12 +101,12 @@ def read_lines(lines: DataFrame) -> DataFrame:
 def classify_lines(lines: DataFrame) -> DataFrame:
     """read_lines() with what earlier lines decide: target and value of amounts, items, tax lines."""
     rows = read_lines(lines)
-    w = Window.partitionBy("doc_id", F.col("norm") == "").orderBy("line_no")
     doc = Window.partitionBy("doc_id").orderBy("line_no")
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
     kind, n = F.col("kind"), F.col("norm")
     pending = F.when(kind.isin(MONEY) & F.col("amount").isNull(), kind)
-    rows = rows.withColumn("pending", F.lag(pending).over(w))
+    # of the last line before that is not empty: one exchange, by doc_id, serves all windows
+    rows = rows.withColumn("pending", F.last(F.when(n != "", F.struct(pending.alias("kind"))), ignorenulls=True).over(before)["kind"])
     taken = F.col("pending").isNotNull() & F.col("solo").isNotNull() & (n != "")
     summary = kind.isin([*MONEY, "tax"])
     rows = rows.withColumns({

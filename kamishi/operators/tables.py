@@ -1,63 +1,37 @@
-"""Table reconstruction: bands of rows and columns, spanning cells, dense grids."""
+"""Table reconstruction: bands of rows and columns, spanning cells, dense grids.
+
+Bands and cells of a page are made by the kernels of pagewise: one exchange, by page.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import overlap, union_box
-from .layout import LayoutOptions, cluster_lines
+from . import pagewise
+from .layout import BOXES, LayoutOptions, _boxes
 
 BAND_OVERLAP = 0.5
 CELLS = LayoutOptions(orientation="horizontal", line_overlap=0.5, line_gap_factor=0.6)
-BAND = "array<struct<lo:double,hi:double>>"
-
-
-def _hits(bands: Column, lo: Column, hi: Column, ratio: float) -> Column:
-    """0-based numbers of the bands that the interval overlaps enough; a band or interval of no length hits nothing."""
-    side = lambda b: F.least(b["hi"] - b["lo"], hi - lo)
-    fits = lambda b: (side(b) > 0) & (overlap(b["lo"], b["hi"], lo, hi) >= ratio * side(b))
-    return F.filter(F.transform(bands, lambda b, k: F.when(fits(b), k)), lambda k: k.isNotNull())
-
-
-def build_bands(intervals: Column, ratio: float = BAND_OVERLAP) -> Column:
-    """Bands of array<struct<len, lo, hi, id>>, from the narrowest interval to the widest: no hit opens
-    a band, one hit widens it, more hits are a spanning cell and change nothing."""
-
-    def step(acc, i):
-        hits = _hits(acc, i["lo"], i["hi"], ratio)
-        own = F.array(F.struct(i["lo"].alias("lo"), i["hi"].alias("hi")))
-        wider = lambda b: F.struct(F.least(b["lo"], i["lo"]).alias("lo"), F.greatest(b["hi"], i["hi"]).alias("hi"))
-        return F.when(F.size(hits) == 0, F.concat(acc, own)).when(F.size(hits) == 1, F.transform(acc, lambda b, k: F.when(k == hits[0], wider(b)).otherwise(b))).otherwise(acc)
-
-    return F.array_sort(F.aggregate(F.array_sort(intervals), F.array().cast(BAND), step))
-
-
-def assign(bands: Column, lo: Column, hi: Column, ratio: float = BAND_OVERLAP) -> Column:
-    """struct<first, span>: from the first to the last band hit, else the nearest by centre."""
-    hits = _hits(bands, lo, hi, ratio)
-    off = F.transform(bands, lambda b, k: F.struct(F.abs((b["lo"] + b["hi"]) / 2 - (lo + hi) / 2).alias("d"), k.alias("k")))
-    first = F.when(F.size(hits) > 0, F.array_min(hits)).otherwise(F.array_min(off)["k"])
-    span = F.when(F.size(hits) > 0, F.array_max(hits) - F.array_min(hits) + 1).otherwise(1)
-    return F.struct(first.alias("first"), span.alias("span"))
+CELL = "row int, col int, row_span int, col_span int, text string, x double, y double, width double, height double"
 
 
 def reconstruct(observations: DataFrame, ratio: float = BAND_OVERLAP) -> tuple[DataFrame, DataFrame]:
     """(cells, tables): cells (page_id, row, col, row_span, col_span, text, x, y, width, height) and
     tables (page_id, row_count, column_count). Confidence and orientation play no part."""
-    candidates = cluster_lines(observations.withColumn("orientation", F.lit("horizontal")), CELLS)
-    pages = candidates.groupBy("page_id").agg(F.collect_list(F.struct("x", "y", "width", "height", "first_obs", "text")).alias("lines"))
-    lo, hi = (lambda c, at: c[at]), (lambda c, at: c[at] + c["width" if at == "x" else "height"])
-    side = lambda at: F.transform("lines", lambda c: F.struct((hi(c, at) - lo(c, at)).alias("len"), lo(c, at).alias("lo"), hi(c, at).alias("hi"), c["first_obs"].cast("long").alias("id")))
-    bands = pages.select("page_id", "lines", build_bands(side("y"), ratio).alias("rows"), build_bands(side("x"), ratio).alias("cols"))
-    held = bands.select("page_id", "rows", "cols", F.inline("lines"))
-    c = F.col
-    placed = held.withColumns({"r": assign(c("rows"), c("y"), c("y") + c("height"), ratio), "c": assign(c("cols"), c("x"), c("x") + c("width"), ratio)})
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "first_obs", "text"))), lambda t: t["text"]), "")
-    cells = placed.groupBy("page_id", F.col("r.first").alias("row"), F.col("c.first").alias("col")).agg(
-        F.max("r.span").alias("row_span"), F.max("c.span").alias("col_span"), text.alias("text"), *union_box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-    )
-    return cells, bands.select("page_id", F.size("rows").alias("row_count"), F.size("cols").alias("column_count"))
+
+    def cells(page, vertical, f):
+        at, found, _ = pagewise.table_cells(page, f, ratio, CELLS)
+        return at, {k: v.astype(np.int32) if k in ("row", "col", "row_span", "col_span") else v for k, v in found.items()}
+
+    def sizes(page, vertical, f):
+        at, rows, cols = pagewise.table_cells(page, f, ratio, CELLS)[2]
+        return at, {"row_count": rows.astype(np.int32), "column_count": cols.astype(np.int32)}
+
+    boxes, flat = _boxes(observations), F.first(F.lit("horizontal"))
+    made = lambda kernel, schema: pagewise.map_pages(boxes, BOXES, kernel, schema, flat)
+    return made(cells, CELL), made(sizes, "row_count int, column_count int")
 
 
 def cell_at(cells: DataFrame, row: int, col: int) -> DataFrame:

@@ -57,7 +57,7 @@ class Engine:
         return self.document(images).select("page_id", F.col("text").alias("markdown"))
 
     def json(self, images: DataFrame, pretty: bool = True) -> DataFrame:
-        return render.layout_json(self.lines(images), pretty)
+        return render.layout_json(self.lines(images), pretty, images, self.options.orientation or "horizontal")
 
 
 __all__ = ["Engine", "normalize_all", "receipts_of"]

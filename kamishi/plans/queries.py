@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ctc, dates, geometry, numbers, text
-from ..operators import layout, receipts, tables
+from ..operators import boxes, layout, receipts, tables
 from ..sources import backends
 from . import render, sql
 from .engine import Engine
@@ -296,12 +296,44 @@ def interval_gaps(spark, sf_dir):
     return geometry.interval_gaps(rows, ["page_id"])
 
 
-@query("SELECT l_orderkey AS page_id, count(DISTINCT l_linenumber)::BIGINT AS n_bands, count(*)::BIGINT AS n_members, min(l_linenumber) * 10.0::DOUBLE AS first_lo FROM lineitem GROUP BY l_orderkey")
+#: Intervals ten long that stand near multiples of nine: those of one number overlap by more than half,
+#: those of neighbouring numbers by three at most.
+JITTERED = "SELECT l_orderkey AS page_id, CAST(l_linenumber * 9 + l_partkey % 3 AS DOUBLE) AS lo, CAST(l_linenumber * 9 + l_partkey % 3 + 10 AS DOUBLE) AS hi, l_partkey AS id, l_linenumber AS n FROM {lineitem}"
+
+
+@query(f"""
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::BIGINT AS band, min(lo) AS lo, max(hi) AS hi, count(*)::BIGINT AS n_members, sum(id)::BIGINT AS ids FROM ({bare(JITTERED)}) GROUP BY page_id, n""")
 def interval_bands(spark, sf_dir):
-    rows = run_sql(spark, sf_dir, "SELECT l_orderkey AS page_id, l_linenumber * CAST(10 AS DOUBLE) AS lo, l_linenumber * CAST(10 AS DOUBLE) + 6 AS hi, l_partkey AS id FROM {lineitem}")
-    held = rows.groupBy("page_id").agg(geometry.bands(F.collect_list(F.struct("lo", "hi", "id")), 0.5).alias("b"))
-    members = F.aggregate("b", F.lit(0), lambda a, x: a + F.size(x["members"]))
-    return held.select("page_id", F.size("b").cast("long").alias("n_bands"), members.cast("long").alias("n_members"), F.col("b")[0]["lo"].alias("first_lo"))
+    members = layout.interval_bands(run_sql(spark, sf_dir, JITTERED))
+    out = members.groupBy("page_id", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n_members"), F.sum("id").alias("ids"))
+    return out.withColumn("band", F.col("band").cast("long"))
+
+
+@query(ORACLES["interval_bands"])
+def interval_bands_column(spark, sf_dir):
+    """The same as an array expression."""
+    held = run_sql(spark, sf_dir, JITTERED).groupBy("page_id").agg(geometry.bands(F.collect_list(F.struct("lo", "hi", "id")), 0.5).alias("b"))
+    out = held.select("page_id", F.posexplode("b").alias("band", "b"))
+    ids = F.aggregate("b.members", F.lit(0).cast("long"), lambda n, m: n + m["id"])
+    return out.select("page_id", F.col("band").cast("long").alias("band"), "b.lo", "b.hi", F.size("b.members").cast("long").alias("n_members"), ids.alias("ids"))
+
+
+#: Boxes scattered over a sheet of each supplier, one in fifty of them large.
+SCATTERED = """
+SELECT l_suppkey AS page_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS BIGINT) AS obs_id,
+       CAST(l_orderkey * 37 % 4000 AS DOUBLE) AS x, CAST(l_partkey * 53 % 4000 AS DOUBLE) AS y,
+       CAST(CASE WHEN l_orderkey % 50 = 0 THEN 900 ELSE l_quantity END AS DOUBLE) AS width, CAST(CASE WHEN l_orderkey % 50 = 0 THEN 300 ELSE l_linenumber * 8 END AS DOUBLE) AS height
+FROM {lineitem}"""
+
+
+@query(f"""
+WITH s AS ({bare(SCATTERED)})
+SELECT a.page_id, a.obs_id, count(*)::BIGINT AS n_touching, sum(b.obs_id)::BIGINT AS ids FROM s a JOIN s b
+ON a.page_id = b.page_id AND a.obs_id <> b.obs_id AND a.x <= b.x + b.width AND b.x <= a.x + a.width AND a.y <= b.y + b.height AND b.y <= a.y + a.height GROUP BY a.page_id, a.obs_id""")
+def touching_boxes(spark, sf_dir):
+    rows = run_sql(spark, sf_dir, SCATTERED)
+    pairs = boxes.touching(rows, rows, unit=16.0).where(F.col("a.obs_id") != F.col("b.obs_id"))
+    return pairs.groupBy("page_id", F.col("a.obs_id").alias("obs_id")).agg(F.count("*").alias("n_touching"), F.sum("b.obs_id").alias("ids"))
 
 
 SHAPES = "SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS obs_id, 'x' AS text, l_quantity AS x, l_quantity AS y, CAST(l_partkey % 20 AS DOUBLE) AS width, CAST(l_suppkey % 20 AS DOUBLE) AS height, l_discount AS confidence FROM {lineitem}"
@@ -319,9 +351,9 @@ def classify_region(spark, sf_dir):
     return run_sql(spark, sf_dir, SHAPES).select("page_id", "obs_id", geometry.classify_region(F.col("width"), F.col("height")).alias("region"))
 
 
-@query(f"SELECT page_id, count(*)::BIGINT AS n FROM ({bare(SHAPES)}) WHERE confidence >= 0.05 GROUP BY page_id")
+@query(f"SELECT page_id, obs_id, confidence FROM ({bare(SHAPES)}) WHERE confidence >= 0.05")
 def confidence_filter(spark, sf_dir):
-    return run_sql(spark, sf_dir, SHAPES).where(F.col("confidence") >= 0.05).groupBy("page_id").agg(F.count("*").alias("n"))
+    return layout.confident(run_sql(spark, sf_dir, SHAPES), layout.LayoutOptions(min_confidence=0.05)).select("page_id", "obs_id", "confidence")
 
 
 # --- layout -----------------------------------------------------------------------------------
@@ -391,19 +423,28 @@ def table_cells(spark, sf_dir):
 _ROW = "'| ' || replace(coalesce(max(text) FILTER (WHERE c = 0), ''), '|', '\\|') || ' | ' || replace(coalesce(max(text) FILTER (WHERE c = 1), ''), '|', '\\|') || ' | ' || replace(coalesce(max(text) FILTER (WHERE c = 2), ''), '|', '\\|') || ' |'"
 
 
+def _tables(spark, sf_dir):
+    """Cells and sizes of the tables of all orders, those without a box included."""
+    return Engine(lambda images: run_sql(spark, sf_dir, GRID)).table(_orders(spark, sf_dir))
+
+
 @query(f"""
-WITH g AS (SELECT *, (obs_id - obs_id % 3) / 3 AS k, obs_id % 3 AS c FROM ({bare(GRID)})), r AS (SELECT page_id, k, {_ROW} AS line FROM g GROUP BY page_id, k)
-SELECT page_id, string_agg(CASE WHEN k = 0 THEN line || chr(10) || '| --- | --- | --- |' ELSE line END, chr(10) ORDER BY k) AS markdown FROM r GROUP BY page_id""")
+WITH g AS (SELECT *, (obs_id - obs_id % 3) / 3 AS k, obs_id % 3 AS c FROM ({bare(GRID)})), r AS (SELECT page_id, k, {_ROW} AS line FROM g GROUP BY page_id, k),
+m AS (SELECT page_id, string_agg(CASE WHEN k = 0 THEN line || chr(10) || '| --- | --- | --- |' ELSE line END, chr(10) ORDER BY k) AS markdown FROM r GROUP BY page_id)
+SELECT o_orderkey AS page_id, coalesce(markdown, '') AS markdown FROM orders LEFT JOIN m ON o_orderkey = m.page_id""")
 def table_markdown(spark, sf_dir):
-    grid = tables.grids(*tables.reconstruct(run_sql(spark, sf_dir, GRID)))
+    grid = tables.grids(*_tables(spark, sf_dir))
     return grid.select("page_id", render.table_markdown(F.col("grid")).alias("markdown"))
 
 
-@query(f"SELECT page_id, max(k)::BIGINT + 1 AS n_rows, 3::BIGINT AS n_cols, count(*)::BIGINT AS n_texts FROM (SELECT *, (obs_id - obs_id % 3) / 3 AS k FROM ({bare(GRID)})) GROUP BY page_id")
+@query(f"""
+WITH g AS (SELECT page_id, max((obs_id - obs_id % 3) / 3)::BIGINT + 1 AS n, count(*) AS n_texts FROM ({bare(GRID)}) GROUP BY page_id)
+SELECT o_orderkey AS page_id, coalesce(n, 0)::BIGINT AS n_rows, CASE WHEN n IS NULL THEN 0 ELSE 3 END::BIGINT AS n_cols, coalesce(n_texts, 0)::BIGINT AS n_texts FROM orders LEFT JOIN g ON o_orderkey = g.page_id""")
 def table_grid(spark, sf_dir):
-    grid = tables.grids(*tables.reconstruct(run_sql(spark, sf_dir, GRID)))
+    grid = tables.grids(*_tables(spark, sf_dir))
     texts = F.size(F.filter(F.flatten("grid"), lambda t: t != ""))
-    return grid.select("page_id", F.size("grid").cast("long").alias("n_rows"), F.size(F.col("grid")[0]).cast("long").alias("n_cols"), texts.cast("long").alias("n_texts"))
+    width = F.coalesce(F.size(F.get("grid", F.lit(0))), F.lit(0))
+    return grid.select("page_id", F.size("grid").cast("long").alias("n_rows"), F.greatest(width, F.lit(0)).cast("long").alias("n_cols"), texts.cast("long").alias("n_texts"))
 
 
 @query(f"SELECT DISTINCT page_id, text FROM ({bare(GRID)}) WHERE obs_id = 9")
@@ -435,9 +476,10 @@ def ctc_decode(spark, sf_dir):
     return rows.select("vec_id", "d.text", F.round("d.confidence", 6).alias("confidence"))
 
 
-@query(f"SELECT vec_id, count(*) FILTER (WHERE emitted)::BIGINT AS n_labels FROM ({_EMITTED}) GROUP BY vec_id")
+@query(f"SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY t) - 1)::BIGINT AS n, c::BIGINT AS label FROM ({_EMITTED}) WHERE emitted")
 def ctc_labels(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.size(ctc.greedy_labels(logits())).cast("long").alias("n_labels"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(ctc.greedy_labels(logits())).alias("n", "label"))
+    return rows.select("vec_id", F.col("n").cast("long").alias("n"), F.col("label").cast("long").alias("label"))
 
 
 @query("""
@@ -510,12 +552,13 @@ def table_cell_at(spark, sf_dir):
 
 
 @query("""
-SELECT vec_id, t, round(a * (1 - w) + b * w, 6) AS first FROM (
-  SELECT vec_id, t, pos - floor(pos) AS w, embedding[floor(pos)::INT * 16 + 1]::DOUBLE AS a, embedding[least(floor(pos) + 1, 3)::INT * 16 + 1]::DOUBLE AS b
-  FROM (SELECT vec_id, embedding, t, greatest((t + 0.5) * 4 / 6.0 - 0.5, 0) AS pos FROM embeddings, range(0, 6) AS r(t)))""")
+SELECT vec_id, t, c::BIGINT AS class, round(a * (1 - w) + b * w, 6) AS value FROM (
+  SELECT vec_id, t, c, pos - floor(pos) AS w, embedding[floor(pos)::INT * 16 + 1 + c]::DOUBLE AS a, embedding[least(floor(pos) + 1, 3)::INT * 16 + 1 + c]::DOUBLE AS b
+  FROM (SELECT vec_id, embedding, t, c, greatest((t + 0.5) * 4 / 6.0 - 0.5, 0) AS pos FROM embeddings, range(0, 6) AS r(t), range(0, 16) AS s(c)))""")
 def ctc_align(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(ctc.align_timesteps(logits(), 6)).alias("t", "step"))
-    return rows.select("vec_id", F.col("t").cast("long").alias("t"), F.round(F.col("step")[0].cast("double"), 6).alias("first"))
+    rows = rows.select("vec_id", F.col("t").cast("long").alias("t"), F.posexplode("step").alias("class", "value"))
+    return rows.select("vec_id", "t", F.col("class").cast("long").alias("class"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 # --- the engine -------------------------------------------------------------------------------
@@ -542,10 +585,17 @@ def engine_markdown(spark, sf_dir):
     return Engine(lambda images: fragments(spark, sf_dir)).markdown(_orders(spark, sf_dir))
 
 
-@query(f"SELECT o_orderkey AS page_id, coalesce(n, 0)::BIGINT AS row_count, CASE WHEN n IS NULL THEN 0 ELSE 3 END::BIGINT AS column_count FROM orders LEFT JOIN (SELECT page_id, max((obs_id - obs_id % 3) / 3) + 1 AS n FROM ({bare(GRID)}) GROUP BY page_id) ON o_orderkey = page_id")
+@query(f"""
+WITH g AS (SELECT *, (obs_id - obs_id % 3) / 3 AS k FROM ({bare(GRID)})),
+n AS (SELECT page_id, max(k)::BIGINT + 1 AS row_count, count(*) AS n_cells, string_agg(text, ' ' ORDER BY obs_id) AS texts FROM g GROUP BY page_id)
+SELECT o_orderkey AS page_id, coalesce(row_count, 0)::BIGINT AS row_count, CASE WHEN row_count IS NULL THEN 0 ELSE 3 END::BIGINT AS column_count, coalesce(n_cells, 0)::BIGINT AS n_cells, coalesce(texts, '') AS texts
+FROM orders LEFT JOIN n ON o_orderkey = n.page_id""")
 def engine_table(spark, sf_dir):
-    _, sizes = Engine(lambda images: run_sql(spark, sf_dir, GRID)).table(_orders(spark, sf_dir))
-    return sizes.select("page_id", F.col("row_count").cast("long").alias("row_count"), F.col("column_count").cast("long").alias("column_count"))
+    cells, sizes = _tables(spark, sf_dir)
+    held = cells.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "text"))).alias("cs"))
+    texts = F.coalesce(F.array_join(F.transform("cs", lambda c: c["text"]), " "), F.lit(""))
+    n_cells = F.coalesce(F.array_size("cs"), F.lit(0)).cast("long")
+    return sizes.join(held, "page_id", "left").select("page_id", F.col("row_count").cast("long").alias("row_count"), F.col("column_count").cast("long").alias("column_count"), n_cells.alias("n_cells"), texts.alias("texts"))
 
 
 @query(f"""
@@ -554,32 +604,76 @@ WITH l AS (
          '{{"boundingBox":{{"height":' || CASE WHEN page_id % 3 = 0 THEN '180.0' ELSE '16.5' END || ',"width":' || CASE WHEN page_id % 3 = 0 THEN '16.5' ELSE '180.0' END || ',"x":' ||
          CASE WHEN page_id % 3 = 0 THEN 2000 - 30 * ((k - col) / 2)::DOUBLE - 16.5 ELSE 10 + 400 * col END::DOUBLE || ',"y":' || CASE WHEN page_id % 3 = 0 THEN 10 + 400 * col ELSE 30 * ((k - col) / 2) END::DOUBLE ||
          '}},"confidence":0.75,"text":"P' || part || '¥' || qty || '"}}' AS j FROM ({bare(ORDERED)})),
-b AS (SELECT page_id, col, turn, '{{"lines":[' || string_agg(j, ',' ORDER BY line_no) || '],"orientation":"' || turn || '"}}' AS j FROM l GROUP BY page_id, col, turn)
-SELECT page_id, '{{"blocks":[' || string_agg(j, ',' ORDER BY col) || '],"orientation":"' || turn || '"}}' AS json FROM b GROUP BY page_id, turn""")
+b AS (SELECT page_id, col, turn, '{{"lines":[' || string_agg(j, ',' ORDER BY line_no) || '],"orientation":"' || turn || '"}}' AS j FROM l GROUP BY page_id, col, turn),
+d AS (SELECT page_id, '{{"blocks":[' || string_agg(j, ',' ORDER BY col) || '],"orientation":"' || turn || '"}}' AS json FROM b GROUP BY page_id, turn)
+SELECT o_orderkey AS page_id, coalesce(json, '{{"blocks":[],"orientation":"horizontal"}}') AS json FROM orders LEFT JOIN d ON o_orderkey = d.page_id""")
 def layout_json(spark, sf_dir):
     return Engine(lambda images: fragments(spark, sf_dir)).json(_orders(spark, sf_dir), pretty=False)
 
 
 @query(f"""
-WITH g AS (SELECT *, (obs_id - obs_id % 3) / 3 AS k, obs_id % 3 AS c FROM ({bare(GRID)}))
-SELECT page_id, '{{"cells":[' || string_agg('{{"boundingBox":{{"height":20.0,"width":' || width || ',"x":' || x || ',"y":' || y || '}},"column":' || c::INT || ',"columnSpan":' || CASE WHEN c = 0 AND k % 4 = 3 THEN 2 ELSE 1 END ||
-       ',"row":' || k::INT || ',"rowSpan":1,"text":"' || text || '"}}', ',' ORDER BY k, c) || '],"columnCount":3,"rowCount":' || (max(k)::INT + 1) || '}}' AS json FROM g GROUP BY page_id""")
+WITH g AS (SELECT *, (obs_id - obs_id % 3) / 3 AS k, obs_id % 3 AS c FROM ({bare(GRID)})),
+j AS (
+  SELECT page_id, '{{"cells":[' || string_agg('{{"boundingBox":{{"height":20.0,"width":' || width || ',"x":' || x || ',"y":' || y || '}},"column":' || c::INT || ',"columnSpan":' || CASE WHEN c = 0 AND k % 4 = 3 THEN 2 ELSE 1 END ||
+         ',"row":' || k::INT || ',"rowSpan":1,"text":"' || text || '"}}', ',' ORDER BY k, c) || '],"columnCount":3,"rowCount":' || (max(k)::INT + 1) || '}}' AS json FROM g GROUP BY page_id)
+SELECT o_orderkey AS page_id, coalesce(json, '{{"cells":[],"columnCount":0,"rowCount":0}}') AS json FROM orders LEFT JOIN j ON o_orderkey = j.page_id""")
 def table_json(spark, sf_dir):
-    return render.table_json(*tables.reconstruct(run_sql(spark, sf_dir, GRID)), pretty=False)
+    return render.table_json(*_tables(spark, sf_dir), pretty=False)
 
 
 @query(ORACLES["reading_order"])
 def sql_page_lines(spark, sf_dir):
-    """The reading order by SQL: one table function, partitioned by page."""
+    """The reading order by SQL: one table function, which takes some pages at a time."""
     sql.register(spark)
-    lines = spark.sql("SELECT * FROM page_lines(TABLE(SELECT * FROM {boxes}) PARTITION BY page_id)", boxes=fragments(spark, sf_dir))
+    lines = spark.sql("SELECT * FROM page_lines(TABLE(SELECT * FROM {boxes}) PARTITION BY (page_id div 1000))", boxes=fragments(spark, sf_dir))
     return lines.select("page_id", F.col("line_no").cast("long").alias("line_no"), F.col("block_no").cast("long").alias("block_no"), "text")
 
 
-@query("SELECT p_partkey, p_name || ' x' || chr(10) || p_type AS text, p_name AS name, p_name || ' ' AS stripped, 'a<br>b\\|' AS cell FROM part")
+@query(f"""
+SELECT 'p' || page_id AS page_id, line_no, 'P' || part AS text FROM (
+  SELECT page_id, part, row_number() OVER (PARTITION BY page_id ORDER BY k - k % 2, k % 2) - 1 AS line_no FROM ({bare(NUMBERED)}) WHERE page_id % 3 <> 0)""")
+def sql_page_lines_options(spark, sf_dir):
+    """Pages named by strings, and layout options: only sure boxes, lines of any gap along a row, one block."""
+    sql.register(spark)
+    rows = fragments(spark, sf_dir).where("page_id % 3 <> 0").withColumn("page_id", F.concat(F.lit("p"), F.col("page_id")))
+    lines = spark.sql("""SELECT page_id, block_no, line_no, text FROM page_lines_by_name(TABLE(SELECT * FROM {boxes}) PARTITION BY (left(page_id, greatest(length(page_id) - 3, 1))), '{{"min_confidence": 0.75, "orientation": "horizontal", "line_gap_factor": 0.5, "block_overlap": 0.0, "block_gap_factor": 9.0}}')""", boxes=rows)
+    return lines.select("page_id", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+@query("SELECT p_partkey, p_name || ' x' || chr(10) || p_type AS text, p_name AS name, p_name || ' ' AS stripped, 'a<br>b\\|' AS cell, 'ギ' || p_partkey || ' a' AS kana, 'A!' || p_size AS ascii, CASE WHEN p_size >= 16 THEN 'horizontal' WHEN p_size <= 6 THEN 'vertical' END AS region, least(p_size, 10) / least(p_size, 20)::DOUBLE AS ratio, greatest(0, p_size - 20)::DOUBLE AS gap FROM part")
 def sql_scalars(spark, sf_dir):
     """The scalar functions by SQL; Catalyst inlines their bodies."""
     sql.register(spark)
     return run_sql(spark, sf_dir, """
       SELECT p_partkey, collapse_whitespace(concat('  ', replace(p_name, ' ', ' \\t　 '), '　x　\\n\\t', p_type, ' ')) AS text, trim_name(concat('＊ ', p_name, ' ・・・:*')) AS name,
-             strip_rates(concat(p_name, ' ', p_size % 100, ' %')) AS stripped, escape_cell('a\\nb|') AS cell FROM {part}""")
+             strip_rates(concat(p_name, ' ', p_size % 100, ' %')) AS stripped, escape_cell('a\\nb|') AS cell, normalize_text(concat(fullwidth_kana('ｷﾞ'), p_partkey, '　ａ ')) AS kana, halfwidth_ascii(concat('Ａ！', p_size)) AS ascii,
+             classify_region(p_size, 10) AS region, overlap_ratio(0, p_size, CASE WHEN p_size > 10 THEN p_size - 10 ELSE 0 END, CASE WHEN p_size > 10 THEN p_size + 10 ELSE 20 END) AS ratio, interval_gap(0, 20, p_size, 60) AS gap FROM {part}""")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 3 WHEN 0 THEN l_partkey WHEN 1 THEN l_suppkey ELSE -l_partkey END AS amount,
+       2::BIGINT AS n_amounts, CASE WHEN l_partkey % 3 = 0 THEN l_suppkey WHEN l_partkey % 3 = 1 THEN l_suppkey ELSE 99 END AS last, -l_suppkey AS solo FROM lineitem""")
+def sql_amounts(spark, sf_dir):
+    sql.register(spark)
+    return run_sql(spark, sf_dir, """
+      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, parse_amount(s) AS amount, CAST(size(amounts(s)) AS BIGINT) AS n_amounts, element_at(amounts(s), -1).amount AS last, standalone_amount(concat(' -', l_suppkey, '円')) AS solo
+      FROM (SELECT *, CASE l_partkey % 3 WHEN 0 THEN concat('計 ￥', l_partkey, ' 番号 ', l_suppkey) WHEN 1 THEN concat(l_partkey, ' と ', l_suppkey) ELSE concat('▲', l_partkey, '円 99') END AS s FROM {lineitem})""")
+
+
+KANJI = "translate(CASE l_partkey % 4 WHEN 0 THEN CAST(l_partkey AS STRING) WHEN 1 THEN concat(CASE WHEN l_partkey = 1 THEN '' ELSE CAST(l_partkey AS STRING) END, '万', l_suppkey) WHEN 2 THEN concat(l_suppkey % 9 + 1, '千', l_partkey % 9 + 1, '百十', l_linenumber) ELSE concat(l_partkey, '円') END, '0123456789', '〇一二三四五六七八九')"
+
+
+@query(ORACLES["kanji_number"])
+def sql_kanji_number(spark, sf_dir):
+    sql.register(spark)
+    return run_sql(spark, sf_dir, f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kanji_number({KANJI}) AS value FROM {{lineitem}}")
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS era, strftime(o_orderdate, '%Y-%m-%d') AS long, strftime(o_orderdate + INTERVAL 20 YEAR, '%Y-%m-%d') AS short, lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':30' AS time
+FROM orders""")
+def sql_dates(spark, sf_dir):
+    sql.register(spark)
+    short = "concat('日付', lpad(year(o_orderdate) - 1980, 2, '0'), '/', month(o_orderdate), '/', day(o_orderdate), ' x')"
+    return run_sql(spark, sf_dir, f"""
+      SELECT o_orderkey, parse_date({DATE_TEXTS['date_parse_era']}) AS era, parse_date({DATE_TEXTS['date_parse_long']}) AS long, parse_date({short}) AS short, parse_time(concat('時刻', o_orderkey % 24, '：30')) AS time FROM {{orders}}""")

@@ -50,14 +50,17 @@ def receipt_json(pretty: bool = True) -> Column:
     return F.to_json(row, {"pretty": str(pretty).lower()})
 
 
-def layout_json(lines: DataFrame, pretty: bool = True) -> DataFrame:
-    """page_id, json of analyzed lines: blocks of lines in reading order, keys sorted."""
+def layout_json(lines: DataFrame, pretty: bool = True, pages: DataFrame | None = None, orientation: str = "horizontal") -> DataFrame:
+    """page_id, json of analyzed lines: blocks of lines in reading order, keys sorted. pages (page_id) adds
+    those without lines: no blocks, in the orientation given."""
     box = F.struct("height", "width", "x", "y").alias("boundingBox")
     blocks = lines.groupBy("page_id", "block_no").agg(F.first("orientation").alias("orientation"), F.array_sort(F.collect_list(F.struct("line_no", box, "confidence", "text"))).alias("ls"))
     rows = F.transform("ls", lambda x: F.struct(x["boundingBox"].alias("boundingBox"), x["confidence"].alias("confidence"), x["text"].alias("text")))
-    pages = blocks.groupBy("page_id").agg(F.first("orientation").alias("orientation"), F.array_sort(F.collect_list(F.struct("block_no", rows.alias("lines"), "orientation"))).alias("bs"))
-    doc = F.struct(F.transform("bs", lambda b: F.struct(b["lines"].alias("lines"), b["orientation"].alias("orientation"))).alias("blocks"), "orientation")
-    return pages.select("page_id", F.to_json(doc, {"pretty": str(pretty).lower()}).alias("json"))
+    found = blocks.groupBy("page_id").agg(F.first("orientation").alias("orientation"), F.array_sort(F.collect_list(F.struct("block_no", rows.alias("lines"), "orientation"))).alias("bs"))
+    found = found if pages is None else pages.select("page_id").join(found, "page_id", "left")
+    listed = F.transform("bs", lambda b: F.struct(b["lines"].alias("lines"), b["orientation"].alias("orientation")))
+    doc = F.struct(F.coalesce(listed, F.array()).alias("blocks"), F.coalesce("orientation", F.lit(orientation)).alias("orientation"))
+    return found.select("page_id", F.to_json(doc, {"pretty": str(pretty).lower()}).alias("json"))
 
 
 def table_json(cells: DataFrame, tables: DataFrame, pretty: bool = True) -> DataFrame:

@@ -34,9 +34,17 @@ def constant(observations: DataFrame):
     return recognize
 
 
-def image_files(spark: SparkSession, folder: str, suffixes=("png", "jpg", "jpeg")) -> DataFrame:
-    """page_id (of the path), name, length, content of the images of a folder, by suffix."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(folder)
+#: Suffixes of images, in any case.
+SUFFIXES = ("png", "jpg", "jpeg", "bmp", "webp")
+
+
+def image_files(spark: SparkSession, folder: str, suffixes=SUFFIXES) -> DataFrame:
+    """page_id (of the path), name, length, content of the images in a folder and all folders below it, by
+    suffix in any case. A folder without an image is an error."""
+    glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"no images ({', '.join(suffixes)}) under {folder}")
     return files.select(F.xxhash64("path").alias("page_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
 
 

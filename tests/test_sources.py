@@ -40,9 +40,15 @@ def test_model_backend(spark, tmp_path):
 
 
 def test_image_files(spark, tmp_path):
-    for name in ("a.png", "b.jpg", "c.txt"):
+    (tmp_path / "deep" / "er.png").mkdir(parents=True)
+    for name in ("a.PNG", "b.jpg", "c.txt", "deep/d.webp", "deep/e.Bmp", "deep/er.png/f.JPEG", "deep/gpng"):
         (tmp_path / name).write_bytes(b"12")
-    assert sorted((r.name, r.length, bytes(r.content)) for r in backends.image_files(spark, str(tmp_path)).collect()) == [("a.png", 2, b"12"), ("b.jpg", 2, b"12")]
+    got = sorted((r.name, r.length, bytes(r.content)) for r in backends.image_files(spark, str(tmp_path)).collect())
+    assert got == [(n, 2, b"12") for n in ("a.PNG", "b.jpg", "d.webp", "e.Bmp", "f.JPEG")]
+    assert backends.image_files(spark, str(tmp_path), ("txt",)).count() == 1
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError, match="no images"):
+        backends.image_files(spark, str(tmp_path / "none"))
 
 
 def test_constant_is_bounded(spark):
@@ -77,3 +83,12 @@ def test_sql_functions(spark):
     assert "page_lines" in sql.register(spark)
     row = spark.sql("SELECT normalize_text('　ｶﾞ　 Ａ \\n ｘ　') AS a, classify_region(16, 1) AS b, overlap_ratio(0, 4, 2, 10) AS c, interval_gap(0, 1, 3, 4) AS d").first()
     assert tuple(row) == ("ガ A\nx", "horizontal", 0.5, 2.0)
+
+
+def test_receipts_take_one_exchange(spark, tmp_path):
+    """Lines from a file are dealt out by document once; a blank line does not end a pending amount."""
+    rows = [(1, 0, "合計"), (1, 1, ""), (1, 2, " "), (1, 3, "¥514"), (2, 0, ""), (2, 1, "¥100"), (3, 0, "小計"), (3, 1, "x"), (3, 2, "¥7")]
+    spark.createDataFrame(rows, "doc_id long, line_no int, line string").write.parquet(f"{tmp_path}/lines")
+    done = receipts.extract(spark.read.parquet(f"{tmp_path}/lines"))
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.doc_id: (r.total, r.subtotal) for r in done.collect()} == {1: (514, None), 2: (None, None), 3: (None, None)}
