@@ -40,11 +40,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans: [start, end) in code points of each assistant text."""
     rows = turns.select(
         "conv_id", F.floor(F.col("turn") / SEGMENT).alias("seg"),
-        F.struct("turn", escape(F.coalesce("role", F.lit("")), role=True).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"),
+        F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
     segments = rows.groupBy("conv_id", "seg").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     convs = segments.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seg", "ts"))).alias("segs"))
-    flat = convs.select("conv_id", F.flatten("segs.ts").alias("ts"))
+    # sorted as they are, then escaped: escaping changes the order of texts
+    escaped = lambda t: F.struct(escape(t["role"], role=True).alias("role"), escape(t["text"]).alias("text"))
+    flat = convs.select("conv_id", F.transform(F.flatten("segs.ts"), escaped).alias("ts"))
     t = F.col("ts")
     opens = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.when(i == 0, True).otherwise(t[i]["role"] != t[F.greatest(i - 1, F.lit(0))]["role"]))
     edged = flat.withColumn("opens", opens)
