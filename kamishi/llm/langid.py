@@ -159,11 +159,12 @@ def judged(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (np.cumsum(edge)[:-1] > 0) & (_LETTER[buf] | (buf >= 0xC3) | ((buf >= 0x80) & (buf < 0xC0)))
 
 
-def _likelihoods(model: Model):
+def _likelihoods(shared):
     """(lang, x): log likelihood of a letter in each training text by the counts of the others."""
-    total = np.exp(-model.logp.min(axis=1).astype(np.float64))  # the least count is one
 
     def run(batches):
+        model = shared.value
+        total = np.exp(-model.logp.min(axis=1).astype(np.float64))  # the least count is one
         for batch in batches:
             langs, out = batch.column("lang").to_pylist(), []
             buf, offs = bv.buffer_of(batch.column("text"))
@@ -187,7 +188,7 @@ def floors(docs: DataFrame, model: Model, train_rows: int = TRAIN_ROWS) -> np.nd
     langs, chosen = _chosen(docs, train_rows)
     out = np.full(len(langs), -np.inf)
     if chosen is not None:
-        for r in chosen.mapInArrow(_likelihoods(model), "lang string, x double").groupBy("lang").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).collect():
+        for r in chosen.mapInArrow(_likelihoods(docs.sparkSession.sparkContext.broadcast(model)), "lang string, x double").groupBy("lang").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).collect():
             out[model.langs.index(r["lang"])] = r["mean"] - FLOOR_DEVIATIONS * max(r["sd"], LEAST_DEVIATION)
     return out
 
@@ -230,7 +231,7 @@ def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
     begin, n = offs[:-1][order], n[order]
     n_langs = scores.shape[1]
     best = np.zeros((len(n), n_langs), np.float32)
-    back = np.empty((scores.shape[0], n_langs), np.int8)
+    back = np.empty((scores.shape[0], n_langs), np.int16)
     live = np.searchsorted(-n, -np.arange(1, int(n.max(initial=0)) + 1), "right")
     for t, m in enumerate(live):
         at = begin[:m] + t
@@ -240,8 +241,8 @@ def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
         switch = own < jump[:, None]
         back[at] = np.where(switch, top[:, None], np.arange(n_langs))
         best[:m] = np.where(switch, jump[:, None], own) + scores[at]
-    label = np.zeros(scores.shape[0], np.int8)
-    state = best.argmax(axis=1).astype(np.int8)
+    label = np.zeros(scores.shape[0], np.int16)
+    state = best.argmax(axis=1).astype(np.int16)
     for t in range(len(live) - 1, -1, -1):
         m = live[t]
         at = begin[:m] + t
@@ -271,8 +272,9 @@ def _slices(texts):
         yield int(lo), int(hi)
 
 
-def _predict(model, penalty, spans, floor):
+def _predict(shared, penalty, spans, floor):
     def run(batches):
+        model = shared.value
         for batch in batches:
             for lo, hi in _slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
@@ -322,7 +324,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, spa
         extra.append(T.StructField("spans", T.ArrayType(span)))
     if floor is not None:
         extra.append(T.StructField("foreign", T.BooleanType()))
-    return docs.mapInArrow(_predict(model, penalty, spans, floor), T.StructType([*docs.schema.fields, *extra]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of hashed trigrams for each language
+    return docs.mapInArrow(_predict(shared, penalty, spans, floor), T.StructType([*docs.schema.fields, *extra]))
 
 
 def op9(spark, sf_dir):
