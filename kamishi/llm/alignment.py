@@ -210,13 +210,33 @@ OWN = [*COUNTS, "n_best", "count_sum"]
 PAIR = T.StructType([T.StructField(c, T.LongType()) for c in ("a_id", "b_id", "n")])
 
 
-def _ints(values, offsets) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, np.int32)), pa.array(np.asarray(values, np.int32)))
+def pack(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Lists of numbers as binaries, seven bits to a byte; frequent things have small numbers."""
+    size = 1 + sum((values >= 1 << (7 * k)).astype(np.int64) for k in range(1, 5))
+    at = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(at[-1], np.uint8)
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > k)
+        out[at[live] + k] = (values[live] >> (7 * k)) & 127 | (size[live] > k + 1) << 7
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at[offsets].astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def unpack(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of packed lists."""
+    packed = packed.cast(pa.large_binary())
+    _, offs, data = packed.buffers()
+    offs = np.frombuffer(offs, np.int64, len(packed) + 1, packed.offset * 8) if len(packed) else np.zeros(1, np.int64)
+    data, offs = np.frombuffer(data, np.uint8, int(offs[-1] - offs[0]), int(offs[0])) if offs[-1] > offs[0] else np.empty(0, np.uint8), offs - offs[0]
+    stops = np.flatnonzero(data < 128)
+    starts = np.concatenate(([0], stops[:-1] + 1)) if len(stops) else stops
+    place = np.arange(len(data)) - np.repeat(starts, stops + 1 - starts)
+    values = np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts) if len(stops) else stops
+    return values, np.searchsorted(stops, offs)
 
 
 def _aligned(con, sides, texts):
-    """Of a slice of texts: segments of each (list array), counts and group text of each, the slice's pairs
-    with their numbers (struct array), and the pairs of each segment (list array)."""
+    """Of a slice of texts: the segments of each (packed), counts and group text of each, the slice's pairs
+    with their numbers (struct array), and how many links each segment has and which pairs (packed)."""
     buf, starts, at = segments(texts)
     ends = np.append(starts[1:], len(buf))
     first, word = bv.alike(buf, starts, ends)
@@ -232,6 +252,7 @@ def _aligned(con, sides, texts):
     word = word[used]
     kept, word = np.unique(word, return_inverse=True)  # segments of aligned texts only, all of them the same bytes
     weight = np.bincount(word, minlength=len(kept))
+    kept, word, weight = _by_rank(kept, word, weight)
     a, b = (_chosen(t, kept) for t in (a, b))
     size = np.cumsum(lens[kept])
     cuts = [0, *(np.flatnonzero(np.diff(size // ROUND_BYTES)) + 1).tolist(), len(kept)] if len(kept) else [0]
@@ -239,14 +260,24 @@ def _aligned(con, sides, texts):
     order = np.argsort(seg, kind="stable")
     seg, a_id, b_id = seg[order], a_id[order], b_id[order]
     pair, place = np.unique(a_id << 32 | b_id, return_inverse=True)
-    pairs = pa.StructArray.from_arrays([pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF), pa.array(np.bincount(place, weight[seg], len(pair)).astype(np.int64))], ["a_id", "b_id", "n"])
+    pair, place, times = _by_rank(pair, place, np.bincount(place, weight[seg], len(pair)).astype(np.int64))
+    pairs = pa.StructArray.from_arrays([pa.array(x) for x in (pair >> 32, pair & 0xFFFFFFFF, times)], ["a_id", "b_id", "n"])
     links_at = np.searchsorted(seg, np.arange(len(kept) + 1))
+    links = (pack(np.diff(links_at), np.array([0, len(kept)])), pack(place, np.array([0, len(place)])))
     own = np.concatenate(([0], np.cumsum(n)))
     total = lambda per_segment: np.diff(np.concatenate(([0], np.cumsum(per_segment[word])))[own])
     counts = [total(x) for x in (np.diff(a.at), np.diff(b.at), n_groups, np.diff(links_at))]
     spelled = [group_texts[w] for w in word.tolist()]
     groups = [";".join(spelled[x:y]) for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-    return _ints(word, own), counts, groups, pairs, _ints(place, links_at)
+    return pack(word, own), counts, groups, pairs, links
+
+
+def _by_rank(things: np.ndarray, which: np.ndarray, times: np.ndarray):
+    """(things, which, times) with things numbered from the most frequent on."""
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return things[order], rank[which], times[order]
 
 
 def _chosen(t: Tokens, kept: np.ndarray) -> Tokens:
@@ -258,7 +289,7 @@ def _chosen(t: Tokens, kept: np.ndarray) -> Tokens:
     return Tokens(t.ids[place], at, np.cumsum(sizes))
 
 
-def _read(shared, digest: bool, unit: str, segs: str, pairs: str, links: str, schema: pa.Schema):
+def _read(shared, digest: bool, own: dict[str, str], schema: pa.Schema):
     def run(batches):
         import duckdb
 
@@ -268,14 +299,13 @@ def _read(shared, digest: bool, unit: str, segs: str, pairs: str, links: str, sc
         for batch in batches:
             for lo, hi in bv.slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
-                words, counts, groups, own, own_links = _aligned(con, sides, part.column("text"))
+                words, counts, groups, pairs, links = _aligned(con, sides, part.column("text"))
                 number += 1
                 held = {c: part.column(c) for c in part.schema.names} | dict(zip(COUNTS, map(pa.array, counts), strict=True))
                 held |= {"groups_sha256": pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())} if digest else {"groups": pa.array(groups, pa.string())}
-                held |= {unit: pa.array(np.full(part.num_rows, base + number)), segs: words}
-                yield _batch(schema, part.num_rows, held)
-                one = {unit: pa.array([base + number]), pairs: pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), links: pa.ListArray.from_arrays(pa.array([0, len(own_links)], pa.int32()), own_links)}
-                yield _batch(schema, 1, one)
+                yield _batch(schema, part.num_rows, held | {own["unit"]: pa.array(np.full(part.num_rows, base + number)), own["segs"]: words})
+                one = dict(zip((own["sizes"], own["links"]), links, strict=True))
+                yield _batch(schema, 1, one | {own["unit"]: pa.array([base + number]), own["pairs"]: pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs)})
 
     return run
 
@@ -284,44 +314,25 @@ def _batch(schema: pa.Schema, n: int, held: dict[str, pa.Array]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([held[f.name].cast(f.type) if f.name in held else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _valued(unit: str, segs: str, out: pa.Schema):
-    """Texts of a slice with what their segments' links add up to."""
+def _valued(own: dict[str, str], out: pa.Schema):
+    """Texts of a slice with what the links of their segments add up to: how many are best and their counts."""
 
-    def run(docs: pa.Table, slices: pa.Table) -> pa.Table:
-        docs = docs.combine_chunks()
-        if not docs.num_rows:
-            return out.empty_table()
-        word = docs.column(segs).combine_chunks()
-        at = np.concatenate(([0], np.cumsum(word.value_lengths().to_numpy())))
-        word = word.flatten().to_numpy()
+    def run(rows: pa.Table, counted: pa.Table) -> pa.Table:
+        is_text = pc.is_valid(rows.column(own["segs"]))
+        docs, one = rows.filter(is_text), rows.filter(pc.invert(is_text))
+        sizes, links = (unpack(one.column(own[c]).combine_chunks())[0] for c in ("sizes", "links"))
+        order = np.argsort(counted.column("pos").to_numpy())
+        n, top = (counted.column(c).to_numpy()[order] for c in ("n", "top"))
+        word, at = unpack(docs.column(own["segs"]).combine_chunks())
         found = {}
-        for name, column in (("n_best", "best"), ("count_sum", "total")):
-            value = slices.column(column).combine_chunks().flatten().to_numpy() if slices.num_rows else np.empty(0, np.int64)
-            found[name] = pa.array(np.diff(np.concatenate(([0], np.cumsum(value[word])))[at]))
+        for name, value in (("n_best", (n == top).astype(np.int64)), ("count_sum", n)):
+            of_segment = np.diff(np.concatenate(([0], np.cumsum(value[links])))[np.concatenate(([0], np.cumsum(sizes)))])
+            found[name] = pa.array(np.diff(np.concatenate(([0], np.cumsum(of_segment[word])))[at]))
         return pa.table([found[f.name] if f.name in found else docs.column(f.name) for f in out], schema=out)
 
     return run
 
 
-def _segment_values(unit: str, links: str):
-    """Of each slice: links with the highest count of their B id and the sum of counts, by segment."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = batch.column(links).slice(i, 1).flatten()
-                at = np.concatenate(([0], np.cumsum(own.value_lengths().to_numpy())))
-                counted = batch.column("counted").slice(i, 1).flatten()
-                pos, n, top = (counted.field(c).to_numpy() for c in ("pos", "n", "top"))
-                place = np.argsort(pos)
-                pair = own.flatten().to_numpy()
-                value = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[place][pair])))[at])  # noqa: B023, E731
-                cols = [pa.ListArray.from_arrays(pa.array([0, len(at) - 1], pa.int32()), pa.array(v)) for v in (value((n == top).astype(np.int64)), value(n))]
-                yield pa.RecordBatch.from_arrays([batch.column(unit).slice(i, 1), *cols], [unit, "best", "total"])
-
-    return run
-
-
 def align(docs: DataFrame, tokenizers=None, digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(docs with n_a, n_b, n_groups, n_links, n_best, count_sum and groups, all linked pairs a_id, b_id, n).
 
@@ -331,27 +342,22 @@ def align(docs: DataFrame, tokenizers=None, digest: bool = False) -> tuple[DataF
 
     spark, scratch = docs.sparkSession, Scratch()
     docs = docs.drop(*OWN, "groups", "groups_sha256")
-    unit, segs, pairs, links = unused(docs, "unit", "segs", "pairs", "links")
+    names = ["unit", "segs", "pairs", "sizes", "links"]
+    own = dict(zip(names, unused(docs, *names), strict=True))
     text = "groups_sha256" if digest else "groups"
     longs = lambda names: [T.StructField(c, T.LongType()) for c in names]
-    kept = [f for f in docs.schema.fields if not (digest and f.name == "text")]
-    nullable = [T.StructField(f.name, f.dataType) for f in kept]
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([*nullable, *longs(COUNTS), T.StructField(text, T.StringType()), *longs([unit]), T.StructField(segs, ints), T.StructField(pairs, T.ArrayType(PAIR)), T.StructField(links, T.ArrayType(ints))])
+    kept = [T.StructField(f.name, f.dataType) for f in docs.schema.fields if not (digest and f.name == "text")]
+    packed = [T.StructField(own[c], T.BinaryType()) for c in ("segs", "sizes", "links")]
+    schema = T.StructType([*kept, *longs(COUNTS), T.StructField(text, T.StringType()), *longs([own["unit"]]), *packed, T.StructField(own["pairs"], T.ArrayType(PAIR))])
     shared = spark.sparkContext.broadcast(tokenizers or load())
-    both = scratch.table(docs.mapInArrow(_read(shared, digest, unit, segs, pairs, links, to_arrow_schema(schema)), schema), "aligned")
-    slices, texts = both.where(F.col(pairs).isNotNull()).select(unit, pairs, links), both.where(F.col(pairs).isNull()).drop(pairs, links)
-    found = slices.select(unit, F.posexplode(pairs).alias("pos", "pair")).select(unit, "pos", "pair.*")
+    rows = scratch.table(docs.mapInArrow(_read(shared, digest, own, to_arrow_schema(schema)), schema), "aligned")
+    found = rows.select(F.col(own["unit"]).alias("unit"), F.posexplode(own["pairs"]).alias("pos", "pair")).select("unit", "pos", "pair.*")
     counts = scratch.table(found.groupBy("a_id", "b_id").agg(F.sum("n").alias("n")), "pairs")
     ranked = counts.withColumn("top", F.max("n").over(Window.partitionBy("b_id")))  # a B id meets A's vocabulary at most
-    counted = found.drop("n").join(ranked, ["a_id", "b_id"]).groupBy(unit).agg(F.collect_list(F.struct("pos", "n", "top")).alias("counted"))  # a slice's pairs
-    empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), *longs(["n", "top"])])))
-    valued = slices.select(unit, links).join(counted, unit, "left").withColumn("counted", F.coalesce("counted", empty))
-    longs_of = T.ArrayType(T.LongType())
-    values = valued.mapInArrow(_segment_values(unit, links), T.StructType([*longs([unit]), T.StructField("best", longs_of), T.StructField("total", longs_of)]))
-    out = T.StructType([*nullable, *longs(OWN), T.StructField(text, T.StringType())])
-    done = texts.groupBy(unit).cogroup(values.groupBy(unit)).applyInArrow(_valued(unit, segs, to_arrow_schema(out)), out)
-    return done, counts
+    counted = found.drop("n").join(ranked, ["a_id", "b_id"]).select("unit", "pos", "n", "top")
+    out = T.StructType([*kept, *longs(OWN), T.StructField(text, T.StringType())])
+    both = rows.drop(own["pairs"]).groupBy(own["unit"]).cogroup(counted.groupBy("unit"))  # a slice and its pairs
+    return both.applyInArrow(_valued(own, to_arrow_schema(out)), out), counts
 
 
 def op12(spark, sf_dir):

@@ -106,6 +106,7 @@ def test_digest_and_empty(spark, libraries):
     assert done.columns == ["doc_id", *al.OWN, "groups_sha256"]
     assert {x.doc_id: x.groups_sha256 for x in done.collect()} == {w[0]: hashlib.sha256(w[-1].encode()).hexdigest() if w[-1] else "" for w in want}
     assert al.align(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
+    assert [tuple(x) for x in al.align(spark.createDataFrame([(1, None)], "doc_id long, text string"), digest=True)[0].collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
 
 
 def test_slices_and_rounds(spark, libraries, monkeypatch):
@@ -125,3 +126,13 @@ def test_slices_and_rounds(spark, libraries, monkeypatch):
         assert [*zip(*(c.tolist() for c in cols), groups, strict=True)] == [(*w[1:5], w[-1]) for w in want[lo : lo + 7]]
         merged.update({(p["a_id"], p["b_id"]): p["n"] for p in pairs.to_pylist()})
     assert merged == counts
+
+
+def test_packed_lists():
+    import numpy as np
+
+    values, at = np.array([0, 127, 128, 16383, 16384, 5, 1 << 21, (1 << 31) - 1]), np.array([0, 0, 3, 3, 7, 8])
+    for lo in range(6):
+        got = al.unpack(al.pack(values, at).slice(lo))
+        assert got[0].tolist() == values[at[lo] :].tolist() and got[1].tolist() == (at[lo:] - at[lo]).tolist()
+    assert al.unpack(al.pack(values[:0], np.array([0])))[0].tolist() == []
