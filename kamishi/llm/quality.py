@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade ordered by rejection per cost.
 
 Each rule's cost (seconds of its own job above those of an empty one) and selectivity (share rejected)
-are estimated on a bounded sample; the rules then run in falling order of rejection per cost. A rule's
-metrics are computed from texts that no earlier rule rejected: others show it a null, which costs
-nothing. The order never changes the verdict, only which rule is credited and what it costs; costs are
-taken as powers of two, and rules that tie keep the given order.
+are estimated on a bounded sample of rows, read from a few files and kept with their words, so that a job
+holds nothing but the rule; the rules then run in falling order of rejection per cost. Words are split off
+once for all rules, and a metric is computed only for texts that no earlier rule rejected. The order never changes the verdict, only which rule is credited and what it
+costs; costs are taken as powers of two, and rules that tie keep the given order. Metrics asked for in
+the result are computed for all rows, before the rules; rules over them alone cost nothing more. The
+cascade is one CASE, whose branches Spark evaluates one by one until a rule rejects.
 
 Null or empty text has no words and fails the length rule. Repeated rows get equal verdicts. A text of
 any length is one row of array functions in one task. An empty table gives an empty result. Other
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, words_of
 
 WINDOW = 5
-#: Rows of the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 2000
+#: Rows of the sample on which costs and selectivities are estimated, and files that they come from.
+SAMPLE_ROWS, SAMPLE_FILES = 2000, 8
 
 
 @dataclass(frozen=True)
@@ -57,104 +59,113 @@ RULES = BASE + EXTRA
 OWN = "_quality_"
 
 
-WORDS = OWN + "words"
+TEXT, WORDS = OWN + "text", OWN + "words"
 
 
-def _text():
-    return F.coalesce(OWN + "text", F.lit(""))
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use mentions it."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _lines():
-    return F.split(_text(), "\n")
-
-
-def _n_repeat_words(df, out):
+def _n_repeat_words(t: Column, w: Column) -> Column:
     """Words inside windows of five words that occur twice or more in the text.
 
     Windows are compared by a 64-bit hash of their words. Only texts with a repeated hash go on to
     the sort by (hash, position), whose equal neighbours give the repeated windows.
     """
-    w, hashes, sorted_ = F.col(WORDS), OWN + "h", OWN + "s"
     at = lambda i: F.xxhash64(*[w[i + k] for k in range(WINDOW)])
-    hashed = df.withColumn(hashes, F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), at)).otherwise(F.array().cast("array<bigint>")))
-    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    ordered = hashed.withColumn(sorted_, F.when(repeats, pairs))
-    s = F.col(sorted_)
-    twice = F.filter(s, lambda x, j: F.when(j > 0, s[F.greatest(j - 1, F.lit(0))]["h"] == x["h"]).otherwise(False) | F.when(j < F.size(s) - 1, s[F.least(j + 1, F.size(s) - 1)]["h"] == x["h"]).otherwise(False))
-    spots = F.sort_array(F.transform(twice, lambda x: x["i"]))
+    hashes = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), at)).otherwise(F.array().cast("array<bigint>"))
+    same = lambda s, x, j: s[j]["h"] == x["h"]
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(p, a["end"])).alias("n"), (p + WINDOW).alias("end"))
-    covered = F.aggregate(spots, zero, step, lambda a: a["n"])
-    return ordered.withColumn(out, F.coalesce(F.when(s.isNotNull(), covered), F.lit(0)).cast("long")).drop(hashes, sorted_)
 
+    def covered(s):
+        twice = F.filter(s, lambda x, j: F.when(j > 0, same(s, x, F.greatest(j - 1, F.lit(0)))).otherwise(False) | F.when(j < F.size(s) - 1, same(s, x, F.least(j + 1, F.size(s) - 1))).otherwise(False))
+        return F.aggregate(F.sort_array(F.transform(twice, lambda x: x["i"])), zero, step, lambda a: a["n"])
+
+    def over(h):
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), _let(pairs, covered)).otherwise(0)
+
+    return _let(hashes, over)
 
-def _n_top_pair(df, out):
+
+def _n_top_pair(t: Column, w: Column) -> Column:
     """Occurrences of the most frequent pair of neighbouring words: the longest run of sorted pair hashes."""
-    w, sorted_ = F.col(WORDS), OWN + "pairs"
-    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(w[i], w[i + 1]))
-    ordered = df.withColumn(sorted_, F.when(F.size(w) > 1, F.array_sort(pairs)))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(w[i], w[i + 1])))
     zero = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("run"), F.lit(0).alias("top"))
 
     def step(a, h):
         run = F.when(a["h"] == h, a["run"] + 1).otherwise(1)
         return F.struct(h.alias("h"), run.alias("run"), F.greatest(a["top"], run).alias("top"))
 
-    return ordered.withColumn(out, F.coalesce(F.aggregate(sorted_, zero, step, lambda a: a["top"]), F.lit(0)).cast("long")).drop(sorted_)
-
-
-def _repeated(parts):
-    """A transformation that counts the parts with a word that equal an earlier one."""
+    return F.when(F.size(w) > 1, F.aggregate(pairs, zero, step, lambda a: a["top"])).otherwise(0)
 
-    def metric(df, out):
-        worded = df.withColumn(OWN + "worded", F.filter(parts(), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
-        return worded.withColumn(out, (F.size(OWN + "worded") - F.size(F.array_distinct(OWN + "worded"))).cast("long")).drop(OWN + "worded")
 
-    return metric
+def _repeated(parts: Column) -> Column:
+    """Number of the parts with a word that equal an earlier one."""
+    worded = F.filter(parts, lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+    return _let(worded, lambda p: F.size(p) - F.size(F.array_distinct(p)))
 
 
-def _column(expression):
-    return lambda df, out: df.withColumn(out, expression().cast("long"))
+def _lines(t: Column) -> Column:
+    return F.split(t, "\n")
 
 
-def _count(parts, holds):
-    return _column(lambda: F.size(F.filter(parts(), holds)))
+def _count(parts: Column, holds) -> Column:
+    return F.size(F.filter(parts, holds))
 
 
-#: Each adds one column, by the name given, to rows with the columns WORDS and OWN + "text".
-METRICS = {
-    "n_words": _column(lambda: F.size(WORDS)),
-    "word_chars": _column(lambda: F.char_length(F.array_join(WORDS, ""))),
-    "n_symbols": _column(lambda: F.char_length(_text()) - F.char_length(F.regexp_replace(_text(), r"[#*$%&|<>]", ""))),
-    "n_lines": _column(lambda: F.size(_lines())),
-    "n_dup_lines": _repeated(_lines),
+#: Each is an expression of a text and its words.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w),
+    "word_chars": lambda t, w: F.char_length(F.array_join(w, "")),
+    "n_symbols": lambda t, w: F.char_length(t) - F.char_length(F.regexp_replace(t, r"[#*$%&|<>]", "")),
+    "n_lines": lambda t, w: F.size(_lines(t)),
+    "n_dup_lines": lambda t, w: _repeated(_lines(t)),
     "n_repeat_words": _n_repeat_words,
-    "n_bullets": _count(_lines, lambda x: F.ltrim(x).startswith("- ") | F.ltrim(x).startswith("* ") | F.ltrim(x).startswith("•")),
-    "n_ellipses": _count(_lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")),
-    "n_lettered": _count(lambda: F.col(WORDS), lambda x: x.rlike(r"\p{L}")),
-    "n_distinct_words": _column(lambda: F.size(F.array_distinct(WORDS))),
-    "n_paragraphs": _column(lambda: F.size(F.split(_text(), "\n\n"))),
-    "n_dup_paragraphs": _repeated(lambda: F.split(_text(), "\n\n")),
+    "n_bullets": lambda t, w: _count(_lines(t), lambda x: F.ltrim(x).startswith("- ") | F.ltrim(x).startswith("* ") | F.ltrim(x).startswith("•")),
+    "n_ellipses": lambda t, w: _count(_lines(t), lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")),
+    "n_lettered": lambda t, w: _count(w, lambda x: x.rlike(r"\p{L}")),
+    "n_distinct_words": lambda t, w: F.size(F.array_distinct(w)),
+    "n_paragraphs": lambda t, w: F.size(F.split(t, "\n\n")),
+    "n_dup_paragraphs": lambda t, w: _repeated(F.split(t, "\n\n")),
     "n_top_pair": _n_top_pair,
 }
 
 
-def _measure(df: DataFrame, text: Column, names) -> DataFrame:
-    """df with the named metrics of text, each with the prefix."""
-    out = df.withColumn(OWN + "text", text).withColumn(WORDS, words_of(F.col(OWN + "text")))
-    for name in names:
-        out = METRICS[name](out, OWN + name)
-    return out.drop(OWN + "text", WORDS)
+def _prepared(df: DataFrame, report=()) -> DataFrame:
+    """df with its text (null: empty), the text's words and the metrics of report, each with the prefix."""
+    out = df.withColumn(TEXT, F.coalesce("text", F.lit(""))).withColumn(WORDS, words_of(F.col(TEXT)))
+    return out.withColumns({OWN + name: METRICS[name](F.col(TEXT), F.col(WORDS)).cast("long") for name in report})
+
+
+def _metrics(names, report) -> dict[str, Column]:
+    """The named metrics over a prepared row."""
+    return {name: F.col(OWN + name) if name in report else METRICS[name](F.col(TEXT), F.col(WORDS)) for name in names}
 
 
 def add_metrics(docs: DataFrame, names=tuple(METRICS)) -> DataFrame:
     """docs with the named metrics of their texts as long columns."""
-    out = _measure(docs, F.col("text"), names)
-    return out.withColumns({name: F.col(OWN + name) for name in names}).drop(*[OWN + name for name in names])
+    return _prepared(docs, names).withColumns({name: F.col(OWN + name) for name in names}).drop(TEXT, WORDS, *[OWN + name for name in names])
+
+
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS, n_files: int = SAMPLE_FILES) -> DataFrame:
+    """text of about so many rows, the first of each split of some files spread over the table; no other
+    file is read. A table that is no Parquet gives its first rows."""
+    files = sorted(docs.inputFiles())
+    if not files or not all(f.endswith(".parquet") for f in files):
+        return docs.select("text").limit(rows)
+    chosen = files[:: -(-len(files) // n_files)]
+    each = [docs.sparkSession.read.parquet(f).select("text").limit(-(-rows // len(chosen))) for f in chosen]
+    out = each[0]
+    for one in each[1:]:
+        out = out.union(one)
+    return out
 
 
 def _seconds(run, times: int = 2) -> tuple[float, object]:
-    """The least time of some runs, and the last one's result."""
+    """The least time of some runs (the first compiles), and the last one's result."""
     took = []
     for _ in range(times):
         began = time.monotonic()
@@ -163,21 +174,19 @@ def _seconds(run, times: int = 2) -> tuple[float, object]:
     return min(took), out
 
 
-def estimate(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) of each rule on a sample of about sample_rows rows."""
-    n = docs.count()
-    if not n:
-        return [(r, 1.0, 0.0) for r in rules]
-    share = min(1.0, sample_rows / n)
-    sample = docs.select("text").sample(False, share, 7).cache()
+def estimate(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, report: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds, share rejected) of each rule on a sample of about sample_rows rows, where words and
+    the metrics of report are there already."""
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    sample = _prepared(sample_of(docs, sample_rows).repartition(tasks), report).cache()
     try:
-        rows = max(1, sample.count())
-        empty, _ = _seconds(lambda: sample.agg(F.count_if(F.col("text").isNull())).first())
+        rows = sample.count()
+        if not rows:
+            return [(r, 1.0, 0.0) for r in rules]
+        empty, _ = _seconds(lambda: sample.agg(F.count_if((F.col(TEXT) == "-") | (F.size(WORDS) < 0))).first())
         out = []
         for rule in rules:
-            m = {k: F.col(OWN + k) for k in rule.needs}
-            # an aggregate, not a filter: a pushed-down filter would inline the metrics into their own lambdas
-            job = _measure(sample, F.col("text"), rule.needs).agg(F.count_if(rule.fails(m)))
+            job = sample.agg(F.count_if(rule.fails(_metrics(rule.needs, report))))
             took, row = _seconds(lambda job=job: job.first())
             out.append((rule, max(took - empty, 1e-3), row[0] / rows))
         return out
@@ -190,23 +199,16 @@ def order_rules(estimates) -> list[Rule]:
     return [r for r, cost, share in sorted(estimates, key=lambda x: -x[2] / 2.0 ** round(np.log2(x[1])))]
 
 
-def quality_filter(docs: DataFrame, rules=RULES, order: list[Rule] | None = None, failed: Column | None = None) -> DataFrame:
-    """docs with failed_rule and kept; rules in the estimated order unless one is given.
-
-    failed: name of a rule that has rejected a row already, or null; such rows pass no further rule.
-    """
-    order = order or order_rules(estimate(docs, rules))
-    have: list[str] = []
-    verdict = OWN + "failed"
-    out = docs.withColumn(verdict, F.lit(None).cast("string") if failed is None else failed)
-    for rule in order:
-        new = [k for k in rule.needs if k not in have]
-        have += new
-        out = _measure(out, F.when(F.col(verdict).isNull(), F.col("text")), new) if new else out
-        hit = F.when(rule.fails({k: F.col(OWN + k) for k in rule.needs}), rule.name)
-        out = out.withColumn(verdict, F.coalesce(verdict, hit))
-    out = out.withColumns({"failed_rule": F.col(verdict), "kept": F.col(verdict).isNull()})
-    return out.drop(verdict, *[OWN + k for k in have])
+def quality_filter(docs: DataFrame, rules=RULES, order: list[Rule] | None = None, report: tuple[str, ...] = ()) -> DataFrame:
+    """docs with failed_rule, kept and the metrics of report; rules in the estimated order unless one is given."""
+    order = order or order_rules(estimate(docs, rules, report=report))
+    failed = F.lit(None).cast("string")
+    for rule in reversed(order):
+        failed = F.when(rule.fails(_metrics(rule.needs, report)), rule.name).otherwise(failed)
+    # a condition on the verdict must stay above the rules: pushed below, it would hold all of them over again
+    out = _prepared(docs, report).withColumn(OWN + "failed", F.when(F.rand(0) >= 0, failed))
+    out = out.withColumns({"failed_rule": F.col(OWN + "failed"), "kept": F.col(OWN + "failed").isNull(), **{k: F.col(OWN + k) for k in report}})
+    return out.drop(TEXT, WORDS, OWN + "failed", *[OWN + k for k in report])
 
 
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -214,12 +216,10 @@ REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    order = order_rules(estimate(docs, EXTRA))
-    measured = add_metrics(docs, REPORTED)
+    order = [*BASE, *order_rules(estimate(docs, EXTRA, report=REPORTED))]
+    judged = quality_filter(docs, order=order, report=REPORTED)
     m = {k: F.col(k) for k in REPORTED}
-    based = measured.withColumn("base_failed", BASE[0].fails(m) | BASE[1].fails(m))
-    judged = quality_filter(based, order=order, failed=F.when(F.col("base_failed"), "base"))
-    return judged.select("doc_id", *REPORTED, "base_failed", "kept")
+    return judged.select("doc_id", *REPORTED, (BASE[0].fails(m) | BASE[1].fails(m)).alias("base_failed"), "kept")
 
 
 ORACLE = r"""

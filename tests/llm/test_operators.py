@@ -75,6 +75,20 @@ def test_quality_rules(spark):
             assert (row.failed_rule, row.kept, row.n_words, row.line) == (first, first is None, 1, "l")
 
 
+def test_quality_splits_once(spark, tmp_path):
+    """Words are split off once for all metrics and rules; the sample comes from a few files."""
+    rows = [(i, f"some words of text {i} " * (i % 7)) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(20).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plan = quality.quality_filter(docs, order=list(quality.RULES), report=quality.REPORTED)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") - plan.count("\n, -1)") - plan.count("\n\n, -1)") <= 1, plan
+    sample = quality.sample_of(docs, 10, 4)
+    assert 4 <= len(sample.inputFiles()) <= 5 and 0 < sample.count() <= 15
+    found = quality.estimate(docs, report=quality.REPORTED)
+    assert [r for r, _, _ in found] == list(quality.RULES) and all(cost > 0 and 0 <= share <= 1 for _, cost, share in found)
+    assert {r.doc_id for r in quality.quality_filter(docs).where("kept").collect()} == {i for i, t in rows if not brute_verdict(t)}
+
+
 def test_lines(spark):
     rows = [(i, "Head \n" + f"own {i}\n" + ("tail" if i % 2 else "x")) for i in range(12)] + [(50, None), (51, ""), (None, "HEAD\nz")]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
