@@ -6,11 +6,13 @@ result in closed form from the same base tables, not by repeating the operator.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import ctc, dates, geometry, numbers, text
-from ..operators import boxes, layout, receipts, tables
-from ..sources import backends
+from ..operators import bigpages, boxes, layout, receipts, tables
+from ..sources import backends, pagefiles, shared
 from . import render, sql
 from .engine import Engine
 
@@ -404,6 +406,29 @@ def layout_markdown(spark, sf_dir):
     return layout.documents(layout.analyze(fragments(spark, sf_dir)), pages).select("page_id", "text", "orientation")
 
 
+#: All orders on two sheets, one of them vertical: a stripe of a sheet for each order.
+SHEETS = f"""
+SELECT CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS page_id, CAST(page_id * 16 + obs_id AS INT) AS obs_id, text, confidence, width, height, CASE WHEN page_id % 3 = 0 THEN 'vertical' ELSE 'horizontal' END AS orientation,
+       CASE WHEN page_id % 3 = 0 THEN x - page_id * 500 ELSE x END AS x, CASE WHEN page_id % 3 = 0 THEN y ELSE y + page_id * 500 END AS y FROM ({FRAGMENTS})"""
+
+
+@query(f"""
+SELECT CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS page_id, 'P' || part || '¥' || qty AS text, 'P' || part || ' ¥' || qty AS spaced_text, CASE WHEN page_id % 3 = 0 THEN 16.5 ELSE 180 END::DOUBLE AS width,
+       0.75::DOUBLE AS confidence, 2::BIGINT AS n_obs, (page_id * 16 + k * 2)::INT AS first_obs FROM ({bare(NUMBERED)})""")
+def line_cluster_sheets(spark, sf_dir):
+    """Lines of pages that hold all boxes of the table, spread over all tasks."""
+    return bigpages.cluster_lines(run_sql(spark, sf_dir, SHEETS)).select("page_id", "text", "spaced_text", "width", "confidence", "n_obs", "first_obs")
+
+
+@query(f"""
+SELECT CASE WHEN own % 3 = 0 THEN 0 ELSE 1 END AS page_id, n_lines, first_obs, n_lines - 1 AS last_place
+FROM (SELECT page_id AS own, count(*)::BIGINT AS n_lines, min(page_id * 16 + k * 2)::INT AS first_obs FROM ({bare(NUMBERED)}) GROUP BY page_id, k % 2)""")
+def block_cluster_sheets(spark, sf_dir):
+    blocks = bigpages.cluster_blocks(bigpages.cluster_lines(run_sql(spark, sf_dir, SHEETS)))
+    out = blocks.groupBy("page_id", "block").agg(F.count("*").alias("n_lines"), F.min("first_obs").alias("first_obs"), F.max("in_block").alias("last_place"))
+    return out.select("page_id", "n_lines", "first_obs", "last_place")
+
+
 # --- tables -----------------------------------------------------------------------------------
 
 #: Three columns per lineitem row; every third row has no middle cell, every fourth a wide first cell
@@ -493,6 +518,34 @@ def backend_route(spark, sf_dir):
     return found.select("page_id", (F.col("page_id") * 10 + F.col("obs_id")).alias("obs_id"), "text")
 
 
+@query(f"SELECT page_id, line_no, col::BIGINT AS block_no, 'P' || part || '¥' || qty AS text FROM ({bare(ORDERED)}) WHERE page_id > 100 AND page_id % 3 <> 0")
+def observation_files(spark, sf_dir):
+    """Pages written as files of observations and read back by the data source, which is asked for some pages
+    and sure boxes only."""
+    pagefiles.register(spark)
+    box = F.struct("text", "x", "y", "width", "height", "confidence")
+    boxes_of = F.transform(F.array_sort(F.collect_list(F.struct("obs_id", box.alias("box")))), lambda b: b["box"])
+    pages = fragments(spark, sf_dir).groupBy("page_id").agg(boxes_of.alias("boxes"))
+    path = f"{shared.folder(spark)}/kamishi/observations-{uuid.uuid4().hex}"
+    pages.select(F.to_json(F.struct("page_id", "boxes")).alias("value")).write.text(path)
+    read = spark.read.format("observations").load(path).where("page_id > 100 AND confidence >= 0.5")
+    lines = layout.analyze(read.where("page_id % 3 <> 0"))
+    return lines.select("page_id", F.col("line_no").cast("long").alias("line_no"), F.col("block_no").cast("long").alias("block_no"), "text")
+
+
+@query("SELECT page_id, 'page ' || page_id || chr(10) || url AS markdown FROM pages")
+def page_file_sink(spark, sf_dir):
+    """Markdown of every page written as a file of its own, and read back from there."""
+    pagefiles.register(spark)
+    rows = run_sql(spark, sf_dir, "SELECT page_id, posexplode(array(concat('page ', page_id), url)) AS (obs_id, text) FROM {pages}")
+    placed = rows.select("page_id", "obs_id", "text", F.lit(10.0).alias("x"), (F.col("obs_id") * 20.0).alias("y"), F.lit(300.0).alias("width"), F.lit(16.0).alias("height"), F.lit(1.0).alias("confidence"))
+    shown = Engine(lambda images: placed).markdown(run_sql(spark, sf_dir, "SELECT page_id FROM {pages}"))
+    path = f"{shared.folder(spark)}/kamishi/pages-{uuid.uuid4().hex}"
+    shown.withColumnRenamed("markdown", "content").write.format("page_files").option("suffix", "md").mode("append").save(path)
+    back = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+    return back.select(F.regexp_extract("name", r"^(.+)[.]md$", 1).cast("long").alias("page_id"), F.col("value").alias("markdown"))
+
+
 _BOX = "(width / 64) * 640 AS x, (1 - height / 32 - height / 32) * 320 AS y, (width / 64) * 640 AS w, (height / 32) * 320 AS h"
 
 
