@@ -52,7 +52,7 @@ def test_kanji_numbers(spark):
     some = ["".join(r.choice("〇一二三九十百千万億兆05" + "x" * (k % 9 == 0)) for _ in range(r.randint(1, 7))) for k in range(4000)]
     some += ["".join(x for u in "千百十" for x in [r.choice(["", "二" + u, u, "〇" + u, "１２".translate({65297: "1", 65298: "2"}) + u])] ) + r.choice(["", "七", "〇"]) for _ in range(300)]
     some += [a + "兆" + b + "億" + c + "万" + d for a, b, c, d in (r.sample(some[-300:], 4) for _ in range(300))]
-    some += ["九" * n for n in range(15, 24)] + ["九千兆", "九百万兆", "0" * 30 + "5", "9223372036854775807", "9223372036854775808", "二十二百", "十0万", "千\n"]
+    some += ["九" * n for n in range(15, 24)] + ["九千兆", "九百万兆", "0" * 30 + "5", "9223372036854775807", "9223372036854775808", "二十二百", "十0万", "千\n", "1,000", "一,二", ",,,", "1,,,,,,,,,,,,,,,2"]
     df = spark.createDataFrame([(s,) for s in some], "s string")
     got = {x.s: x.v for x in df.select("s", numbers.kanji_number(F.col("s")).alias("v")).collect()}
     assert {s: got[s] for s in some} == {s: kanji(s) for s in some}
