@@ -13,14 +13,16 @@ side in both sketches, and a run, unlike a single frequent value, has few unrela
      for all lists, and with each other list by list, in groups of bounded size. A member leaves out
      as many of its longest lists as it may lack (prefix filter); one component is never compared.
 
-Only steps 1 and 2 rest on chance: of pairs exactly at the threshold, 1e-9 share fewer lists and
-2e-8 are estimated six deviations too low (k = 64); slack=None compares without the estimate. Sets of up
-to k shingles are compared exactly. Equal sets meet without comparison, by a 128-bit set hash. Only
+Only steps 1 and 2 rest on chance: of pairs exactly at the threshold, `loss` share fewer lists and
+2e-8 are estimated six deviations too low (k = 64). slack=None compares without the estimate, and with
+loss=None one shared list is enough to be compared (2e-19 of pairs at the threshold share none). Sets of
+up to k shingles are compared exactly. Equal sets meet without comparison, by a 128-bit set hash. Only
 texts of candidates are shuffled; a text must fit a task, a long one takes a group for itself.
 
 Null, empty or blank text has an empty set, linked with nothing. A row is a node of its own, named by
-63 bits of a hash of id and text; only rows equal in both share one, so neither null ids nor one id
-with several texts tie documents together. A component has the least doc_id of its rows (null where
+63 bits of a hash of id and text; rows that meet in these but differ in 64 further bits are named anew
+(`clashes`), so only rows equal in both share a node, and neither null ids nor one id with several texts
+tie documents together. A component has the least doc_id of its rows (null where
 all are null) and a first row (least id, then least name; nulls last). kept holds for rows with the
 component's id, or where that is null for the first row and rows equal to it; one_of_each leaves a
 single row. An empty table gives an empty result. Columns besides doc_id and text are not read.
@@ -39,6 +41,8 @@ from .common import Scratch, table, unused
 
 THRESHOLD, SKETCH, SHINGLE, BLOCK = (80, 100), 64, 2, 512
 LAST = 2**63 - 1
+#: Names met by different rows, of which so many are broadcast; more are joined by merging.
+SMALL = 10_000
 #: Deviations of the union-sketch estimate, and the chance that a linked pair shares fewer runs.
 SLACK, LOSS = 6.0, 1e-9
 CHUNK_BYTES = 200_000
@@ -87,14 +91,14 @@ def _sketch(k, size):
                 s1, s2 = ((x[begin + n] - x[begin]).view(np.int64) for x in sums)
                 kept = np.minimum(n, k)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(h[rank < k]))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists], ["doc", "id", "n", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("check"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists], ["doc", "check", "id", "n", "s1", "s2", "sketch"])
 
     return run
 
 
 def sketches(docs: DataFrame, k: int = SKETCH, size: int = SHINGLE) -> DataFrame:
-    """doc, id, n (distinct shingles), s1, s2 (set hash), sketch (the k least hashes, rising)."""
-    return docs.select("doc", "id", "text").mapInArrow(_sketch(k, size), "doc long, id long, n long, s1 long, s2 long, sketch array<bigint>")
+    """doc, check, id, n (distinct shingles), s1, s2 (set hash), sketch (the k least hashes, rising)."""
+    return docs.select("doc", "check", "id", "text").mapInArrow(_sketch(k, size), "doc long, check long, id long, n long, s1 long, s2 long, sketch array<bigint>")
 
 
 def run_keys(sketch: Column) -> Column:
@@ -103,12 +107,14 @@ def run_keys(sketch: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(sketch) - 2), at)
 
 
-def shared_runs(k: int, threshold, loss: float = LOSS) -> int:
-    """Most runs of two that a pair at the threshold shares but with a chance of `loss`.
+def shared_runs(k: int, threshold, loss: float | None = LOSS) -> int:
+    """Most runs of two that a pair at the threshold shares but with a chance of `loss`; one if it is None.
 
     Each of the k least values of the union is shared with the chance of the threshold; the counts of
     neighbours that are both shared follow step by step.
     """
+    if loss is None:
+        return 1
     t = threshold[0] / threshold[1]
     p = np.zeros((2, k + 1))  # by whether the last value is shared, and runs so far
     p[0, 0], p[1, 0] = 1 - t, t
@@ -117,12 +123,12 @@ def shared_runs(k: int, threshold, loss: float = LOSS) -> int:
     return int(np.searchsorted(np.cumsum(p.sum(axis=0)), loss))
 
 
-def needed_runs(n: Column, k: int, threshold) -> Column:
+def needed_runs(n: Column, k: int, threshold, loss: float | None = LOSS) -> Column:
     """Runs that a set of n shingles shares with any linked one: whole sets of a union of u values lack
     at most (1 - t) u of them, each of which parts one run more than it takes."""
     t = threshold[0] / threshold[1]
     whole = F.ceil((2 * t - 1) * n - 1 - 1e-9)
-    return F.greatest(F.lit(1), F.least(F.lit(max(1, shared_runs(k, threshold))), whole)).cast("int")
+    return F.greatest(F.lit(1), F.least(F.lit(max(1, shared_runs(k, threshold, loss))), whole)).cast("int")
 
 
 def _padded(lists, k):
@@ -306,6 +312,30 @@ def row_name() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text").bitwiseAND(F.lit(LAST))
 
 
+def row_check() -> Column:
+    """64 bits of id and text beside the name."""
+    return F.xxhash64(F.lit("row"), "text", F.col("doc_id").cast("long"))
+
+
+def clashes(rows: DataFrame) -> DataFrame:
+    """Names (doc) that rows of different checks share.
+
+    Of 3e10 rows some fifty are expected to meet. Named anew by name and check, one of them meets a
+    further row with a chance of 2e-7.
+    """
+    return rows.groupBy("doc").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("doc")
+
+
+def renamed(df: DataFrame, met: DataFrame | None, name: str, check: str) -> DataFrame:
+    """df with other names for rows whose name clashes."""
+    if met is None:
+        return df
+    (other,) = unused(df, "met")
+    joined = df.join(met.select(F.col("doc").alias(other)), F.col(name) == F.col(other), "left")
+    again = F.xxhash64(name, check).bitwiseAND(F.lit(LAST))
+    return joined.withColumn(name, F.when(F.col(other).isNotNull(), again).otherwise(F.col(name))).select(df.columns)
+
+
 def _overlapping(rows: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
     """node, need, comp, key, size: rows of lists that hold several components, of nodes with at least
     as many such lists as they share with a linked one."""
@@ -391,11 +421,16 @@ def _linked(rows: DataFrame, reps: DataFrame, texts_of, threshold, k: int, size:
     return merged(labels, scratch.table(held.groupBy(*GROUP).applyInArrow(_exact(size, threshold), "a long, b long").distinct(), "links"), scratch)
 
 
-def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int, slack: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches of all rows; node, component_id and first of linked nodes; nodes of several equal rows."""
+def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int, slack: float | None, loss: float | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Sketches of all rows; node, component_id and first of linked nodes; nodes of several equal rows;
+    clashing names."""
     scratch = Scratch()
-    docs = docs.select(row_name().alias("doc"), F.col("doc_id").cast("long").alias("id"), "text")
-    sk = scratch.table(sketches(docs, k, size), "sketches")
+    docs = docs.select(row_name().alias("doc"), row_check().alias("check"), F.col("doc_id").cast("long").alias("id"), "text")
+    sketched = scratch.table(sketches(docs, k, size), "sketches")
+    clashed = scratch.table(clashes(sketched), "clashes")
+    n_clashes = clashed.count()
+    met = None if n_clashes == 0 else F.broadcast(clashed) if n_clashes <= SMALL else grown(clashed)
+    sk, docs = renamed(sketched, met, "doc", "check"), renamed(docs, met, "doc", "check")
     full = sk.where("n > 0")
     sets = full.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     members = scratch.table(full.select("doc", "s1", "s2", "n").join(grown(sets), ["s1", "s2", "n"]).groupBy("doc", "rep").agg(F.count("*").alias("rows")), "copies")
@@ -407,7 +442,7 @@ def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int, slack:
         return df.join(grown(repeats), "doc", "left_anti").unionByName(df.join(grown(repeats), "doc", "left_semi").dropDuplicates(["doc"])) if repeated else df
 
     reps = once(full.where("n > 3").join(grown(members.where("doc <> rep")), "doc", "left_anti").select("doc", "n", "sketch")).withColumnRenamed("doc", "node")
-    keyed = reps.select("node", needed_runs(F.col("n"), k, threshold).alias("need"), F.explode(run_keys(F.col("sketch"))).alias("key"))
+    keyed = reps.select("node", needed_runs(F.col("n"), k, threshold, loss).alias("need"), F.explode(run_keys(F.col("sketch"))).alias("key"))
     rows = _overlapping(keyed, None, scratch)
     if rows.isEmpty():
         labels = docs.sparkSession.createDataFrame([], "node long, comp long")
@@ -419,24 +454,24 @@ def _clusters(docs: DataFrame, threshold, k: int, size: int, block: int, slack:
     homes = scratch.table(homes.unionByName(labels.select("node", "comp").join(grown(members.select(F.col("doc").alias("node"))), "node", "left_anti")), "homes")
     least = homes.join(grown(sk.select(F.col("doc").alias("node"), "id")), "node").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
     final = scratch.table(homes.join(grown(least), "comp").select("node", F.col("least.id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first")), "final")
-    scratch.discard(sk, final, repeats)
-    return sk, final, repeats
+    scratch.discard(sketched, final, repeats, *([clashed] if n_clashes else []))
+    return sk, final, repeats, met
 
 
-def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK, slack: float | None = SLACK) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK, slack: float | None = SLACK, loss: float | None = LOSS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
-    sk, labels, _ = _clusters(docs, threshold, k, size, block, slack)
+    sk, labels, _, _ = _clusters(docs, threshold, k, size, block, slack, loss)
     done = sk.select("doc", "id", "n").join(grown(labels), F.col("doc") == F.col("node"), "left")
     ids = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), "first", F.lit(True))
     return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), ids.alias("component_id"), kept.alias("kept"))
 
 
-def one_of_each(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK, slack: float | None = SLACK) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold=THRESHOLD, k: int = SKETCH, size: int = SHINGLE, block: int = BLOCK, slack: float | None = SLACK, loss: float | None = LOSS) -> DataFrame:
     """docs with a single row of each component: its first, of equal rows the least by all columns."""
-    _, labels, repeats = _clusters(docs, threshold, k, size, block, slack)
-    name, other, least = unused(docs, "name", "other", "least")
-    named = docs.withColumn(name, row_name()).join(grown(labels.where("not first").select(F.col("node").alias(other))), F.col(name) == F.col(other), "left_anti")
+    _, labels, repeats, met = _clusters(docs, threshold, k, size, block, slack, loss)
+    name, check, other, least = unused(docs, "name", "check", "other", "least")
+    named = renamed(docs.withColumns({name: row_name(), check: row_check()}), met, name, check).join(grown(labels.where("not first").select(F.col("node").alias(other))), F.col(name) == F.col(other), "left_anti")
     if repeats.isEmpty():
         return named.select(docs.columns)
     again = grown(repeats.select(F.col("doc").alias(other)))

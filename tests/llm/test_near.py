@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from kamishi.llm.near_dedup import _common, estimates, near_duplicates, needed_runs, shared_runs
+from kamishi.llm import near_dedup
+from kamishi.llm.near_dedup import _common, estimates, near_duplicates, needed_runs, one_of_each, shared_runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -117,3 +118,33 @@ def test_family_around_a_missing_centre(spark):
     rows += [(200 + d, " ".join([*base[:40], *[f"y{d}-{i}" for i in range(r.randint(0, 120))]])) for d in range(60)]
     done = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in done} == brute(rows, 2)
+
+
+def test_rows_whose_names_meet(spark, monkeypatch):
+    """Different rows of one name are rows of their own, by either join; equal rows stay one node."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_dedup, "row_name", lambda: F.pmod(F.xxhash64("text", F.col("doc_id").cast("long")), F.lit(7)))
+    rows = chain_corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()} == want
+    monkeypatch.setattr(near_dedup, "SMALL", 0)
+    left = sorted(r.doc_id for r in one_of_each(docs.unionByName(docs)).collect())
+    blank = [d for d, (n, _) in want.items() if n == 0]  # linked with nothing, so their equal rows stay
+    assert left == sorted([*{c for _, c in want.values()}, *blank])
+
+
+def test_without_loss(spark):
+    """A pair that lacks the runs asked for is lost by the bound, and found with loss=None."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    other = list(base)
+    for i in r.sample(range(200), 9):
+        other[i] = "x" + other[i]
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, "a b c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert shared_runs(64, (80, 100), None) == 1 and brute(rows, 2)[2][1] == 1
+    found = lambda loss: {x.doc_id: x.component_id for x in near_duplicates(docs, slack=None, loss=loss).collect()}
+    assert found(None) == {1: 1, 2: 1, 3: 3}
+    assert found(1 - 1e-15) == {1: 1, 2: 2, 3: 3}
