@@ -105,3 +105,28 @@ def test_edges(spark, learned):
     assert [(r.doc_id, r.lang, r.lang_pred) for r in got] == [(1, "a", "und"), (2, "b", "und"), (None, "c", "und"), (4, "d", "xx"), (4, "d", "xx")]
     assert [r.score == 0 for r in got] == [True] * 3 + [False] * 2 and got[3].spans == got[4].spans
     assert langid.identify(docs.where("false"), model).count() == 0
+
+
+def test_learns_from_every_row(spark):
+    """Counts and floors of a language of more than 4,000 rows, against plain loops over all of them."""
+    r = random.Random(3)
+    rows = [(i, prose(r, LANGS["xx"], r.randint(1, 3)), "xx") for i in range(4500)] + [(5000, "abc 12 d3", "yy"), (5001, "7", "yy"), (5002, "", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs)
+    counts = {k: [1] * langid.FEATURES for k in LANGS}
+    for _, text, lang in rows:
+        for slot in slots(text):
+            counts[lang][slot] += 1
+    assert model.langs == tuple(LANGS) and np.allclose(model.logp, [logs(c) for c in counts.values()], atol=1e-5)
+    found = {k: [] for k in LANGS}
+    for _, text, lang in rows:
+        f, at, own = slots(text), 0, []
+        for word in text.split(" "):
+            if not any(c.isdigit() for c in word):
+                own += f[at : at + len(word)]
+            at += len(word) + 1
+        if own:
+            rest = [max(counts[lang][s] - f.count(s), 1) for s in own]
+            found[lang].append(sum(map(math.log, rest)) / len(rest) - math.log(max(sum(counts[lang]) - len(f), 1)))
+    want = [np.mean(x) - langid.FLOOR_DEVIATIONS * max(np.std(x), langid.LEAST_DEVIATION) if x else -np.inf for x in found.values()]
+    assert np.allclose(langid.floors(docs, model), want, atol=1e-5)
