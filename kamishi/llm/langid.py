@@ -113,6 +113,7 @@ def _by_language(batches):
             of = code.indices.to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
             yield code.dictionary.take(code.indices.take(pa.array(edge[:-1]))).to_pylist(), edge, part.column("text")
+    bv.release()
 
 
 def _count(batches):
@@ -310,6 +311,7 @@ def _predict(shared, penalty, spans, floor):
                     out.append(pa.array(foreign))
                     fields.append("foreign")
                 yield pa.RecordBatch.from_arrays(out, fields)
+        bv.release()
 
     return run
 
