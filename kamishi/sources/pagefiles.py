@@ -6,9 +6,10 @@
   [{"text": ..., "x": ..., "y": ..., "width": ..., "height": ..., "confidence": ...}, ...]}`. Files are dealt
   into partitions by size on the driver; comparisons of page_id and confidence with constants are answered
   here: pages and boxes that fail never become rows. A line that is no such page is an error.
-* `page_files` writes rows (page_id, content) as one file per page, named by the page and a suffix. A task
-  writes below a staging folder of the job; commit moves each task's folder to its place, abort deletes the
-  staging folder. A failed job, task or attempt leaves nothing behind.
+* `page_files` writes rows (page_id, content) as one file per page, named by the page and a suffix. The driver
+  makes a staging folder for the job, below which a task writes; commit moves each task's folder to its place,
+  abort deletes the staging folder. A failed job, task or attempt leaves nothing behind: one that outlives its
+  job (Spark aborts before killed tasks have ended) never makes the staging folder anew, and stops.
 
 Paths are those of pyarrow.fs (local, or a store by its URI), the same for the driver and the executors.
 """
@@ -44,6 +45,8 @@ from pyspark.sql.datasource import (
 
 SCHEMA = "page_id long, obs_id int, text string, x double, y double, width double, height double, confidence double"
 ARROW = pa.schema([("page_id", pa.int64()), ("obs_id", pa.int32()), ("text", pa.string()), *((c, pa.float64()) for c in ("x", "y", "width", "height", "confidence"))])
+#: Mark in a staging folder while its job may still commit.
+OPEN = "_open"
 #: Bytes of files that a partition takes, and rows of a batch.
 PARTITION_BYTES, BATCH_ROWS = 64 << 20, 10_000
 COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, In: lambda v, among: v in among}
@@ -158,16 +161,30 @@ class PageWriter(DataSourceArrowWriter):
         store, root = _opened(self.path)
         return store, root, f"{root}/_staging-{self.job}"
 
+    def begin(self) -> PageWriter:
+        """Once, on the driver: the job's staging folder with the mark that the job is open."""
+        store, _, staging = self._staging()
+        store.create_dir(staging)
+        store.open_output_stream(f"{staging}/{OPEN}").close()
+        return self
+
+    def _check_open(self, store: fs.FileSystem, staging: str) -> None:
+        if store.get_file_info(f"{staging}/{OPEN}").type == fs.FileType.NotFound:
+            self._clean()  # where a store makes missing folders by itself
+            raise RuntimeError("page_files: the job has ended")
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, _, staging = self._staging()
         name, pages = f"part-{uuid.uuid4().hex}", 0
         for batch in iterator:
             for page, content in zip(batch.column("page_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                self._check_open(store, staging)
                 if not pages:
-                    store.create_dir(f"{staging}/{name}")
+                    store.create_dir(f"{staging}/{name}", recursive=False)
                 with store.open_output_stream(f"{staging}/{name}/{quote(str(page), safe='')}.{self.suffix}") as out:
                     out.write((content or "").encode())
                 pages += 1
+        self._check_open(store, staging)
         return Written(name if pages else None, pages)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -186,10 +203,16 @@ class PageWriter(DataSourceArrowWriter):
         self._clean()
 
     def _clean(self) -> None:
-        """Whatever is left of the job, attempts that were not committed included."""
-        store, _, staging = self._staging()
+        """Whatever is left of the job, attempts that were not committed included. Moved away first: who still
+        writes finds no folder, and adds nothing to one that is being deleted."""
+        store, root, staging = self._staging()
         if store.get_file_info(staging).type == fs.FileType.Directory:
-            store.delete_dir(staging)
+            ended = f"{root}/_staging-{uuid.uuid4().hex}"
+            try:
+                store.move(staging, ended)
+            except (OSError, NotImplementedError):  # a store that moves no folders
+                ended = staging
+            store.delete_dir(ended)
 
 
 class PageFiles(DataSource):
@@ -203,7 +226,7 @@ class PageFiles(DataSource):
         missing = {"page_id", "content"} - set(schema.names)
         if missing:
             raise ValueError(f"page_files needs the columns {sorted(missing)}")
-        return PageWriter(self.options["path"], self.options.get("suffix", "md"), overwrite)
+        return PageWriter(self.options["path"], self.options.get("suffix", "md"), overwrite).begin()
 
 
 def register(spark: SparkSession) -> None:

@@ -90,3 +90,35 @@ def test_failed_job_leaves_nothing(spark, tmp_path):
         assert len(files(out)) == 40 and not any(n.startswith("_staging") for n in os.listdir(out))
     with pytest.raises(Exception, match="needs the columns"):
         good.drop("content").write.format("page_files").mode("append").save(out)
+
+
+def test_attempt_outlives_job(tmp_path):
+    """Spark aborts a job, and commits it, before every killed or speculative attempt has ended."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"page_id": [1, 2], "content": ["x", "y"]})
+
+    def late(end, before):
+        yield from [batch] * before
+        end()
+        yield pa.record_batch({"page_id": [3], "content": ["z"]})
+
+    for end in ("abort", "commit"):
+        for before in (0, 1):
+            writer = pagefiles.PageFiles({"path": str(tmp_path)}).writer(pa.schema(batch.schema), False)
+            done = writer.write(iter([batch]))
+            with pytest.raises(RuntimeError, match="has ended"):
+                writer.write(late(lambda: getattr(writer, end)([done]), before))  # noqa: B023
+            assert not any(n.startswith("_staging") for n in os.listdir(tmp_path))
+    assert files(tmp_path) == ["1.md", "1.md", "2.md", "2.md"]  # of the two commits
+
+
+def test_nothing_left_of_queries(spark, tmp_path):
+    """Neither planning a write nor a query that fails before its last stage leaves a staging folder."""
+    pagefiles.register(spark)
+    out = str(tmp_path / "out")
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.when(F.col("id") == 39, F.raise_error(F.lit("broken"))).otherwise("y").alias("content"))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="broken"):
+            pages.repartition(4, "content").write.format("page_files").mode(mode).save(out)
+    assert not os.path.exists(out) or os.listdir(out) == []
