@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, normalize
+from .text import contains_any, let, normalize
 
 # What is added to an era's year.
 ERAS = {"令和": 2018, "㋿": 2018, "R": 2018, "平成": 1988, "㍻": 1988, "H": 1988, "昭和": 1925, "㍼": 1925, "S": 1925, "大正": 1911, "㍽": 1911, "T": 1911, "明治": 1867, "㍾": 1867, "M": 1867}
@@ -60,7 +60,8 @@ def parse_date(s: Column, normalized: bool = False) -> Column:
     era = tier(ERA_DATE, lambda g: whole(gregorian_year(g["g1"], F.when(g["g2"] == "元", 1).otherwise(_int(g["g2"]))), g["g3"], g["g4"]))
     long = tier(LONG_DATE, lambda g: whole(_int(g["g1"]), g["g2"], g["g3"]))
     short = tier(SHORT_DATE, lambda g: whole(2000 + _int(g["g1"]), g["g2"], g["g3"]))
-    return F.when(n.rlike(r"\d"), F.coalesce(era, long, short))
+    # dates of all three kinds have a mark with a digit behind it
+    return F.when(contains_any(n, ["年", "/", ".", "-"]) & n.rlike(r"[年/.\-]\s*\d"), F.coalesce(era, long, short))
 
 
 def parse_time(s: Column, normalized: bool = False) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, normalize
+from .text import contains_any, let, normalize
 
 # How amounts are written.
 AMOUNT = r"([¥￥\\])?\s*([-−▲△])?\s*(\d{1,3}(?:,\d{3})+|\d+)\s*(円)?"
 LONE_AMOUNT = r"\A\s*([¥￥\\])?\s*([-−▲△])?(\d{1,3}(?:,\d{3})+|\d+)\s*(円)?\s*\z"
+MARKS, MINUS = ["¥", "￥", "\\", "円"], ["-", "−", "▲", "△"]
 
 # Numerals by value and units by size.
 KANJI_DIGITS, OTHER_ZERO = "〇一二三四五六七八九", "零"
@@ -68,17 +69,29 @@ def kanji_number(s: Column) -> Column:
 
 
 def read_amount(match: Column) -> Column:
-    """struct<amount, marked, digits> of one matched amount; amount is null on overflow."""
-    digits = F.regexp_replace(match, r"[^0-9]", "")
-    value = digits.try_cast("long")
-    return F.struct(F.when(match.rlike("[-−▲△]"), -value).otherwise(value).alias("amount"), match.rlike(r"[¥￥\\円]").alias("marked"), F.char_length(digits).alias("digits"))
+    """struct<amount, marked, digits> of one matched amount, marks and signs around digits; amount is null on overflow."""
+    digits = F.replace(F.btrim(match, F.lit("".join(MARKS + MINUS) + " \t\n\x0b\f\r")), F.lit(","), F.lit(""))
+
+    def read(d):
+        value = d.try_cast("long")
+        return F.struct(F.when(contains_any(match, MINUS), -value).otherwise(value).alias("amount"), contains_any(match, MARKS).alias("marked"), F.char_length(d).alias("digits"))
+
+    return let(digits, read)
+
+
+def matches(s: Column) -> Column:
+    """array<string>: the amounts of a normalized text as they are written."""
+    return F.when(s.rlike(r"\d"), F.regexp_extract_all(s, F.lit(AMOUNT), F.lit(0))).otherwise(F.when(s.isNotNull(), F.array().cast("array<string>")))
+
+
+def read_all(found: Column) -> Column:
+    read = F.transform(found, read_amount)
+    return F.transform(F.filter(read, lambda r: r["amount"].isNotNull()), lambda r: F.struct(r["amount"].alias("amount"), r["marked"].alias("marked")))
 
 
 def amounts(s: Column, normalized: bool = False) -> Column:
     """array<struct<amount long, marked boolean>> in order of appearance."""
-    n = s if normalized else normalize(s)
-    read = F.transform(F.regexp_extract_all(n, F.lit(AMOUNT), F.lit(0)), read_amount)
-    return F.transform(F.filter(read, lambda r: r["amount"].isNotNull()), lambda r: F.struct(r["amount"].alias("amount"), r["marked"].alias("marked")))
+    return read_all(matches(s) if normalized else let(normalize(s), matches))
 
 
 def last_amount(found: Column) -> Column:
@@ -86,8 +99,14 @@ def last_amount(found: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(found, lambda m: m["marked"]), F.lit(-1))["amount"], F.try_element_at(found, F.lit(-1))["amount"])
 
 
+def last_of(found: Column) -> Column:
+    """last_amount() of matches(); the others are read only where the last one does not decide."""
+    sure = lambda r: F.when(r["amount"].isNotNull() & (r["marked"] | (F.size(found) == 1)), r["amount"]).when(F.size(found) > 1, let(read_all(found), last_amount))
+    return let(F.try_element_at(found, F.lit(-1)), lambda m: F.when(m.isNotNull(), let(read_amount(m), sure)))
+
+
 def parse_amount(s: Column, normalized: bool = False) -> Column:
-    return let(amounts(s, normalized), last_amount)
+    return let(matches(s) if normalized else let(normalize(s), matches), last_of)
 
 
 def standalone_amount(s: Column) -> Column:

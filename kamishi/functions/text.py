@@ -26,27 +26,38 @@ def halfwidth_ascii(s: Column) -> Column:
     return F.translate(s, FULL_ASCII, HALF_ASCII)
 
 
-def fullwidth_kana(s: Column) -> Column:
-    """Half-width kana made full-width; a mark composes with the kana before it, alone it stands."""
+def _marked(s: Column) -> Column:
+    return contains_any(s, ["ﾞ", "ﾟ"])
+
+
+def _composed(s: Column) -> Column:
+    """fullwidth_kana() of a text with marks."""
     out = F.translate(s, HALF_KANA, FULL_KANA)
-    composed = out
     for mark, pairs in (("ﾞ", VOICED), ("ﾟ", SEMI_VOICED)):
         for a, b in zip(*pairs, strict=True):
-            composed = F.replace(composed, F.lit(a + mark), F.lit(b))
-    marked = s.contains("ﾞ") | s.contains("ﾟ")
-    return F.when(marked, F.translate(composed, "ﾞﾟ", "゛゜")).otherwise(out)
+            out = F.replace(out, F.lit(a + mark), F.lit(b))
+    return F.translate(out, "ﾞﾟ", "゛゜")
+
+
+def fullwidth_kana(s: Column) -> Column:
+    """Half-width kana made full-width; a mark composes with the kana before it, alone it stands."""
+    return F.when(_marked(s), _composed(s)).otherwise(F.translate(s, HALF_KANA, FULL_KANA))
 
 
 def collapse_whitespace(s: Column) -> Column:
     """Per line: runs of space, tab and ideographic space become one space; ends are trimmed."""
     single = F.regexp_replace(s, "[ \\t\\u3000]+", " ")
-    return F.regexp_replace(F.regexp_replace(single, r"(\A|\n) ", "$1"), r" (\n|\z)", "$1")
+    trimmed = F.regexp_replace(F.regexp_replace(single, r"(\A|\n) ", "$1"), r" (\n|\z)", "$1")
+    # the patterns find nothing in a text without any of these
+    return F.when(contains_any(s, ["  ", "\t", "\u3000", "\n ", " \n"]) | s.startswith(" ") | s.endswith(" "), trimmed).otherwise(s)
 
 
 def normalize(s: Column, kana: bool = True, ascii: bool = True, whitespace: bool = False) -> Column:
-    out = fullwidth_kana(s) if kana else s
-    out = halfwidth_ascii(out) if ascii else out
-    return collapse_whitespace(out) if whitespace else out
+    if kana and ascii:  # both in one pass, as no character of one table comes out of the other
+        out = F.when(_marked(s), halfwidth_ascii(_composed(s))).otherwise(F.translate(s, HALF_KANA + FULL_ASCII, FULL_KANA + HALF_ASCII))
+    else:
+        out = fullwidth_kana(s) if kana else halfwidth_ascii(s) if ascii else s
+    return let(out, collapse_whitespace) if whitespace else out
 
 
 def normalize_all(s: Column) -> Column:
@@ -66,11 +77,11 @@ def escape_cell(s: Column) -> Column:
 
 def trim_name(s: Column) -> Column:
     """Product name without leader dots and markers."""
-    return F.regexp_replace(F.regexp_replace(s, r"[ \t・:：*＊␣….\-]+\z", ""), r"\A[ \t*＊]+", "")
+    return F.ltrim(F.rtrim(s, F.lit(" \t・:：*＊␣….-")), F.lit(" \t*＊"))
 
 
 def strip_rates(s: Column) -> Column:
-    return F.regexp_replace(s, r"\d{1,2}\s*%", "")
+    return F.when(s.contains("%"), F.regexp_replace(s, r"\d{1,2}\s*%", "")).otherwise(s)
 
 
 def trim_trailing_newlines(s: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date, parse_time
-from ..functions.numbers import amounts, last_amount, read_amount, standalone_amount
-from ..functions.text import contains_any, let, normalize_all, strip_rates, trim_name
+from ..functions.numbers import amounts, last_of, matches, read_amount, standalone_amount
+from ..functions.text import collapse_whitespace, contains_any, let, normalize, strip_rates, trim_name
 
 # Keywords of receipts, and how prices and unit prices are written.
 TOTAL_WORDS = ["合計", "総計", "お会計", "ご請求"]
@@ -33,8 +33,10 @@ def line_kind(s: Column) -> Column:
     )
 
 
-def is_plausible_store(s: Column, date: Column, time: Column) -> Column:
-    return (s != "") & ~contains_any(s, STORE_STOPS) & date.isNull() & time.isNull() & standalone_amount(s).isNull()
+def is_plausible_store(s: Column, date: Column, time: Column, solo: Column | None = None) -> Column:
+    """solo: the line's standalone amount, where it is known already."""
+    solo = standalone_amount(s) if solo is None else solo
+    return (s != "") & date.isNull() & time.isNull() & solo.isNull() & ~contains_any(s, STORE_STOPS)
 
 
 def parse_tax_line(s: Column) -> Column:
@@ -67,35 +69,40 @@ def merge_tax_lines(lines: Column) -> Column:
 
 def parse_item(s: Column) -> Column:
     """struct<name, price, quantity> of a line that ends in a price, else null."""
-    times, pieces = r"[x×]\s*(\d+)", r"(\d+)\s*[個点]"
-    by_times, by_pieces = s.rlike(times), s.rlike(pieces)
-    quantity = F.when(by_times, F.regexp_extract(s, times, 1)).when(by_pieces, F.regexp_extract(s, pieces, 1)).try_cast("long")
-    once = lambda p: F.regexp_replace(s, f"(?s)\\A(.*?){p.replace('(', '').replace(')', '')}", "$1")
-    left = F.when(by_times, once(times)).when(by_pieces, once(pieces)).otherwise(s)
-    # unit prices go one by one until none is left; each takes an @ with it, so there are no more passes than that
-    at = F.char_length(left) - F.char_length(F.replace(left, F.lit("@"), F.lit("")))
-    bare = F.aggregate(F.sequence(F.lit(1), at), left, lambda x, _: F.regexp_replace(x, rf"(?s)\A(.*?){UNIT_PRICE}", "$1"))
-    left = F.rtrim(F.when(at > 0, bare).otherwise(left), F.lit(" \t"))
+    bare_end = lambda x: F.when(x.endswith(" ") | x.endswith("\t"), F.rtrim(x, F.lit(" \t"))).otherwise(x)
+    found = lambda p, *words: F.when(contains_any(s, words), F.regexp_extract(s, p, 0)).otherwise("")
+    times, pieces = found(r"[x×]\s*(\d+)", "x", "×"), found(r"(\d+)\s*[個点]", "個", "点")
+
+    def without_unit_prices(left):
+        # they go one by one until none is left; each takes an @ with it, so there are no more passes than that
+        at = F.char_length(left) - F.char_length(F.replace(left, F.lit("@"), F.lit("")))
+        bare = F.aggregate(F.sequence(F.lit(1), at), left, lambda x, _: F.regexp_replace(x, rf"(?s)\A(.*?){UNIT_PRICE}", "$1"))
+        return let(F.when(left.contains("@"), bare).otherwise(left), bare_end)
+
+    # a pattern's first match is also the first place of its text
+    rest = lambda q: F.when(q != "", F.overlay(s, F.lit(""), F.instr(s, q), F.char_length(q))).otherwise(s)
 
     def read(p):
-        """p: the line without quantity and unit price, its last amount and what that says."""
+        """p: the line without quantity and unit price, its last amount and what that says, and how the quantity is written."""
         name = trim_name(F.substring(p["left"], F.lit(1), F.char_length(p["left"]) - F.char_length(p["whole"])))
+        quantity = F.when(p["q"] != "", F.regexp_extract(p["q"], r"\d+", 0)).try_cast("long")
         named = lambda x: (x != "") & x.rlike(r"[^\p{N}〇零一二三四五六七八九十百千万億兆]")
         ok = F.endswith(p["left"], p["whole"]) & (p["a"]["marked"] | (p["a"]["digits"] >= 2)) & (F.abs(p["a"]["amount"]) <= MAX_PRICE)
         return F.when(ok, let(name, lambda x: F.when(named(x), F.struct(x.alias("name"), p["a"]["amount"].alias("price"), quantity.alias("quantity")))))
 
-    priced = lambda x: F.rtrim(F.try_element_at(F.regexp_extract_all(x, F.lit(PRICE), F.lit(0)), F.lit(-1)), F.lit(" \t"))
-    pair = lambda x: let(priced(x), lambda w: F.struct(x.alias("left"), w.alias("whole"), read_amount(w).alias("a")))
-    return F.when(s.rlike(r"\d"), let(let(left, pair), read))
+    priced = lambda x: let(F.try_element_at(F.regexp_extract_all(x, F.lit(PRICE), F.lit(0)), F.lit(-1)), bare_end)
+    parts = lambda x, q: let(priced(x), lambda w: F.struct(x.alias("left"), w.alias("whole"), read_amount(w).alias("a"), q.alias("q")))
+    split = lambda q: let(without_unit_prices(rest(q)), lambda x: let(parts(x, q), read))
+    return F.when(s.rlike(r"\d"), let(let(times, lambda t: F.when(t != "", t).otherwise(pieces)), split))
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
-    """What each line says on its own: norm, date, time, kind, amount, solo, and the like."""
+    """What each line says on its own: norm, date, time, kind, amount (of lines that name one of MONEY), solo."""
     n = F.col("norm")
-    out = lines.select("doc_id", "line_no", normalize_all(F.col("line")).alias("norm"))
-    out = out.withColumns({"date": parse_date(n, True), "time": parse_time(n, True), "kind": F.when(n != "", line_kind(n)), "amounts": amounts(strip_rates(n), True), "solo": standalone_amount(n)})
-    out = out.withColumn("amount", last_amount(F.col("amounts"))).drop("amounts")
-    return out.withColumn("plausible", is_plausible_store(n, F.col("date"), F.col("time")))
+    out = lines.select("doc_id", "line_no", normalize(F.col("line")).alias("norm")).withColumn("norm", collapse_whitespace(n))
+    out = out.withColumns({"date": parse_date(n, True), "time": parse_time(n, True), "kind": F.when(n != "", line_kind(n)), "solo": standalone_amount(n)})
+    out = out.withColumn("found", F.when(F.col("kind").isin(MONEY), let(strip_rates(n), matches)))
+    return out.withColumn("amount", last_of(F.col("found"))).drop("found")
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
@@ -105,17 +112,19 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
     kind, n = F.col("kind"), F.col("norm")
     pending = F.when(kind.isin(MONEY) & F.col("amount").isNull(), kind)
-    # of the last line before that is not empty: one exchange, by doc_id, serves all windows
-    rows = rows.withColumn("pending", F.last(F.when(n != "", F.struct(pending.alias("kind"))), ignorenulls=True).over(before)["kind"])
-    taken = F.col("pending").isNotNull() & F.col("solo").isNotNull() & (n != "")
     summary = kind.isin([*MONEY, "tax"])
+    # one exchange, by doc_id, and one order serve all windows
+    rows = rows.withColumns({
+        "pending": F.last(F.when(n != "", F.struct(pending.alias("kind"))), ignorenulls=True).over(before)["kind"],  # of the last line before that is not empty
+        "closed": F.coalesce(F.max(F.when(summary, True).otherwise(False)).over(before), F.lit(False)),
+        "n_lines": F.count("*").over(doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "stopped": F.max(contains_any(n, ["合計", "小計"])).over(doc.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    taken = F.col("pending").isNotNull() & F.col("solo").isNotNull() & (n != "")
     rows = rows.withColumns({
         "taken": taken,
         "target": F.when(taken, F.col("pending")).when(kind.isin(MONEY) & F.col("amount").isNotNull(), kind),
         "value": F.when(taken, F.col("solo")).otherwise(F.col("amount")),
-        "closed": F.coalesce(F.max(F.when(summary, True).otherwise(False)).over(before), F.lit(False)),
-        "n_lines": F.count("*").over(Window.partitionBy("doc_id")),
-        "stopped": F.max(contains_any(n, ["合計", "小計"])).over(doc.rowsBetween(Window.unboundedPreceding, 0)),
     })
     may = ~F.col("taken") & (kind == "item") & ~F.col("closed") & ~contains_any(n, NOISE) & ((F.col("line_no") > 0) | (F.col("n_lines") == 1)) & F.col("date").isNull()
     return rows.withColumns({
@@ -133,8 +142,10 @@ def extract(lines: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     first = lambda c, cond: F.min_by(c, F.when(cond, no))
     last = lambda c, cond: F.max_by(c, F.when(cond, no))
     in_order = lambda c, cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("line_no", F.col(c).alias("v"))))), lambda r: r["v"])
-    store_line = F.col("plausible") & (no < STORE_LINES) & ~F.col("stopped")
-    hinted = F.col("plausible") & (no == F.col("hint"))
+    early = (no < STORE_LINES) & ~F.col("stopped")
+    plausible = is_plausible_store(F.col("norm"), F.col("date"), F.col("time"), F.col("solo"))
+    rows = rows.withColumn("plausible", F.when(early | (no == F.col("hint")), plausible))
+    store_line, hinted = F.col("plausible") & early, F.col("plausible") & (no == F.col("hint"))
     out = rows.groupBy("doc_id").agg(
         last("value", F.col("target") == "change").alias("change"),
         first("date", F.col("date").isNotNull()).alias("date"),

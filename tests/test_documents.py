@@ -77,6 +77,15 @@ def test_receipt(spark):
     assert json.loads(shown[0].j)["date"] == {"year": 2026, "month": 7, "day": 8}
 
 
+def test_receipt_windows(spark, capsys):
+    """One order of the lines serves every window, and lines are read with as few patterns as they need."""
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(RECEIPT)], "doc_id long, line_no int, line string")
+    rows = receipts.classify_lines(df)
+    rows.explain("simple")
+    assert capsys.readouterr().out.count("+- Window ") == 1
+    assert [r.line_no for r in rows.where("amount is not null").orderBy("line_no").collect()] == [6, 11, 12]  # no other line names a sum
+
+
 def test_engine_and_backends(spark):
     named = page(spark, [(s, 10, 30 * i, 200, 30 if i == 0 else 16) for i, s in enumerate(RECEIPT)]).withColumn("name", F.lit("receipt")).drop("page_id")
     images = spark.createDataFrame([(1, "receipt"), (2, "unknown")], "page_id long, name string")
