@@ -96,18 +96,19 @@ def parse_item(s: Column) -> Column:
     return F.when(s.rlike(r"\d"), let(let(times, lambda t: F.when(t != "", t).otherwise(pieces)), split))
 
 
-def read_lines(lines: DataFrame) -> DataFrame:
-    """What each line says on its own: norm, date, time, kind, amount (of lines that name one of MONEY), solo."""
+def read_lines(lines: DataFrame, *carried: str) -> DataFrame:
+    """What each line says on its own: norm, date, time, kind, amount (of lines that name one of MONEY), solo; and the
+    columns carried on."""
     n = F.col("norm")
-    out = lines.select("doc_id", "line_no", normalize(F.col("line")).alias("norm")).withColumn("norm", collapse_whitespace(n))
+    out = lines.select("doc_id", "line_no", *carried, normalize(F.col("line")).alias("norm")).withColumn("norm", collapse_whitespace(n))
     out = out.withColumns({"date": parse_date(n, True), "time": parse_time(n, True), "kind": F.when(n != "", line_kind(n)), "solo": standalone_amount(n)})
     out = out.withColumn("found", F.when(F.col("kind").isin(MONEY), let(strip_rates(n), matches)))
     return out.withColumn("amount", last_of(F.col("found"))).drop("found")
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
+def classify_lines(lines: DataFrame, *carried: str) -> DataFrame:
     """read_lines() with what earlier lines decide: target and value of amounts, items, tax lines."""
-    rows = read_lines(lines)
+    rows = read_lines(lines, *carried)
     doc = Window.partitionBy("doc_id").orderBy("line_no")
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
     kind, n = F.col("kind"), F.col("norm")
@@ -134,10 +135,14 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     })
 
 
-def extract(lines: DataFrame, hints: DataFrame | None = None) -> DataFrame:
-    """One receipt per doc_id of (doc_id, line_no, line); hints (doc_id, hint) names a store line."""
-    rows = classify_lines(lines)
-    rows = rows.withColumn("hint", F.lit(None).cast("int")) if hints is None else rows.join(hints, "doc_id", "left")
+def extract(lines: DataFrame, hints: DataFrame | str | None = None) -> DataFrame:
+    """One receipt per doc_id of (doc_id, line_no, line); hints (doc_id, hint) names a store line, as does a column of
+    lines of that name, which holds the same on every line of a document."""
+    if isinstance(hints, str):
+        rows = classify_lines(lines, hints).withColumnRenamed(hints, "hint")
+    else:
+        rows = classify_lines(lines)
+        rows = rows.withColumn("hint", F.lit(None).cast("int")) if hints is None else rows.join(hints, "doc_id", "left")
     no = F.col("line_no")
     first = lambda c, cond: F.min_by(c, F.when(cond, no))
     last = lambda c, cond: F.max_by(c, F.when(cond, no))

@@ -16,11 +16,11 @@ from . import render
 def receipts_of(observations: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Receipts (doc_id = page_id) of observations: receipt layout, and the tallest of the first lines
     as the store's name if it may be one."""
-    lines = layout.analyze(observations, layout.RECEIPT)
-    texts = lines.select(F.col("page_id").alias("doc_id"), "line_no", F.col("spaced_text").alias("line"))
-    tallest = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("height"), "line_no"))
-    hints = lines.where(F.col("line_no") < receipts.HINT_LINES).withColumn("n", tallest).where("n = 1").select(F.col("page_id").alias("doc_id"), F.col("line_no").alias("hint"))
-    out = receipts.extract(texts, hints)
+    lines = layout.analyze(observations, layout.RECEIPT).select(F.col("page_id").alias("doc_id"), "line_no", F.col("spaced_text").alias("line"), "height")
+    # in the order that the receipts want, so the layout is made once and its lines are exchanged once
+    page = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tallest = F.max(F.when(F.col("line_no") < receipts.HINT_LINES, F.struct("height", -F.col("line_no"))))
+    out = receipts.extract(lines.withColumn("hint", -tallest.over(page)["col2"]), "hint")
     if pages is None:
         return out
     filled = pages.select(F.col("page_id").alias("doc_id")).join(out, "doc_id", "left")

@@ -86,6 +86,16 @@ def test_receipt_windows(spark, capsys):
     assert [r.line_no for r in rows.where("amount is not null").orderBy("line_no").collect()] == [6, 11, 12]  # no other line names a sum
 
 
+def test_receipts_of_pages_layout_once(spark, capsys):
+    """The store's name is the tallest of the first lines, the first of equals; the layout runs once for lines and names."""
+    heights = {1: [16, 30, 30, 16, 16, 90], 2: [16, 16, 16, 16, 16, 90]}
+    boxes = [(p, i, f"店{i}", 10.0, 100.0 * i, 200.0, float(h), 1.0) for p, hs in heights.items() for i, h in enumerate(hs)]
+    out = receipts_of(spark.createDataFrame(boxes, layout.OBSERVATION))
+    out.explain("simple")
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert {r.doc_id: r.storeName for r in out.collect()} == {1: "店1", 2: "店0"}
+
+
 def test_engine_and_backends(spark):
     named = page(spark, [(s, 10, 30 * i, 200, 30 if i == 0 else 16) for i, s in enumerate(RECEIPT)]).withColumn("name", F.lit("receipt")).drop("page_id")
     images = spark.createDataFrame([(1, "receipt"), (2, "unknown")], "page_id long, name string")
